@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 DISTANCE_PLACES = 9
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+def _dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * cast(y AS double)), 0D, (s, v) -> s + v)"
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """``1 - a.b / (|a||b|)``; null where either vector has zero length."""
-    similarity = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.round(F.lit(1.0) - similarity, DISTANCE_PLACES)
+def cosine_distance(a: str, b: str) -> Column:
+    """``1 - a.b / (|a||b|)`` of two array columns; null where either has zero length."""
+    return F.expr(
+        f"round(1D - try_divide({_dot(a, b)}, sqrt({_dot(a, a)}) * sqrt({_dot(b, b)})), {DISTANCE_PLACES})"
+    )
 
 
 def is_width(v: Column, dim: int) -> Column:

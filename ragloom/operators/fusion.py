@@ -46,7 +46,7 @@ def with_distance(
     small = broadcast_within(asked, n_rows, row_bytes, params.broadcast_bytes)
     return (
         chunks.join(small, "id")
-        .withColumn("distance", cosine_distance(F.col("embedding"), F.col("vector")))
+        .withColumn("distance", cosine_distance("embedding", "vector"))
         .drop("vector", "embedding")
     )
 

@@ -98,38 +98,38 @@ def match_terms(
     """
     terms, n = settled(terms, 100_000)
     keys = ["query_id", "grp"]
-    positive = terms.filter(~F.col("negated")).select(*keys, "term").distinct()
-    sized = positive.join(broadcast_within(counts.join(positive.select("term").distinct(), "term", "left_semi"),
-                                           n, 200, params.broadcast_bytes), "term", "left")
-    groups = (
-        sized.groupBy(*keys)
-        .agg(F.min(F.struct(F.col("df"), F.col("term"))).alias("_rare"), F.count(F.lit(1)).alias("_n"),
-             F.count("df").alias("_known"), F.collect_set("term").alias("_terms"))
-        .filter(F.col("_known") == F.col("_n"))
-    )
-    rare = groups.select(*keys, "_n", "_terms", F.col("_rare.term").alias("term"))
-    candidates = _near(index.select("id", "term"), rare, n, params).select(
+    positive = terms.filter(~F.col("negated"))
+    sent = lambda df: broadcast_within(df, n, 200, params.broadcast_bytes)
+    known = (
+        counts.join(sent(positive.select(*keys, "term")), "term")
+        .groupBy(*keys)
+        .agg(F.min(F.struct("df", "term")).alias("_rare"), F.collect_set("term").alias("_terms"))
+    )
+    needed = positive.groupBy(*keys).agg(F.count_distinct("term").alias("_n"))
+    groups, _ = settled(
+        known.join(needed, keys).filter(F.size("_terms") == F.col("_n"))
+        .select(*keys, "_n", "_terms", F.col("_rare.term").alias("term")),
+        100_000,
+    )
+    candidates = _near(index.select("id", "term"), groups, n, params).select(
         *keys, "id", "_n", F.explode("_terms").alias("term")
     )
-    relevant = index.join(
-        broadcast_within(positive.select("term").distinct(), n, 200, params.broadcast_bytes), "term", "left_semi"
-    )
+    relevant = index.join(sent(positive.select("term")), "term", "left_semi")
     full = (
         candidates.join(relevant, ["id", "term"])
         .groupBy(*keys, "id")
-        .agg(
-            F.collect_list(F.struct("term", "occ")).alias("_found"),
-            F.first("_n").alias("_n"),
-        )
+        .agg(F.collect_list(F.struct("term", "occ")).alias("_found"), F.first("_n").alias("_n"))
         .filter(F.size("_found") == F.col("_n"))
-        .select(
-            *keys, "id",
-            F.sort_array(F.flatten(F.transform("_found", lambda t: F.transform(
-                t["occ"], lambda o: F.struct(o["pos"].alias("pos"), o["weight"].alias("weight"), t["term"].alias("term"))
-            )))).alias("occ"),
-        )
+        .select(*keys, "id", F.expr("""
+            sort_array(flatten(transform(_found, t -> transform(
+              t.occ, o -> struct(o.pos AS pos, o.weight AS weight, t.term AS term)))))""").alias("occ"))
     )
-    return _without_excluded(_with_phrases(full, terms), terms, index, n, params)
+    uses = terms.agg(
+        F.bool_or(F.col("phrase") & ~F.col("negated")).alias("phrases"), F.bool_or("negated").alias("excluded")
+    ).head()
+    if uses["phrases"]:
+        full = _with_phrases(full, terms)
+    return _without_excluded(full, terms, index) if uses["excluded"] else full
 
 
 def _with_phrases(matches: DataFrame, terms: DataFrame) -> DataFrame:
@@ -141,28 +141,22 @@ def _with_phrases(matches: DataFrame, terms: DataFrame) -> DataFrame:
         .groupBy("query_id", "grp")
         .agg(F.collect_list("_parts").alias("_phrases"))
     )
-    starts = lambda occ, part: F.transform(
-        F.filter(occ, lambda o: o["term"] == part["term"]), lambda o: o["pos"] - part["off"]
-    )
-    holds = lambda occ, phrase: F.exists(
-        starts(occ, phrase[0]),
-        lambda at: F.forall(phrase, lambda part: F.array_contains(starts(occ, part), at)),
-    )
+    # a phrase holds where all its parts put its start at the same position
+    holds = F.expr("""
+        forall(_phrases, phrase -> exists(occ, first -> first.term = phrase[0].term AND
+          forall(phrase, part -> exists(occ, o ->
+            o.term = part.term AND o.pos - part.off = first.pos - phrase[0].off))))""")
     return (
         matches.join(parts, ["query_id", "grp"], "left")
-        .filter(F.col("_phrases").isNull() | F.forall("_phrases", lambda p: holds(F.col("occ"), p)))
+        .filter(F.col("_phrases").isNull() | holds)
         .drop("_phrases")
     )
 
 
-def _without_excluded(
-    matches: DataFrame, terms: DataFrame, index: DataFrame, n: int | None, params: Params
-) -> DataFrame:
+def _without_excluded(matches: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
     """Drop matches that hold an excluded word or an excluded phrase of their group."""
     keys = ["query_id", "grp"]
     negative = terms.filter("negated")
-    if n is not None and negative.isEmpty():
-        return matches
     size = negative.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("_n"))
     wanted = negative.join(size, keys + ["piece"])
     # only chunks that matched can be excluded
@@ -190,8 +184,8 @@ def cover_rank(matches: DataFrame) -> DataFrame:
     group = ["query_id", "grp", "id"]
     sized = matches.select(
         *group, "occ",
-        F.array_distinct(F.transform("occ", lambda o: o["term"])).alias("_terms"),
-        F.size(F.filter("occ", lambda o: o["weight"] == "A")).alias("_a"),
+        F.expr("array_distinct(occ.term)").alias("_terms"),
+        F.expr("size(filter(occ.weight, w -> w = 'A'))").alias("_a"),
     )
     # a lone term is its own cover wherever it stands
     alone = sized.filter(F.size("_terms") == 1).select(

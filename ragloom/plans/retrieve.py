@@ -29,12 +29,14 @@ def candidates(
     """
     width = max(params.candidate_k, k)
     rows = None if n_queries is None else n_queries * width
-    dense = dense_topk(queries, kb.chunks, width, params)
+    # a ranking holds at most ``width`` rows a query: settled, it is read from here on
+    limit = 100_000 if rows is None else rows
+    dense, _ = settled(dense_topk(queries, kb.chunks, width, params), limit)
     if not hybrid:
         found = dense.withColumn("score", F.lit(None).cast("double"))
         return with_payload(found, kb.chunks.drop("embedding"), rows, params)
     matches = match_terms(query_terms(queries), kb.index, kb.counts, params)
-    sparse = sparse_topk(cover_rank(matches), width)
+    sparse, _ = settled(sparse_topk(cover_rank(matches), width), limit)
     # fused rows are ranked before the payload join, which cannot change their order
     fused = take_best(reciprocal_rank_fusion(dense, sparse, params.rrf_k), width)
     return with_distance(fused, queries, kb.chunks, rows, params)

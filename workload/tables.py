@@ -47,3 +47,9 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
     if key not in _built:
         _built[key] = build_knowledge_base(articles(spark, sf_dir), ["doc_id"], EMBEDDER, PARAMS)
     return _built[key]
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the role names the validator knows."""
+    role = F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").withColumn("role", role)
