@@ -91,7 +91,9 @@ def _near(index: DataFrame, wanted: DataFrame, n_terms: int | None, params: Para
 def match_terms(
     terms: DataFrame, index: DataFrame, counts: DataFrame, params: Params = Params()
 ) -> DataFrame:
-    """``(query_id, grp, id, occ array<struct<pos, weight, term>>)`` for every matching chunk.
+    """``(query_id, grp, id, occ array<struct<pos, weight, term>>, lone)`` for every matching chunk.
+
+    ``lone`` marks groups of a single term.
 
     Candidates come from the rarest positive term of each group, so a term held
     by a third of all chunks is only walked when nothing rarer narrows it down.
@@ -111,19 +113,26 @@ def match_terms(
         .select(*keys, "_n", "_terms", F.col("_rare.term").alias("term")),
         100_000,
     )
-    candidates = _near(index.select("id", "term"), groups, n, params).select(
+    # a group of one term is answered by its postings alone, where they lie
+    occurrences = F.expr("transform(occ, o -> struct(o.pos AS pos, o.weight AS weight, term AS term))")
+    lone = _near(index, groups.filter("_n = 1").drop("_n", "_terms"), n, params).select(
+        *keys, "id", occurrences.alias("occ"), F.lit(True).alias("lone")
+    )
+    candidates = _near(index.select("id", "term"), groups.filter("_n > 1"), n, params).select(
         *keys, "id", "_n", F.explode("_terms").alias("term")
     )
-    relevant = index.join(sent(positive.select("term")), "term", "left_semi")
-    full = (
+    relevant = index.join(sent(groups.filter("_n > 1").select(F.explode("_terms").alias("term"))), "term", "left_semi")
+    several = (
         candidates.join(relevant, ["id", "term"])
         .groupBy(*keys, "id")
         .agg(F.collect_list(F.struct("term", "occ")).alias("_found"), F.first("_n").alias("_n"))
         .filter(F.size("_found") == F.col("_n"))
         .select(*keys, "id", F.expr("""
             sort_array(flatten(transform(_found, t -> transform(
-              t.occ, o -> struct(o.pos AS pos, o.weight AS weight, t.term AS term)))))""").alias("occ"))
+              t.occ, o -> struct(o.pos AS pos, o.weight AS weight, t.term AS term)))))""").alias("occ"),
+            F.lit(False).alias("lone"))
     )
+    full = lone.unionByName(several)
     uses = terms.agg(
         F.bool_or(F.col("phrase") & ~F.col("negated")).alias("phrases"), F.bool_or("negated").alias("excluded")
     ).head()
@@ -182,20 +191,17 @@ def cover_rank(matches: DataFrame) -> DataFrame:
     noise counts the positions in between. Alternatives add up.
     """
     group = ["query_id", "grp", "id"]
-    sized = matches.select(
-        *group, "occ",
-        F.expr("array_distinct(occ.term)").alias("_terms"),
-        F.expr("size(filter(occ.weight, w -> w = 'A'))").alias("_a"),
-    )
+    sized = matches.withColumn("_a", F.expr("size(filter(occ.weight, w -> w = 'A'))"))
     # a lone term is its own cover wherever it stands
-    alone = sized.filter(F.size("_terms") == 1).select(
+    alone = sized.filter("lone").select(
         "query_id", "id",
         (F.col("_a") * WEIGHTS["A"] + (F.size("occ") - F.col("_a")) * WEIGHTS["B"]).alias("_part"),
     )
     per_term = Window.partitionBy(*group, "_t").orderBy("pos")
     here = F.struct(F.col("pos"), F.col("_i"))
     ends = (
-        sized.filter(F.size("_terms") > 1)
+        sized.filter(~F.col("lone"))
+        .withColumn("_terms", F.expr("array_distinct(occ.term)"))
         .select(*group, "_terms", "_a", F.posexplode("occ").alias("_i", "_o"))
         .select(*group, "_a", "_i", "_o.pos", "_o.term", F.size("_terms").alias("_n"), F.explode("_terms").alias("_t"))
         .withColumn("_last", F.max(F.when(F.col("term") == F.col("_t"), here)).over(per_term))
