@@ -62,7 +62,7 @@ class _Best:
             scale = q_len[which][:, None] * np.sqrt((part * part).sum(axis=1))[None, :]
             away = np.full(scale.shape, np.inf)
             np.divide(qs[which] @ part.T, scale, out=away, where=scale > 0)
-            away = np.where(scale > 0, np.round(1.0 - away, DISTANCE_PLACES), np.inf)
+            away = np.where(scale > 0, np.round(1.0 - away, DISTANCE_PLACES) + 0.0, np.inf)
             if allowed is not None:
                 away = np.where(allowed[:, lo : lo + step], away, np.nan)
             bound = self.worst[which]

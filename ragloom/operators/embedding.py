@@ -45,7 +45,7 @@ class HashingEmbedder:
             row = np.repeat(np.arange(len(codes)), per_row)
             cell = row * dim + (flat >> 1) % dim
             sums = np.bincount(cell, weights=1.0 - 2.0 * (flat & 1), minlength=len(codes) * dim)
-            matrix = sums.reshape(len(codes), dim)
+            matrix = sums.astype(np.float64).reshape(len(codes), dim)  # no words at all: integer zeros
             length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             unit = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
             offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * dim, pa.int32())

@@ -46,8 +46,9 @@ def admit_pages(
     site = blocked_site(host(F.col("url")), rules)
     early = F.coalesce(admission_problem(F.col("url")), F.when(site.isNotNull(), F.concat(site, F.lit(" blocks page reads"))))
     if "http_status" in pages.columns:
-        failed = ~F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
-        early = F.coalesce(early, F.when(failed, F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
+        failed = F.when(F.col("http_status").isNull(), "could not reach that link").when(
+            ~F.col("http_status").between(200, 299), F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
+        early = F.coalesce(early, failed)
     if "content_type" in pages.columns:
         kind = F.coalesce("content_type", F.lit(""))
         early = F.coalesce(early, F.when(~kind.contains("html") & ~kind.contains("text"), "not a readable web page"))

@@ -25,10 +25,10 @@ def stem(w: str) -> str:
 
 
 def cosine(a: str, b: str) -> str:
-    """Distance of two lists, null when either has zero length."""
+    """Distance of two lists, null when either has zero length; never minus zero."""
     return (
         f"round(1 - list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * "
-        f"sqrt(list_dot_product({b}, {b})), 0), 9)"
+        f"sqrt(list_dot_product({b}, {b})), 0), 9) + 0.0"
     )
 
 
