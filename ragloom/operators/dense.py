@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -52,7 +53,15 @@ class _Best:
         full = place[keep] == self.k - 1
         self.worst[self.q[full]] = self.d[full]
 
-    def scan(self, ids, vectors, queries, which=None, allowed=None) -> None:
+    def scan_coded(self, ids, vectors, codes, queries, probes) -> None:
+        """Measure vectors code by code, each against the queries that probe its code."""
+        for c in np.unique(codes):
+            which = np.nonzero(probes[:, c])[0]
+            if len(which):
+                here = codes == c
+                self.scan(ids[here], vectors[here], queries, which)
+
+    def scan(self, ids, vectors, queries, which=None) -> None:
         """Measure a batch of vectors against the queries (or the ``which`` of them)."""
         qs, q_len = queries
         which = np.arange(len(qs)) if which is None else which
@@ -63,12 +72,9 @@ class _Best:
             away = np.full(scale.shape, np.inf)
             np.divide(qs[which] @ part.T, scale, out=away, where=scale > 0)
             away = np.where(scale > 0, np.round(1.0 - away, DISTANCE_PLACES) + 0.0, np.inf)
-            if allowed is not None:
-                away = np.where(allowed[:, lo : lo + step], away, np.nan)
             bound = self.worst[which]
             if part.shape[0] > self.k:
-                bound = np.fmin(bound, np.partition(away, self.k - 1, axis=1)[:, self.k - 1])
-            bound = np.where(np.isnan(bound), np.inf, bound)
+                bound = np.minimum(bound, np.partition(away, self.k - 1, axis=1)[:, self.k - 1])
             near_q, near_c = np.nonzero(away <= bound[:, None])
             self.offer(which[near_q], away[near_q, near_c], part_ids[near_c])
 
@@ -109,7 +115,7 @@ def dense_topk(
     small, n = settled(qs, params.query_block)
     if n is None:
         return _grid_topk(small, cs, k, params)
-    return _sent_topk(small, cs, k)
+    return _sent_topk(small, cs, k, params)
 
 
 def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +123,7 @@ def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
     return _measured(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
 
 
-def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) -> DataFrame:
     spark = queries.sparkSession
     rows = queries.collect()  # bounded by query_block, already a local relation
     names = spark.createDataFrame(
@@ -136,7 +142,8 @@ def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                 best.scan(b.column("id").to_numpy(), _matrix(b.column("embedding")), sent.value)
         yield best.batch()
 
-    partial = chunks.mapInArrow(nearest, _PARTIAL)
+    # every task leaves k rows per query: few long tasks keep the shuffle small
+    partial = chunks.coalesce(params.scan_tasks).mapInArrow(nearest, _PARTIAL)
     return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)
 
 
@@ -144,16 +151,20 @@ def _type(queries: DataFrame) -> str:
     return queries.schema["query_id"].dataType.simpleString()
 
 
-def _grid_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) -> DataFrame:
-    """Every (query block, chunk slab) cell is one bounded group."""
+def _grid_topk(
+    queries: DataFrame, chunks: DataFrame, k: int, params: Params, probing: tuple[int, int] | None = None
+) -> DataFrame:
+    """Every (query block, chunk slab) cell is one bounded group.
+
+    ``probing`` = (planes, radius) measures only chunks whose code a query probes.
+    """
     n_blocks = math.ceil(queries.count() / params.query_block)
     n_slabs = math.ceil(max(1, chunks.count()) / params.slab_rows)
     spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     repeat = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = chunks.withColumn("slab", spread("id", n_slabs)).withColumn("block", repeat(n_blocks))
     right = (
-        queries.withColumn("_q", F.xxhash64("query_id"))
-        .withColumn("block", spread("query_id", n_blocks))
+        queries.withColumn("block", spread("query_id", n_blocks))
         .withColumn("slab", repeat(n_slabs))
         .select("query_id", "vector", "block", "slab")
     )
@@ -163,8 +174,12 @@ def _grid_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) ->
         names = qs.column("query_id").combine_chunks()
         best = _Best(len(names), k)
         if len(names) and cs.num_rows:
-            best.scan(cs.column("id").to_numpy(), _matrix(cs.column("embedding")),
-                      _measured(_matrix(qs.column("vector"))))
+            vectors, asked = _matrix(cs.column("embedding")), _measured(_matrix(qs.column("vector")))
+            ids = cs.column("id").to_numpy()
+            if probing is None:
+                best.scan(ids, vectors, asked)
+            else:
+                best.scan_coded(ids, vectors, cs.column("code").to_numpy(), asked, _probes(asked[0], *probing))
         got = best.batch()
         return pa.table({"query_id": names.take(got.column("_q")), "id": got.column("id"),
                          "distance": got.column("distance")})
@@ -179,12 +194,17 @@ def _grid_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) ->
 
 def plane_signs(planes: int, dim: int) -> np.ndarray:
     """Signs of the hashing planes: +1 or -1 from the parity of md5("plane:axis")."""
-    import hashlib
-
     parity = lambda p, d: int(hashlib.md5(f"{p}:{d}".encode()).hexdigest()[7], 16) & 1
     return np.array([[1.0 - 2.0 * parity(p, d) for d in range(dim)] for p in range(planes)])
 
 
+def _probes(queries: np.ndarray, planes: int, radius: int) -> np.ndarray:
+    """Which codes each query probes, as a (query, code) table."""
+    codes = ((queries @ plane_signs(planes, queries.shape[1]).T > 0) * (1 << np.arange(planes))).sum(axis=1)
+    differing = np.array([bin(x).count("1") for x in range(1 << planes)])
+    return differing[codes[:, None] ^ np.arange(1 << planes)[None, :]] <= radius
+
+
 def plane_code(vector: Column, planes: int, dim: int) -> Column:
     """Random-hyperplane code of a vector (Charikar 2002), one bit per plane."""
     signs = plane_signs(planes, dim)
@@ -216,11 +236,10 @@ def approximate_topk(
     dim = len(queries.select("vector").head()["vector"])
     small, n = settled(queries.select("query_id", "vector"), params.query_block)
     if n is None:
-        raise ValueError("approximate search takes query sets up to query_block; split the set")
+        return _grid_topk(small, coded_chunks.select("id", "embedding", "code"), k, params, (planes, radius))
     rows = small.collect()
     matrix, lengths = _stacked(rows)
-    codes = ((matrix @ plane_signs(planes, dim).T > 0) * (1 << np.arange(planes))).sum(axis=1)
-    near = np.array([[bin(int(c) ^ other).count("1") <= radius for other in range(1 << planes)] for c in codes])
+    near = _probes(matrix, planes, radius)
     names = spark.createDataFrame(
         [(i, r["query_id"]) for i, r in enumerate(rows)], f"_q bigint, query_id {_type(small)}"
     )
@@ -233,17 +252,13 @@ def approximate_topk(
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, vectors, got = b.column("id").to_numpy(), _matrix(b.column("embedding")), b.column("code").to_numpy()
-            for c in np.unique(got):
-                here = got == c
-                which = np.nonzero(mask[:, c])[0]
-                if len(which):
-                    best.scan(ids[here], vectors[here], qs, which)
+            best.scan_coded(b.column("id").to_numpy(), _matrix(b.column("embedding")), b.column("code").to_numpy(), qs, mask)
         yield best.batch()
 
     partial = (
         coded_chunks.filter(F.col("code").isin(probed))
         .select("id", "embedding", "code")
+        .coalesce(params.scan_tasks)
         .mapInArrow(nearest, _PARTIAL)
     )
     return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)

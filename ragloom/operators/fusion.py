@@ -26,15 +26,26 @@ def take_best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
 
 
+def _blocks_of(ranked: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params) -> DataFrame:
+    """The stored blocks that can hold the ranked ids, when these are few."""
+    if n_rows is None or "block" not in chunks.columns:
+        return chunks
+    block = F.floor(F.col("id") / params.id_block).cast("bigint")
+    blocks = [r["b"] for r in ranked.select(block.alias("b")).distinct().collect()]  # at most n_rows
+    return chunks.filter(F.col("block").isin(blocks)).drop("block")
+
+
 def with_payload(
     ranked: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params = Params()
 ) -> DataFrame:
     """Fetch chunk columns for ranked ids.
 
     Ids come first and the payload last: the ranked side is sent to the chunk
-    table while its size is known to fit, so the chunk table is not shuffled.
+    table while its size is known to fit, so the chunk table is not shuffled
+    and only blocks with ranked ids are read.
     """
-    return chunks.join(broadcast_within(ranked, n_rows, 64, params.broadcast_bytes), "id")
+    near = _blocks_of(ranked, chunks, n_rows, params)
+    return near.join(broadcast_within(ranked, n_rows, 64, params.broadcast_bytes), "id")
 
 
 def with_distance(
@@ -45,7 +56,7 @@ def with_distance(
     row_bytes = 64 + 4 * params.embedding_dim
     small = broadcast_within(asked, n_rows, row_bytes, params.broadcast_bytes)
     return (
-        chunks.join(small, "id")
+        _blocks_of(ranked, chunks, n_rows, params).join(small, "id")
         .withColumn("distance", cosine_distance("embedding", "vector"))
         .drop("vector", "embedding")
     )

@@ -101,7 +101,8 @@ def match_terms(
     terms, n = settled(terms, 100_000)
     keys = ["query_id", "grp"]
     positive = terms.filter(~F.col("negated"))
-    sent = lambda df: broadcast_within(df, n, 200, params.broadcast_bytes)
+    # a set too large to send is at least free of repeats before it is shuffled
+    sent = lambda df: broadcast_within(df if n is not None else df.distinct(), n, 200, params.broadcast_bytes)
     known = (
         counts.join(sent(positive.select(*keys, "term")), "term")
         .groupBy(*keys)

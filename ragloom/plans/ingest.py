@@ -18,7 +18,9 @@ from ragloom.session import written
 class KnowledgeBase:
     """Chunk table and its optional lexeme index.
 
-    ``chunks``: id, doc_title, category, source_url, content, embedding.
+    ``chunks``: id, doc_title, category, source_url, content, embedding, block.
+    The table is stored by ``block``, a range of ids, so a look-up of some ids
+    opens their blocks only.
     ``index``: id, term, occ. ``counts``: term, df. Without an index retrieval
     runs dense only.
     """
@@ -55,7 +57,10 @@ def build_knowledge_base(
     task_types: bool = False,
 ) -> KnowledgeBase:
     """Chunk, number, embed and index; every table is written once and read back."""
-    chunks = written(embed_chunks(chunk_articles(articles, order_by, params), embedder, task_types), "chunks")
+    embedded = embed_chunks(chunk_articles(articles, order_by, params), embedder, task_types)
+    # ids rise along the partitions, so a task writes few blocks
+    blocked = embedded.withColumn("block", F.floor(F.col("id") / params.id_block).cast("bigint"))
+    chunks = written(blocked, "chunks", "block")
     if not lexical:
         return KnowledgeBase(chunks)
     # files stay split by chunk, so no term is hot; sorted by term inside, so a

@@ -38,7 +38,7 @@ def candidates(
     matches = match_terms(query_terms(queries), kb.index, kb.counts, params)
     sparse, _ = settled(sparse_topk(cover_rank(matches), width), limit)
     # fused rows are ranked before the payload join, which cannot change their order
-    fused = take_best(reciprocal_rank_fusion(dense, sparse, params.rrf_k), width)
+    fused, _ = settled(take_best(reciprocal_rank_fusion(dense, sparse, params.rrf_k), width), limit)
     return with_distance(fused, queries, kb.chunks, rows, params)
 
 

@@ -70,6 +70,8 @@ def test_approximate_is_exact_over_what_it_probes(spark):
     assert rows(approximate_topk(q, coded, 4, 4, radius=4)) == rows(dense_topk(q, c, 4))
     near = {(r["query_id"], r["id"]) for r in approximate_topk(q, coded, 4, 4, radius=1).collect()}
     assert len(near) == 20
+    grid = Params(query_block=2, slab_rows=70)
+    assert rows(approximate_topk(q, coded, 4, 4, 1, grid)) == rows(approximate_topk(q, coded, 4, 4, 1))
 
 
 def test_dense_plan_limits_before_the_shuffle(spark):
@@ -255,6 +257,18 @@ def test_large_query_sets_give_the_same(spark, kb):
     assert answers(spark, kb) == answers(spark, kb, params=Params(query_block=2, slab_rows=25))
 
 
+def test_payload_reads_only_blocks_with_hits(spark, kb):
+    small = Params(id_block=7)
+    arts = spark.range(60).select(F.col("id").alias("i"), F.concat(F.lit("T"), "id").alias("title"), F.lit(None).cast("string").alias("category"),
+                                  F.lit(None).cast("string").alias("source_url"), F.concat(F.lit("word"), "id").alias("body"))
+    stored = build_knowledge_base(arts, ["i"], EMB, small, lexical=False)
+    q = spark.createDataFrame([(1, "word3")], "query_id bigint, text string")
+    found = retrieve(q, stored, EMB, small, hybrid=False)
+    assert found.orderBy("rnk").first()["doc_title"] == "T3"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [block" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_fallback_says_so(spark, kb):
     dense_only = answers(spark, KnowledgeBase(kb.chunks))
     assert {r[-1] for r in dense_only} == {False} and dense_only == answers(spark, kb, hybrid=False)
