@@ -10,6 +10,9 @@ from ragloom.params import Params
 from ragloom.session import broadcast_within
 
 
+_MAX_BLOCKS = 1000  # longest list of blocks worth naming in a filter
+
+
 def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, rrf_k: int) -> DataFrame:
     """``(query_id, id, score)``: ``1/(k+rank)`` from each list, summed."""
     part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
@@ -28,10 +31,14 @@ def take_best(scored: DataFrame, k: int) -> DataFrame:
 
 def _blocks_of(ranked: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params) -> DataFrame:
     """The stored blocks that can hold the ranked ids, when these are few."""
-    if n_rows is None or "block" not in chunks.columns:
+    if "block" not in chunks.columns:
         return chunks
+    if n_rows is None:
+        return chunks.drop("block")
     block = F.floor(F.col("id") / params.id_block).cast("bigint")
-    blocks = [r["b"] for r in ranked.select(block.alias("b")).distinct().collect()]  # at most n_rows
+    blocks = [r["b"] for r in ranked.select(block.alias("b")).distinct().limit(_MAX_BLOCKS + 1).collect()]
+    if len(blocks) > _MAX_BLOCKS:  # hits lie all over the table: read it
+        return chunks.drop("block")
     return chunks.filter(F.col("block").isin(blocks)).drop("block")
 
 

@@ -198,25 +198,28 @@ def cover_rank(matches: DataFrame) -> DataFrame:
         "query_id", "id",
         (F.col("_a") * WEIGHTS["A"] + (F.size("occ") - F.col("_a")) * WEIGHTS["B"]).alias("_part"),
     )
-    per_term = Window.partitionBy(*group, "_t").orderBy("pos")
-    here = F.struct(F.col("pos"), F.col("_i"))
+    # position and place in the list as one number, ordered by position
+    per_term = Window.partitionBy(*group, "_t").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("_i")
+    position = lambda c: F.shiftright(c, 32)
+    place = lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
     ends = (
         sized.filter(~F.col("lone"))
         .withColumn("_terms", F.expr("array_distinct(occ.term)"))
         .select(*group, "_terms", "_a", F.posexplode("occ").alias("_i", "_o"))
-        .select(*group, "_a", "_i", "_o.pos", "_o.term", F.size("_terms").alias("_n"), F.explode("_terms").alias("_t"))
-        .withColumn("_last", F.max(F.when(F.col("term") == F.col("_t"), here)).over(per_term))
-        .groupBy(*group, "pos")
-        .agg(F.min("_last").alias("p"), F.count("_last").alias("_seen"),
-             *[F.first(c).alias(c) for c in ("_n", "_i", "_a")])
+        .select(*group, "_a", F.size("_terms").alias("_n"), "_o.pos", "_o.term", "_i", F.explode("_terms").alias("_t"))
+        .select(*group, "_a", "_n", "pos", "_t", here.alias("_here"), F.when(F.col("term") == F.col("_t"), here).alias("_mine"))
+        .withColumn("_last", F.max("_mine").over(per_term))
+        .groupBy(*group, "_here", "_n", "_a")
+        .agg(F.min("_last").alias("p"), F.count("_last").alias("_seen"))
         .filter(F.col("_seen") == F.col("_n"))
     )
-    covers = ends.groupBy(*group, "p", "_a").agg(F.min(here).alias("q"))
+    covers = ends.groupBy(*group, "p", "_a").agg(F.min("_here").alias("q"))
     # title occurrences come first, so places in the list tell the weights
-    m = F.col("q._i") - F.col("p._i") + 1
-    in_title = F.greatest(F.lit(0), F.least(F.col("q._i") + 1, F.col("_a")) - F.col("p._i"))
+    m = place("q") - place("p") + 1
+    in_title = F.greatest(F.lit(0), F.least(place("q") + 1, F.col("_a")) - place("p"))
     inverse = in_title / WEIGHTS["A"] + (m - in_title) / WEIGHTS["B"]
-    noise = F.col("q.pos") - F.col("p.pos") - (m - 1)
+    noise = position("q") - position("p") - (m - 1)
     together = covers.select("query_id", "id", ((m / inverse) / (1 + noise)).alias("_part"))
     return (
         alone.union(together)

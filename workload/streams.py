@@ -8,7 +8,7 @@ from ragloom.operators.answers import SOURCE
 from ragloom.operators.ratelimit import client_key, rate_limit
 from ragloom.operators.turns import fold_turns, parse_frames, turn_log
 from ragloom.plans.retrieve import retrieve
-from ragloom.session import scratch_path, written
+from ragloom.session import scratch_path
 from ragloom.sources.archive import archive_turns
 from ragloom.sources.tables import full_reload, promote
 from ragloom.streaming.ratelimit import rate_limit_stream
@@ -20,6 +20,14 @@ from workload.tables import EMBEDDER, PARAMS, knowledge_base, messages, table, w
 
 L = F.col
 
+
+def _as_stream(df):
+    """The rows of a table, arriving as a stream of files."""
+    path = scratch_path(df.sparkSession, "arriving")
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 # Fixture requests are sparse: a day and two requests make the limit trip.
 DAY, MAX = 86_400, 2
 
@@ -117,8 +125,7 @@ def turn_fold_first(spark, sf_dir):
 @query(_folded(2))
 def turn_fold_stream(spark, sf_dir):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    events = written(turn_events(spark, sf_dir).withColumn("ts", start), "events")
-    source = spark.readStream.schema(events.schema).parquet(events.inputFiles()[0].rsplit("/", 1)[0])
+    source = _as_stream(turn_events(spark, sf_dir).withColumn("ts", start))
     folded = drain(fold_turns_stream(source), "turns")
     return _shown(folded.withColumn("sources", F.from_json("sources_json", f"array<{SOURCE}>")))
 
@@ -198,8 +205,7 @@ def archive_append(spark, sf_dir):
 
 @query(_ARCHIVED)
 def archive_streamed(spark, sf_dir):
-    turns = written(_finished(spark, sf_dir), "finished")
-    source = spark.readStream.schema(turns.schema).parquet(turns.inputFiles()[0].rsplit("/", 1)[0])
+    source = _as_stream(_finished(spark, sf_dir))
     path = scratch_path(spark, "archive")
     archive_stream(source, f"{path}/rows", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/rows").select("question", "answer", "escalated")
@@ -209,14 +215,14 @@ def archive_streamed(spark, sf_dir):
 def reload_table(spark, sf_dir):
     """Loaded twice; the second load replaces the first."""
     chunks = knowledge_base(spark, sf_dir).chunks
-    full_reload(chunks.unionByName(chunks), "kb_chunks")
-    return full_reload(chunks, "kb_chunks").select("id", "doc_title", "content")
+    full_reload(chunks.unionByName(chunks), "chunks_reloaded")
+    return full_reload(chunks, "chunks_reloaded").select("id", "doc_title", "content")
 
 
 @query(sql("SELECT id, upper(doc_title) AS doc_title FROM chunks"))
 def shadow_promote(spark, sf_dir):
     """A shadow table built beside the live one takes its name."""
     chunks = knowledge_base(spark, sf_dir).chunks
-    full_reload(chunks, "kb_live")
-    full_reload(chunks.withColumn("doc_title", F.upper("doc_title")), "kb_shadow")
-    return promote(spark, "kb_shadow", "kb_live").select("id", "doc_title")
+    full_reload(chunks, "chunks_live")
+    full_reload(chunks.withColumn("doc_title", F.upper("doc_title")), "chunks_shadow")
+    return promote(spark, "chunks_shadow", "chunks_live").select("id", "doc_title")
