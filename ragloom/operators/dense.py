@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ragloom.functions.vectors import DISTANCE_PLACES
 from ragloom.params import Params
-from ragloom.session import settled, ship
+from ragloom.session import one_row, settled, ship
 
 _CELLS = 1 << 21  # distances held at once by one task
 
@@ -273,11 +273,9 @@ def candidate_fraction(queries: DataFrame, coded_chunks: DataFrame, planes: int,
     c = coded_chunks.groupBy("code").agg(F.count(F.lit(1)).alias("nc"))
     flips = [m for m in range(1 << planes) if bin(m).count("1") <= radius]
     probes = q.select("nq", F.explode(F.array(*[F.col("q_code").bitwiseXOR(F.lit(m)) for m in flips])).alias("code"))
-    measured = probes.join(c, "code").agg(F.coalesce(F.sum(F.col("nq") * F.col("nc")), F.lit(0)).alias("measured"))
-    sizes = q.agg(F.sum("nq").alias("nq")), c.agg(F.sum("nc").alias("nc"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return (
-        one(measured).join(one(sizes[0]), "_one").join(one(sizes[1]), "_one")
-        .select("measured", (F.col("nq") * F.col("nc")).alias("pairs"),
-                (F.col("measured") / (F.col("nq") * F.col("nc"))).alias("fraction"))
-    )
+    return one_row(
+        probes.join(c, "code").agg(F.coalesce(F.sum(F.col("nq") * F.col("nc")), F.lit(0)).alias("measured")),
+        q.agg(F.sum("nq").alias("nq")),
+        c.agg(F.sum("nc").alias("nc")),
+    ).select("measured", (F.col("nq") * F.col("nc")).alias("pairs"),
+             (F.col("measured") / (F.col("nq") * F.col("nc"))).alias("fraction"))

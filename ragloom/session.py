@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,12 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_col: str,
     return left.join(right, on + ["_salt"]).drop("_salt")
 
 
+def one_row(*aggregates: DataFrame) -> DataFrame:
+    """Single-row aggregates with different columns, side by side, without a cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 _shipped: set[str] = set()
 
 

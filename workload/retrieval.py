@@ -17,6 +17,7 @@ from ragloom.operators.lexical import (
 )
 from ragloom.plans.ingest import KnowledgeBase, chunk_articles
 from ragloom.plans.retrieve import embed_queries, multi_requirement_retrieve, retrieve
+from ragloom.session import one_row
 from ragloom.sources.articles import parse_articles
 from workload.registry import query
 from workload.sqlparts import SPACES, STOPS, cosine, sql, stem, words
@@ -184,10 +185,10 @@ def ann_recall(spark, sf_dir):
     queries, coded, approx = _approximate(spark, sf_dir)
     exact = dense_topk(queries, coded, PARAMS.candidate_k, PARAMS).select("query_id", "id", F.lit(1).alias("_e"))
     found = exact.join(approx.select("query_id", "id", F.lit(1).alias("_a")), ["query_id", "id"], "left")
-    recall = found.agg((F.count("_a") / F.count("_e")).alias("recall")).withColumn("_one", F.lit(1))
+    recall = found.agg((F.count("_a") / F.count("_e")).alias("recall"))
     coded_queries = queries.withColumn("code", plane_code(L("vector"), _PLANES, 64))
-    share = candidate_fraction(coded_queries, coded, _PLANES, _RADIUS).withColumn("_one", F.lit(1))
-    return recall.join(share, "_one").select(*six("recall"), "measured", "pairs", *six("fraction"))
+    share = candidate_fraction(coded_queries, coded, _PLANES, _RADIUS)
+    return one_row(recall, share).select(*six("recall"), "measured", "pairs", *six("fraction"))
 
 
 # --- sparse -----------------------------------------------------------------
