@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from workload import load
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not here")
@@ -20,10 +21,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(load().QUERIES) == set(load().ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load().QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     want = duck.sql(entry.oracle_sql()[name])
