@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.llm.common import LOWER, byte_view, fold_of, pieces, table, utf8
 from ragloom.llm.registry import query
@@ -196,7 +197,7 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, para
 def scorer(model: ToxicityModel):
     """A column function: text to its toxicity between 0 and 1."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def toxicity(text: pa.Array) -> pa.Array:
         total = np.full(len(text), model.intercept)
         for lo, doc, gram in present(text, model.params, model.features):
