@@ -3,6 +3,7 @@
 from ragloom.llm import (  # noqa: F401
     decontaminate,
     exact_dedup,
+    packing,
     toxicity,
 )
 from ragloom.llm.registry import ORACLES, QUERIES
