@@ -5,6 +5,7 @@ from ragloom.llm import (  # noqa: F401
     exact_dedup,
     packing,
     toxicity,
+    warc,
 )
 from ragloom.llm.registry import ORACLES, QUERIES
 
