@@ -4,6 +4,7 @@ from ragloom.llm import (  # noqa: F401
     decontaminate,
     exact_dedup,
     langid,
+    license_scan,
     packing,
     toxicity,
     warc,
