@@ -6,6 +6,7 @@ from ragloom.llm import (  # noqa: F401
     langid,
     license_scan,
     packing,
+    token_counts,
     toxicity,
     warc,
 )
