@@ -7,6 +7,7 @@ from ragloom.llm import (  # noqa: F401
     langid,
     license_scan,
     packing,
+    pitman_yor,
     token_counts,
     toxicity,
     warc,
