@@ -1,3 +1,67 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): ...
+"""Documents to training sequences: five stages, each one operator on all that the last one kept.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ragloom.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from ragloom.llm.common import table
+from ragloom.llm.registry import ready
+from ragloom.session import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier, learnt as in op10_toxicity, scores at its threshold or above."""
+    ready(spark)
+    params = toxicity.ToxicityParams()
+    model = toxicity.train(docs.filter(~toxicity.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"), params=params)
+    return docs.filter(toxicity.score(docs, model) < params.threshold)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    ready(spark)
+    return exact_dedup.unique(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    ready(spark)
+    return jaccard_join.distinct_texts(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    ready(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that stayed, placed in sequences."""
+    ready(spark)
+    pieces = packing.pack(docs, packing.byte_bpe())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: A trained classifier and a tokenizer are not SQL; tests hold the stages against plain loops.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,3 +38,32 @@ def jaccard_components(rows, percent=80):
         if name is not None:
             least[r] = min(least.get(r, name), name)
     return {i: (len(sets[i]), least.get(find(i))) for i in range(len(rows))}
+
+
+def squeezed(text):
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
+def bench_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def contamination(texts, items, window=10):
+    """For each text: (words, hit word numbers, item ids)."""
+    windows = {}
+    for item, text in items:
+        w = bench_words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + window]), set()).add(item)
+    lengths = sorted({len(w) for w in windows})
+    out = []
+    for text in texts:
+        w, hit, ids = bench_words(text), set(), set()
+        for i in range(len(w)):
+            for n in lengths:
+                if found := windows.get(tuple(w[i : i + n])) if i + n <= len(w) else None:
+                    hit.update(range(i, i + n))
+                    ids |= found
+        out.append((len(w), hit, ids))
+    return out
