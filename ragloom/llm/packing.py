@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,37 @@ class PackingParams:
     cache_words: int = 1_000_000  # words whose ids a task remembers
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Known(dict):
+    """Ids of words as bytes, found when first asked for."""
+
+    letters = byte_letters()
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__()
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
+            ids = self[word[:-1]] + self[word[-1]]
+        elif (word[1:] if word[0] == " " else word).isalpha():  # one piece
+            made = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in made]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, remembering the ids of words.
 
@@ -47,7 +80,8 @@ class Encoder:
     text with any other white space is encoded as a whole.
     """
 
-    odd = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+    runs = ("  ", " \n", "\n ", "\n\n", "\0")
+    odd = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str, cache_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,29 +89,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer, cache_words)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text):
-            return self.whole([text])[0]
-        words = text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0") if "\0" not in text else None
-        if words is None:
-            return self.whole([text])[0]
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > self.cache_words:
-                self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            self.known.update(zip(new, self.whole(new), strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+        if text[0].isspace() or text[-1].isspace() or any(r in text for r in self.runs):
+            return self.whole(text)
+        if not text.replace("\n", "").isprintable() and self.odd.search(text):
+            return self.whole(text)
+        words = text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
+        return b"".join(map(self.known.__getitem__, words))
+
+
+@lru_cache(2)
+def encoder(path: str, cache_words: int) -> Encoder:
+    """The encoder of a worker process, which keeps what it knows from task to task."""
+    return Encoder(path, cache_words)
 
 
 class Rooms:
@@ -176,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackingParams = PackingParams(
     dealt = rows.repartition(F.xxhash64("row")).sortWithinPartitions("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, params.cache_words)
+        encode = encoder(tokenizer, params.cache_words)
         end = np.array([params.end_id], "<u4").tobytes()
         base, made = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[object, int, int, bytes]] = []  # id, ids before, ids of the document, ids

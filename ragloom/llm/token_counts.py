@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,12 @@ class Counter:
         return np.diff(ends, prepend=0), np.array(counts, np.int64)
 
 
+@lru_cache(2)
+def counter_of(path: str, cache_words: int) -> Counter:
+    """The counter of a worker process, which keeps what it knows from task to task."""
+    return Counter(path, cache_words)
+
+
 class Sums:
     """A segment tree of sums: update a leaf, find the leaf that holds a position."""
 
@@ -171,7 +178,7 @@ def build(docs: DataFrame, tokenizer: str, params: CountParams = CountParams(),
     rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"kept_{c}") for c in keep], utf8(docs[text_col]).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer, params.cache_words)
+        counter = counter_of(tokenizer, params.cache_words)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for raw in batch.column("text").to_pylist():
@@ -206,7 +213,7 @@ def edited(trees: DataFrame, tokenizer: str, params: CountParams = CountParams()
     rows = trees.select(trees[id_col].alias("id"), "text", "lengths", "counts", F.col("edits").cast(f"array<{EDIT}>").alias("edits"), F.col("n_tokens").alias("tokens_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer, params.cache_words)
+        counter = counter_of(tokenizer, params.cache_words)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             cols = [batch.column(c) for c in ("text", "lengths", "counts", "edits")]
