@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragloom.functions.clock import micros
-from ragloom.operators.ratelimit import NEVER, open_windows
+from ragloom.operators.ratelimit import NEVER, limit_key, open_windows
 from ragloom.session import ship
 
 
@@ -22,44 +22,54 @@ def rate_limit_stream(
     key: str = "key",
     ts: str = "ts",
     order: str = "id",
-    lateness: str = "0 seconds",
+    idle_seconds: int | None = None,
 ) -> DataFrame:
-    """``(key, id, ts, limited)`` as requests arrive.
+    """``(key, id, ts, limited, late)`` as requests arrive; every request comes out.
 
-    The state of a key is the end of its open window and the count inside it;
-    it is dropped once the watermark has passed that end. Rows behind the
-    watermark are dropped by Spark. In-order replay gives the batch result.
+    Requests are decided in order of arrival, those of a micro-batch by time and
+    id. The clock of a key never runs back: a request older than one before it
+    is ``late`` and is decided at the time the clock shows. So replay in order
+    equals the batch result, and nothing depends on a watermark. Requests
+    without a key are counted together; those without a time come out with
+    ``limited`` null and change nothing.
+
+    The state of a key is its clock, the end of its open window and the count
+    inside it. It is dropped when the key has sent nothing for ``idle_seconds``
+    of real time, ten windows unless given.
     """
     ship(requests.sparkSession)
     window = window_seconds * 1_000_000
+    idle = (idle_seconds or 10 * window_seconds) * 1000
     types = {c: t for c, t in requests.dtypes}
-    rows = (
-        requests.withColumn("_t", micros(requests, ts))
-        .withColumn("_at", F.timestamp_micros("_t"))
-        .withWatermark("_at", lateness)
-        .select(F.col(key).alias("key"), F.col(order).alias("id"), "_t", "_at")
-    )
+    rows = requests.select(limit_key(F.col(key)).alias("group"), F.col(key).alias("key"), F.col(order).alias("id"), micros(requests, ts).alias("_t"))
 
     def fold(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        reset, count = state.get if state.exists else (NEVER, 0)
-        pdf = pd.concat(list(chunks)).sort_values(["_t", "id"])  # one key's rows of one micro-batch
-        t = pdf["_t"].to_numpy()
-        place, opens = open_windows(t, window, reset)
-        starts = np.r_[0, opens]
-        nth = np.arange(len(t)) - starts[place + 1] + 1 + np.where(place < 0, count, 0)
-        if len(opens):
-            reset = int(t[opens[-1]]) + window
-        state.update((reset, int(nth[-1])))
-        state.setTimeoutTimestamp(max(reset // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": k[0], "id": pdf["id"].to_numpy(), "_t": t, "limited": nth > max_requests})
+        clock, reset, count = state.get if state.exists else (NEVER, NEVER, 0)
+        pdf = pd.concat(list(chunks))  # one key's rows of one micro-batch
+        unknown = pdf["_t"].isna()
+        if unknown.any():
+            lost = pdf[unknown]
+            yield lost[["key", "id", "_t"]].assign(limited=None, late=False)
+            pdf = pdf[~unknown]
+        if len(pdf):
+            pdf = pdf.sort_values(["_t", "id"])
+            t = np.maximum.accumulate(np.r_[clock, pdf["_t"].to_numpy().astype(np.int64)])[1:]
+            place, opens = open_windows(t, window, reset)
+            starts = np.r_[0, opens]
+            nth = np.arange(len(t)) - starts[place + 1] + 1 + np.where(place < 0, count, 0)
+            if len(opens):
+                reset = int(t[opens[-1]]) + window
+            clock, count = int(t[-1]), int(nth[-1])
+            yield pdf[["key", "id", "_t"]].assign(limited=nth > max_requests, late=pdf["_t"].to_numpy() < t)
+        if clock > NEVER:
+            state.update((clock, reset, count))
+            state.setTimeoutDuration(idle)
 
-    out = f"key {types[key]}, id {types[order]}, _t bigint, limited boolean"
-    folded = rows.groupBy("key").applyInPandasWithState(
-        fold, out, "reset bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return folded.select(
-        F.col("key").alias(key), F.col("id").alias(order), F.timestamp_micros("_t").alias(ts), "limited"
+    out = f"key {types[key]}, id {types[order]}, _t bigint, limited boolean, late boolean"
+    folded = rows.groupBy("group").applyInPandasWithState(
+        fold, out, "clock bigint, reset bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+    return folded.select(F.col("key").alias(key), F.col("id").alias(order), F.timestamp_micros("_t").alias(ts), "limited", "late")

@@ -9,14 +9,26 @@ from ragloom.session import scratch_path
 from ragloom.sources.archive import archive_batch
 
 
-def drain(stream: DataFrame, label: str = "stream") -> DataFrame:
-    """Process what is available into a parquet table of the shared folder and read it."""
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(stream: DataFrame, label: str = "stream", idle_batches: bool = True) -> DataFrame:
+    """Process what is available into a parquet table of the shared folder and read it.
+
+    A stream with timeouts in real time would get batches without data for ever;
+    it is drained with ``idle_batches`` off.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    )
+    before = spark.conf.get(IDLE)
+    spark.conf.set(IDLE, str(idle_batches).lower())
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(IDLE, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 

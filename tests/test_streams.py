@@ -65,8 +65,27 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
         frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = frame(spark, rows[:1]).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream = rate_limit_stream(source, 60, 5, lateness="1 second")
-    got = {r["id"]: r["limited"] for r in drain(stream).collect()}
+    stream = rate_limit_stream(source, 60, 5)
+    got = {r["id"]: r["limited"] for r in drain(stream, idle_batches=False).collect()}
+    assert got == limited_by_loop(rows, 60, 5)
+
+
+def test_limit_keeps_requests_without_key_or_time(spark, tmp_path):
+    rows = [(1, None, START), (2, "unknown", START), (3, "a", None), (4, None, START), (5, "a", START)]
+    df = spark.createDataFrame(rows, "id bigint, key string, ts timestamp_ntz")
+    want = {1: False, 2: True, 3: None, 4: True, 5: False}
+    assert {r["id"]: r["limited"] for r in rate_limit(df, 60, 1).collect()} == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = rate_limit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60, 1)
+    assert {r["id"]: r["limited"] for r in drain(stream, idle_batches=False).collect()} == want
+
+
+def test_slices_follow_the_densest_key(spark, monkeypatch):
+    from ragloom.operators import ratelimit
+
+    monkeypatch.setattr(ratelimit, "SLICE_TICKS", 40)
+    rows = requests(4)
+    got = {r["id"]: r["limited"] for r in rate_limit(frame(spark, rows), 60, 5).collect()}
     assert got == limited_by_loop(rows, 60, 5)
 
 

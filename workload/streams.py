@@ -54,13 +54,59 @@ def rate_limited(spark, sf_dir):
     return limited.select("event_id", "user_id", "limited")
 
 
+@query(f"""
+  WITH RECURSIVE events AS (
+    SELECT event_id, coalesce(CASE WHEN user_id % 3 > 0 THEN user_id END::VARCHAR, 'unknown') AS user_id, ts
+    FROM main.events WHERE event_id % 7 > 0),
+  windows AS ({_LIMIT_PARTS["windows"]}), placed AS ({_LIMIT_PARTS["placed"]})
+  SELECT event_id, row_number() OVER (PARTITION BY user_id, opened ORDER BY ts, event_id) > {MAX} AS limited FROM placed
+  UNION ALL SELECT event_id, NULL FROM main.events WHERE event_id % 7 = 0""")
+def rate_limited_nulls(spark, sf_dir):
+    """Some requests without a key, some without a time."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.when(L("user_id") % 3 > 0, L("user_id")).alias("user_id"), F.when(L("event_id") % 7 > 0, L("ts")).alias("ts"))
+    return rate_limit(events, DAY, MAX, "user_id", "ts", "event_id").select("event_id", "limited")
+
+
+def _arriving(df, place, n):
+    """The rows of a table as a stream of ``n`` files in order of ``place``, one a micro-batch."""
+    path = scratch_path(df.sparkSession, "arriving")
+    for i in range(n):
+        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(_LIMIT)
 def rate_limited_stream(spark, sf_dir):
-    """The same rule on a stream."""
+    """The same rule on a stream that arrives in order, in three files."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    source = _arriving(events, F.floor((F.day("ts") - 1) / 11), 3)
     limited = rate_limit_stream(source, DAY, MAX, "user_id", "ts", "event_id")
-    return drain(limited, "limits").select("event_id", "user_id", "limited")
+    return drain(limited, "limits", idle_batches=False).select("event_id", "user_id", "limited")
+
+
+# Files of events from anywhere in the month, some without a key, some without a time.
+_UNORDERED = f"""WITH RECURSIVE arrived AS (
+    SELECT event_id, coalesce(CASE WHEN user_id % 5 > 0 THEN user_id END::VARCHAR, 'unknown') AS user_id, event_id % 4 AS file, ts AS sent,
+           CASE WHEN event_id % 7 > 0 THEN ts END AS own FROM main.events),
+  numbered AS (
+    SELECT event_id, user_id, own, max(own) OVER (PARTITION BY user_id ORDER BY file, own, event_id ROWS UNBOUNDED PRECEDING) AS ts,
+           row_number() OVER (PARTITION BY user_id ORDER BY file, own, event_id) AS nth
+    FROM arrived WHERE own IS NOT NULL),
+  events AS (SELECT event_id, user_id, ts, own, nth FROM numbered),
+  windows AS ({_LIMIT_PARTS["windows"]}),
+  placed AS (SELECT e.*, w.opened FROM events e ASOF JOIN windows w ON e.user_id = w.user_id AND e.ts >= w.opened)
+  SELECT event_id, row_number() OVER (PARTITION BY user_id, opened ORDER BY nth) > {MAX} AS limited, own < ts AS late FROM placed
+  UNION ALL SELECT event_id, NULL, false FROM arrived WHERE own IS NULL"""
+
+
+@query(_UNORDERED)
+def rate_limited_unordered(spark, sf_dir):
+    """A stream of files out of order: every request comes out, late ones at the time their key's clock shows."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.when(L("user_id") % 5 > 0, L("user_id")).alias("user_id"), F.when(L("event_id") % 7 > 0, L("ts")).alias("ts"))
+    limited = rate_limit_stream(_arriving(events, L("event_id") % 4, 4), DAY, MAX, "user_id", "ts", "event_id")
+    return drain(limited, "limits", idle_batches=False).select("event_id", "limited", "late")
 
 
 @query("""
