@@ -19,36 +19,53 @@ def _authority(url: Column) -> Column:
     return F.regexp_replace(whole, r"\A.*@", "")
 
 
-def _dotted(host: Column) -> Column:
-    """IPv4 numbers as dotted decimals, as browsers read ``127.1`` or ``0x7f000001``."""
-    parts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
-    number = lambda p: (
-        F.when(p.startswith("0x"), F.conv(F.substring(F.concat(p, F.lit("")), F.lit(3), F.length(p)), 16, 10))
-        .when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10))
-        .otherwise(p).try_cast("bigint")
-    )
-    n = F.size(parts)
-    value = F.aggregate(
-        F.transform(parts, lambda p, i: F.when(i < n - 1, number(p) * F.pow(F.lit(256.0), F.lit(3) - i).cast("bigint"))
-                    .otherwise(number(p))),
-        F.lit(0).cast("bigint"), lambda acc, v: acc + v,
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _number(part: Column) -> Column:
+    """The value of a part of an IPv4 address, null if it is none (``08`` is neither octal nor decimal)."""
+    return (
+        F.when(part.rlike(r"\A0x[0-9a-f]*\z"), F.conv(F.concat(F.lit("0"), F.substring(part, F.lit(3), F.length(part))), 16, 10))
+        .when(part.rlike(r"\A0[0-7]+\z"), F.conv(part, 8, 10))
+        .when(part.rlike(r"\A(0|[1-9][0-9]*)\z"), part).try_cast("bigint")
     )
-    octet = lambda shift: F.shiftright(value, shift).bitwiseAND(255).cast("string")
-    numeric = F.regexp_like(host, F.lit(r"\A(0x[0-9a-f]{1,8}|[0-9]{1,11})(\.(0x[0-9a-f]{1,8}|[0-9]{1,11})){0,3}\.?\z"))
-    return F.when(numeric & value.isNotNull(), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(host)
+
+
+def _dotted(name: Column) -> Column:
+    """A host whose last part is a number as dotted decimals, as browsers read ``127.1`` or
+    ``0x7f000001``; null if its parts are no IPv4 address. Other hosts as they are."""
+
+    def address(parts: Column) -> Column:
+        n = F.size(parts)
+        numbers = F.transform(parts, _number)
+        fits = (n <= 4) & F.forall(
+            F.transform(numbers, lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
+            lambda x: F.coalesce(x["v"] < F.when(x["i"] < n - 1, F.lit(256)).otherwise(F.pow(F.lit(256.0), 5 - n)).cast("bigint"), F.lit(False)),
+        )
+        value = F.aggregate(
+            F.transform(numbers, lambda v, i: F.when(i < n - 1, v * F.pow(F.lit(256.0), F.lit(3) - i).cast("bigint")).otherwise(v)),
+            F.lit(0).cast("bigint"), lambda acc, v: acc + v,
+        )
+        octets = _let(value, lambda v: F.concat_ws(".", *[F.shiftright(v, x).bitwiseAND(255).cast("string") for x in (24, 16, 8, 0)]))
+        return F.when(fits, octets)
+
+    numeric = name.rlike(r"(\A|\.)([0-9]+|0x[0-9a-f]*)\.?\z")
+    return F.when(numeric, _let(F.split(F.regexp_replace(name, r"\.\z", ""), r"\."), address)).otherwise(name)
 
 
 def host(url: Column) -> Column:
-    """Lower-case host name; an IPv6 address keeps its brackets."""
-    name = F.lower(F.regexp_replace(_authority(url), r":[0-9]*\z", ""))
-    return _dotted(name)
+    """Lower-case host name; an IPv6 address keeps its brackets, an impossible IPv4 address is null."""
+    return _let(F.lower(F.regexp_replace(_authority(url), r":[0-9]*\z", "")), _dotted)
 
 
-def is_url(url: Column) -> Column:
+def is_url(url: Column, host_name: Column | None = None) -> Column:
     """Has a scheme, and for http(s) a host that can be one."""
     web = scheme(url).isin("http", "https")
     fits = F.regexp_like(_authority(url), F.lit(r"\A(\[[0-9A-Fa-f:.]+\]|[^\s\x00-\x20<>^|%\[\]:]+)(:[0-9]{0,5})?\z"))
-    return F.coalesce((scheme(url) != "") & (~web | fits), F.lit(False))
+    able = (host(url) if host_name is None else host_name).isNotNull()
+    return F.coalesce((scheme(url) != "") & (~web | (fits & able)), F.lit(False))
 
 
 # Hosts that are not public.
@@ -56,20 +73,23 @@ PRIVATE_NAMES = ("localhost", "0.0.0.0", "::1", "[::1]", "metadata.google.intern
 PRIVATE_PATTERN = r"\.internal\z|\A127\.|\A10\.|\A192\.168\.|\A169\.254\.|\A172\.(1[6-9]|2[0-9]|3[01])\."
 
 
-def admission_problem(url: Column) -> Column:
-    """Why a link may not be fetched, null when it may."""
-    return (
-        F.when(~is_url(url), "not a valid URL")
-        .when(~scheme(url).isin("http", "https"), "only http(s) links are supported")
-        .when(host(url).isin(*PRIVATE_NAMES) | F.regexp_like(host(url), F.lit(PRIVATE_PATTERN)), "host is not allowed")
-    )
+def admission_problem(url: Column, host_name: Column | None = None) -> Column:
+    """Why a link may not be fetched, null when it may; ``host_name`` where it is known."""
+
+    def problem(name: Column) -> Column:
+        return (
+            F.when(~is_url(url, name), "not a valid URL")
+            .when(~scheme(url).isin("http", "https"), "only http(s) links are supported")
+            .when(name.isin(*PRIVATE_NAMES) | F.regexp_like(name, F.lit(PRIVATE_PATTERN)), "host is not allowed")
+        )
+
+    return _let(host(url), problem) if host_name is None else problem(host_name)
 
 
 # Sites that block page reads; (how to match the host, text, label), first match wins.
 BLOCKED_SITES = (
     ("suffix", "linkedin.com", "LinkedIn"),
     ("contains", "seek.com", "Seek"),
-    ("suffix", "indeed.com", "Indeed"),
     ("contains", "indeed.", "Indeed"),
     ("contains", "glassdoor.", "Glassdoor"),
     ("suffix", "ziprecruiter.com", "ZipRecruiter"),

@@ -112,10 +112,8 @@ def dense_topk(
     qs = queries.select("query_id", F.col(vector).alias("vector"))
     cs = chunks.select("id", F.col(embedding).alias("embedding"))
     ship(queries.sparkSession)
-    small, n = settled(qs, params.query_block)
-    if n is None:
-        return _grid_topk(small, cs, k, params)
-    return _sent_topk(small, cs, k, params)
+    qs, n = settled(qs)
+    return _grid_topk(qs, n, cs, k, params) if n > params.query_block else _sent_topk(qs, cs, k, params)
 
 
 def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +123,7 @@ def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
 
 def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) -> DataFrame:
     spark = queries.sparkSession
-    rows = queries.collect()  # bounded by query_block, already a local relation
+    rows = queries.collect()  # at most query_block
     names = spark.createDataFrame(
         [(i, r["query_id"]) for i, r in enumerate(rows)], f"_q bigint, query_id {_type(queries)}"
     )
@@ -142,8 +140,7 @@ def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) ->
                 best.scan(b.column("id").to_numpy(), _matrix(b.column("embedding")), sent.value)
         yield best.batch()
 
-    # every task leaves k rows per query: few long tasks keep the shuffle small
-    partial = chunks.coalesce(params.scan_tasks).mapInArrow(nearest, _PARTIAL)
+    partial = chunks.mapInArrow(nearest, _PARTIAL)
     return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)
 
 
@@ -152,13 +149,14 @@ def _type(queries: DataFrame) -> str:
 
 
 def _grid_topk(
-    queries: DataFrame, chunks: DataFrame, k: int, params: Params, probing: tuple[int, int] | None = None
+    queries: DataFrame, n_queries: int, chunks: DataFrame, k: int, params: Params,
+    probing: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Every (query block, chunk slab) cell is one bounded group.
 
     ``probing`` = (planes, radius) measures only chunks whose code a query probes.
     """
-    n_blocks = math.ceil(queries.count() / params.query_block)
+    n_blocks = math.ceil(n_queries / params.query_block)
     n_slabs = math.ceil(max(1, chunks.count()) / params.slab_rows)
     spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     repeat = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -233,10 +231,11 @@ def approximate_topk(
     """
     spark = queries.sparkSession
     ship(spark)
-    dim = len(queries.select("vector").head()["vector"])
-    small, n = settled(queries.select("query_id", "vector"), params.query_block)
-    if n is None:
-        return _grid_topk(small, coded_chunks.select("id", "embedding", "code"), k, params, (planes, radius))
+    small, n = settled(queries.select("query_id", "vector"))
+    if n > params.query_block:
+        return _grid_topk(small, n, coded_chunks.select("id", "embedding", "code"), k, params, (planes, radius))
+    if not n:  # nothing is asked
+        return _sent_topk(small, coded_chunks.select("id", "embedding"), k, params)
     rows = small.collect()
     matrix, lengths = _stacked(rows)
     near = _probes(matrix, planes, radius)
@@ -258,7 +257,6 @@ def approximate_topk(
     partial = (
         coded_chunks.filter(F.col("code").isin(probed))
         .select("id", "embedding", "code")
-        .coalesce(params.scan_tasks)
         .mapInArrow(nearest, _PARTIAL)
     )
     return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)

@@ -10,9 +10,6 @@ from ragloom.params import Params
 from ragloom.session import broadcast_within
 
 
-_MAX_BLOCKS = 1000  # longest list of blocks worth naming in a filter
-
-
 def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, rrf_k: int) -> DataFrame:
     """``(query_id, id, score)``: ``1/(k+rank)`` from each list, summed."""
     part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
@@ -29,41 +26,36 @@ def take_best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
 
 
-def _blocks_of(ranked: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params) -> DataFrame:
-    """The stored blocks that can hold the ranked ids, when these are few."""
-    if "block" not in chunks.columns:
-        return chunks
-    if n_rows is None:
-        return chunks.drop("block")
-    block = F.floor(F.col("id") / params.id_block).cast("bigint")
-    blocks = [r["b"] for r in ranked.select(block.alias("b")).distinct().limit(_MAX_BLOCKS + 1).collect()]
-    if len(blocks) > _MAX_BLOCKS:  # hits lie all over the table: read it
-        return chunks.drop("block")
-    return chunks.filter(F.col("block").isin(blocks)).drop("block")
+def _fetched(ids: DataFrame, chunks: DataFrame, n_rows: int, params: Params) -> DataFrame:
+    """The chunk rows of the distinct ``ids``.
 
+    Ids carry the number of their stored block, so where they are sent to a table
+    stored by ``block`` only the blocks that hold them are read; only ids are sent.
+    """
+    on = ["id"]
+    if "block" in chunks.columns:
+        # ids count from 0; said as a condition, it makes the optimizer prune blocks by the ids
+        ids = ids.filter("id >= 0").withColumn("block", F.floor(F.col("id") / params.id_block).cast("bigint"))
+        on = ["block", "id"]
+    return chunks.join(broadcast_within(ids, n_rows, 32, params.broadcast_bytes), on).drop("block")
 
-def with_payload(
-    ranked: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params = Params()
-) -> DataFrame:
-    """Fetch chunk columns for ranked ids.
 
-    Ids come first and the payload last: the ranked side is sent to the chunk
-    table while its size is known to fit, so the chunk table is not shuffled
-    and only blocks with ranked ids are read.
-    """
-    near = _blocks_of(ranked, chunks, n_rows, params)
-    return near.join(broadcast_within(ranked, n_rows, 64, params.broadcast_bytes), "id")
+def with_payload(ranked: DataFrame, chunks: DataFrame, n_rows: int, params: Params = Params()) -> DataFrame:
+    """Fetch chunk columns for ranked ids; ids come first and the payload last."""
+    return _fetched(ranked.select("id").distinct(), chunks, n_rows, params).join(
+        broadcast_within(ranked, n_rows, 64, params.broadcast_bytes), "id")
 
 
 def with_distance(
-    ranked: DataFrame, queries: DataFrame, chunks: DataFrame, n_rows: int | None, params: Params = Params()
+    ranked: DataFrame, queries: DataFrame, chunks: DataFrame, n_rows: int, params: Params = Params()
 ) -> DataFrame:
-    """Like ``with_payload``, and measure the dense distance of every row."""
-    asked = ranked.drop("distance").join(queries.select("query_id", "vector"), "query_id")
-    row_bytes = 64 + 4 * params.embedding_dim
-    small = broadcast_within(asked, n_rows, row_bytes, params.broadcast_bytes)
+    """Like ``with_payload``, and measure the dense distance of every row.
+
+    Query vectors meet the few fetched rows, not the chunk table.
+    """
+    found = with_payload(ranked.drop("distance"), chunks, n_rows, params)
     return (
-        _blocks_of(ranked, chunks, n_rows, params).join(small, "id")
+        found.join(queries.select("query_id", "vector"), "query_id")
         .withColumn("distance", cosine_distance("embedding", "vector"))
         .drop("vector", "embedding")
     )

@@ -81,10 +81,10 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("term", stem(F.col("_word"))).drop("_word")
 
 
-def _near(index: DataFrame, wanted: DataFrame, n_terms: int | None, params: Params) -> DataFrame:
+def _near(index: DataFrame, wanted: DataFrame, n_terms: int, params: Params) -> DataFrame:
     """Join postings to a set of wanted terms, whichever way its size allows."""
-    if n_terms is not None:
-        return index.join(broadcast_within(wanted, n_terms, 200, params.broadcast_bytes), "term")
+    if n_terms * 200 <= params.broadcast_bytes:
+        return index.join(F.broadcast(wanted), "term")
     return salted_join(index, wanted, ["term"], "id", params.salts)
 
 
@@ -95,14 +95,14 @@ def match_terms(
 
     ``lone`` marks groups of a single term.
 
-    Candidates come from the rarest positive term of each group, so a term held
-    by a third of all chunks is only walked when nothing rarer narrows it down.
+    Candidates come from the rarest positive term of each group; the postings of
+    its other terms are read too and meet the candidates by chunk.
     """
-    terms, n = settled(terms, 100_000)
+    terms, n = settled(terms)
     keys = ["query_id", "grp"]
     positive = terms.filter(~F.col("negated"))
     # a set too large to send is at least free of repeats before it is shuffled
-    sent = lambda df: broadcast_within(df if n is not None else df.distinct(), n, 200, params.broadcast_bytes)
+    sent = lambda df: broadcast_within(df if n * 200 <= params.broadcast_bytes else df.distinct(), n, 200, params.broadcast_bytes)
     known = (
         counts.join(sent(positive.select(*keys, "term")), "term")
         .groupBy(*keys)
@@ -111,8 +111,7 @@ def match_terms(
     needed = positive.groupBy(*keys).agg(F.count_distinct("term").alias("_n"))
     groups, _ = settled(
         known.join(needed, keys).filter(F.size("_terms") == F.col("_n"))
-        .select(*keys, "_n", "_terms", F.col("_rare.term").alias("term")),
-        100_000,
+        .select(*keys, "_n", "_terms", F.col("_rare.term").alias("term"))
     )
     # a group of one term is answered by its postings alone, where they lie
     occurrences = F.expr("transform(occ, o -> struct(o.pos AS pos, o.weight AS weight, term AS term))")

@@ -43,8 +43,8 @@ def admit_pages(
     wall. Pages refused by their link are never cleaned. ``http_status`` and
     ``content_type`` are checked where the table has them.
     """
-    site = blocked_site(host(F.col("url")), rules)
-    early = F.coalesce(admission_problem(F.col("url")), F.when(site.isNotNull(), F.concat(site, F.lit(" blocks page reads"))))
+    site = blocked_site(F.col("_host"), rules)
+    early = F.coalesce(admission_problem(F.col("url"), F.col("_host")), F.when(site.isNotNull(), F.concat(site, F.lit(" blocks page reads"))))
     if "http_status" in pages.columns:
         failed = F.when(F.col("http_status").isNull(), "could not reach that link").when(
             ~F.col("http_status").between(200, 299), F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
@@ -56,7 +56,7 @@ def admit_pages(
     cleaned = F.when(F.col("_early").isNull(), html_to_text(F.col("html"), params.page_max_chars))
     wall = is_wall(F.col("_text"), empty_below, short_below)
     return (
-        pages.withColumn("_early", early)
+        pages.withColumn("_host", host(F.col("url"))).withColumn("_early", early)
         .select(*keep, "_early", cleaned.alias("_text"))
         .withColumn("reason", F.coalesce("_early", F.when(wall, "login or anti-bot page")))
         .select(*keep, "reason", F.when(F.col("reason").isNull(), F.col("_text")).alias("text"))

@@ -33,11 +33,9 @@ class Params:
     # physical bounds (Spark side only)
     broadcast_bytes: int = 64 << 20
     query_block: int = 4096  # queries sent to the tasks at once
-    scan_tasks: int = 4096  # tasks of a vector scan, each leaving k rows per query
     slab_rows: int = 50_000  # chunk vectors in one grid cell
     salts: int = 16
     id_block: int = 1_000_000  # chunk ids per stored partition
-    value_chars: int = 256 << 20  # largest text gathered into one value
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

@@ -63,7 +63,7 @@ def build_knowledge_base(
     chunks = written(blocked, "chunks", "block")
     if not lexical:
         return KnowledgeBase(chunks)
-    # files stay split by chunk, so no term is hot; sorted by term inside, so a
-    # lookup skips the row groups and pages that cannot hold it
+    # files stay split by chunk, so no term is hot; sorted by term inside, which
+    # stores equal terms together
     index = written(postings(chunks).sortWithinPartitions("term", "id"), "index")
     return KnowledgeBase(chunks, index, written(term_counts(index), "counts"))

@@ -21,24 +21,22 @@ def embed_queries(queries: DataFrame, embedder: Embedder, text: str = "text", ta
 
 
 def candidates(
-    queries: DataFrame, kb: KnowledgeBase, k: int, params: Params, hybrid: bool, n_queries: int | None
+    queries: DataFrame, kb: KnowledgeBase, k: int, params: Params, hybrid: bool
 ) -> DataFrame:
     """Ranked candidates with chunk columns, ``distance`` and (hybrid) ``score``.
 
     ``queries`` has ``query_id, text, vector``.
     """
     width = max(params.candidate_k, k)
-    rows = None if n_queries is None else n_queries * width
-    # a ranking holds at most ``width`` rows a query: settled, it is read from here on
-    limit = 100_000 if rows is None else rows
-    dense, _ = settled(dense_topk(queries, kb.chunks, width, params), limit)
+    # a ranking holds at most ``width`` rows a query; settled, it is read from here on
+    dense, rows = settled(dense_topk(queries, kb.chunks, width, params))
     if not hybrid:
         found = dense.withColumn("score", F.lit(None).cast("double"))
         return with_payload(found, kb.chunks.drop("embedding"), rows, params)
     matches = match_terms(query_terms(queries), kb.index, kb.counts, params)
-    sparse, _ = settled(sparse_topk(cover_rank(matches), width), limit)
+    sparse, _ = settled(sparse_topk(cover_rank(matches), width))
     # fused rows are ranked before the payload join, which cannot change their order
-    fused, _ = settled(take_best(reciprocal_rank_fusion(dense, sparse, params.rrf_k), width), limit)
+    fused, rows = settled(take_best(reciprocal_rank_fusion(dense, sparse, params.rrf_k), width))
     return with_distance(fused, queries, kb.chunks, rows, params)
 
 
@@ -60,10 +58,8 @@ def retrieve(
     k = params.top_k if k is None else k
     wanted = params.hybrid if hybrid is None else hybrid
     runs_hybrid = wanted and kb.index is not None and kb.counts is not None
-    vectors, n = settled(
-        embed_queries(queries.select("query_id", "text"), embedder, task_types=task_types), params.query_block
-    )
-    ranked = candidates(vectors, kb, k, params, runs_hybrid, n)
+    vectors, _ = settled(embed_queries(queries.select("query_id", "text"), embedder, task_types=task_types))
+    ranked = candidates(vectors, kb, k, params, runs_hybrid)
     kept = keep_close(ranked, k, params.min_keep, params.max_distance)
     return kept.select(
         "query_id", "rnk", "id", "doc_title", "category", "source_url", "content",

@@ -48,22 +48,18 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, max_rows: int) -> tuple[DataFrame, int | None]:
-    """Evaluate a set that may be small, once.
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """Evaluate a set once: written to the shared folder and read from there, with its row count.
 
-    At most ``max_rows + 1`` rows reach the driver. If the set fits, it comes
-    back as a local relation of known size with its row count; otherwise it
-    comes back as a written table with ``None``.
+    The count comes from what was written, so nothing is computed twice, whatever the size.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows
-    return written(df, "set"), None
+    out = written(df, "set")
+    return out, out.count()
 
 
-def broadcast_within(df: DataFrame, rows: int | None, row_bytes: int, limit_bytes: int) -> DataFrame:
+def broadcast_within(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int) -> DataFrame:
     """Hint a broadcast only where ``rows * row_bytes`` is known to fit."""
-    if rows is not None and rows * row_bytes <= limit_bytes:
+    if rows * row_bytes <= limit_bytes:
         return F.broadcast(df)
     return df
 

@@ -1,8 +1,9 @@
-"""Conversation archive: question, answer, escalated."""
+"""Conversation archive: id, time, question, answer, escalated."""
 
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,22 +11,27 @@ from pyspark.sql import functions as F
 _log = logging.getLogger(__name__)
 
 
-def archive_rows(turns: DataFrame) -> DataFrame:
-    """``created_at, question, answer, escalated`` with defaults for what is missing."""
+def archive_rows(turns: DataFrame, batch: str) -> DataFrame:
+    """``id, created_at, question, answer, escalated, batch`` with defaults for what is missing."""
     made = F.col("created_at") if "created_at" in turns.columns else F.lit(None).cast("timestamp")
     return turns.select(
-        F.coalesce(made, F.current_timestamp()).alias("created_at"), "question", "answer",
-        F.coalesce("escalated", F.lit(False)).alias("escalated"),
+        F.expr("uuid()").alias("id"), F.coalesce(made, F.current_timestamp()).alias("created_at"), "question", "answer",
+        F.coalesce("escalated", F.lit(False)).alias("escalated"), F.lit(batch).alias("batch"),
     )
 
 
+def _replace(turns: DataFrame, path: str, batch: str) -> None:
+    """Write a batch into its own partition; written again, it replaces itself and nothing else."""
+    rows = archive_rows(turns, batch)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def archive_turns(turns: DataFrame, path: str, enabled: bool = True) -> bool:
-    """Append turns, by date. A failure is logged and never reaches the caller."""
+    """Append turns. A failure is logged and never reaches the caller, as answers must not wait for the archive."""
     if not enabled:
         return False
     try:
-        rows = archive_rows(turns).withColumn("date", F.to_date("created_at"))
-        rows.write.mode("append").partitionBy("date").parquet(path)
+        _replace(turns, path, f"b-{uuid.uuid4().hex}")
         return True
     except Exception:
         _log.exception("could not archive conversations")
@@ -33,14 +39,13 @@ def archive_turns(turns: DataFrame, path: str, enabled: bool = True) -> bool:
 
 
 def archive_batch(path: str, enabled: bool = True):
-    """``foreachBatch`` writer. A batch that runs again replaces its own rows."""
+    """``foreachBatch`` writer into the same layout. A batch that runs again replaces its own rows.
+
+    A failure fails the batch: its offsets stay open, and the rows come again when the stream is restarted.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not enabled:
-            return
-        try:
-            archive_rows(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        except Exception:
-            _log.exception("could not archive batch %s", batch_id)
+        if enabled:
+            _replace(batch, path, f"s-{batch_id}")
 
     return write

@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ragloom.session import shared_dir
 
@@ -35,17 +36,40 @@ def full_reload(df: DataFrame, name: str, location: str | None = None) -> DataFr
 
     The rows go into a new stored table; the name is pointed at it only after
     the write has succeeded, so a failed reload leaves the old content. Loading
-    the same rows again gives the same content.
+    the same rows again gives the same content. A version that no name stands
+    for any more is dropped; readers that began on it must have ended.
     """
     spark = df.sparkSession
     version = f"{checked_name(name)}__{uuid.uuid4().hex}"
     path = f"{location or shared_dir(spark) + '/ragloom/tables'}/{version}"
     df.write.option("path", path).saveAsTable(version)
+    before = current_version(spark, name) if spark.catalog.tableExists(name) else None
     _point(spark, name, version)
+    _drop_unused(spark, before)
     return spark.table(name)
 
 
+def _drop_unused(spark: SparkSession, version: str | None) -> None:
+    """Drop a stored version, with its files, once no name stands for it."""
+    if version is None or not spark.catalog.tableExists(version):
+        return
+    for row in spark.sql("SHOW VIEWS").collect():
+        if not row["isTemporary"]:
+            kept = spark.sql(f"SHOW TBLPROPERTIES {row['viewName']}").filter(F.col("key") == _VERSION).head()
+            if kept and kept["value"] == version:
+                return
+    place = spark.sql(f"DESCRIBE EXTENDED {version}").filter("col_name = 'Location'").head()["data_type"]
+    spark.sql(f"DROP TABLE {version}")
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(place)
+    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)
+
+
 def promote(spark: SparkSession, shadow: str, live: str) -> DataFrame:
     """Let ``live`` stand for what the shadow table holds now."""
-    _point(spark, checked_name(live), current_version(spark, shadow))
+    before = current_version(spark, live) if spark.catalog.tableExists(checked_name(live)) else None
+    version = current_version(spark, shadow)
+    _point(spark, live, version)
+    if before != version:
+        _drop_unused(spark, before)
     return spark.table(live)

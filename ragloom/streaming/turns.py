@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def fold_turns_stream(
-    events: DataFrame, ts: str = "ts", idle_seconds: int = 600, lateness: str = "0 seconds", keep: str = "last"
-) -> DataFrame:
-    """``(turn_id, answer, sources_json, escalated, error)`` once a turn has ended.
-
-    A turn ends at its ``done`` or ``error`` event, or after ``idle_seconds`` of
-    event time without one: a broken turn sends no ``done``. Events of a turn
-    are expected in order of ``seq`` from batch to batch.
+def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600, lateness: str = "1 hour", keep: str = "last") -> DataFrame:
+    """``(turn_id, answer, sources_json, escalated, error)``, one row per turn.
+
+    A turn may send ``error`` and then ``done``, and its events may arrive in any
+    order: they are held, by ``seq``, until the watermark shows ``idle_seconds`` of
+    event time without one more. Then the turn comes out as the batch fold has
+    it, and its state goes. ``lateness`` is how far behind an event may come.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be first or last")
@@ -26,35 +25,37 @@ def fold_turns_stream(
         .withWatermark("_at", lateness)
         .select("turn_id", "seq", "type", "text", F.to_json("sources").alias("sources_json"), "message", "_at")
     )
+    held = ("seqs", "types", "texts", "sources", "messages")
 
     def fold(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answer, sources, escalated, error = state.get if state.exists else ("", None, False, None)
-        ended = state.hasTimedOut
-        if not ended:
-            pdf = pd.concat(list(chunks)).sort_values("seq")
-            choose = lambda old, new: (
-                old if not len(new) or (keep == "first" and old is not None) else new.iloc[0 if keep == "first" else -1])
-            kind = pdf["type"]
-            answer += "".join(pdf.loc[kind == "delta", "text"])
-            sources = choose(sources, pdf.loc[kind == "sources", "sources_json"])
-            error = choose(error, pdf.loc[kind == "error", "message"])
-            escalated = bool(escalated or (kind == "escalation").any())
-            ended = bool(kind.isin(["done", "error"]).any())
-            if not ended:
-                state.update((answer, sources, escalated, error))
-                newest = int(pdf["_at"].max().timestamp() * 1000)
-                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
-        if ended:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"turn_id": [k[0]], "answer": [answer], "sources_json": [sources],
-                                "escalated": [escalated], "error": [error]})
-
-    key_type = dict(events.dtypes)["turn_id"]
+        values = [list(v) for v in state.get[:-1]] if state.exists else [[] for _ in held]
+        newest = state.get[-1] if state.exists else 0
+        if not state.hasTimedOut:
+            for pdf in chunks:
+                pdf = pdf.astype(object).where(pdf.notna(), None)
+                for have, col in zip(values, ("seq", "type", "text", "sources_json", "message"), strict=True):
+                    have.extend(pdf[col].tolist())
+                newest = max([newest, *(int(t.timestamp() * 1000) for t in pdf["_at"] if t is not None)])
+            state.update((*values, newest))
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+            return
+        state.remove()
+        events_ = sorted(zip(*values, strict=True), key=lambda e: (e[0] is None, e[0] or 0))
+
+        def chosen(kind: str, place: int):
+            found = [e[place] for e in events_ if e[1] == kind and e[place] is not None]
+            return found[0 if keep == "first" else -1] if found else None
+
+        yield pd.DataFrame({
+            "turn_id": [k[0]], "answer": ["".join(e[2] for e in events_ if e[1] == "delta" and e[2] is not None)],
+            "sources_json": [chosen("sources", 3)], "escalated": [any(e[1] == "escalation" for e in events_)], "error": [chosen("error", 4)],
+        })
+
+    types = dict(events.dtypes)
     return rows.groupBy("turn_id").applyInPandasWithState(
         fold,
-        f"turn_id {key_type}, answer string, sources_json string, escalated boolean, error string",
-        "answer string, sources_json string, escalated boolean, error string",
+        f"turn_id {types['turn_id']}, answer string, sources_json string, escalated boolean, error string",
+        "seqs array<bigint>, types array<string>, texts array<string>, sources array<string>, messages array<string>, newest bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -32,6 +32,8 @@ PUBLIC, PRIVATE, BAD, SCHEME = None, "host is not allowed", "not a valid URL", "
     ("http://metadata.google.internal", PRIVATE), ("http://127.0.0.1:80/x", PRIVATE), ("http://10.1.2.3", PRIVATE), ("https://192.168.0.1", PRIVATE),
     ("http://169.254.169.254/latest", PRIVATE), ("http://172.16.0.1", PRIVATE), ("http://172.31.9.9", PRIVATE), ("http://user@10.0.0.1/", PRIVATE),
     ("http://2130706433/", PRIVATE), ("http://0x7f.1/", PRIVATE), ("http://127.1/", PRIVATE), ("http://0177.0.0.1/", PRIVATE),
+    ("http://256.0.0.1/", BAD), ("http://08.1.1.1/", BAD), ("http://1.2.3.4.5/", BAD), ("http://1.2.3.256", BAD), ("http://4294967296/", BAD),
+    ("http://1.65535", PUBLIC), ("http://0x/", PRIVATE), ("http://a.b.9z/", PUBLIC), ("http://a.b.9/", BAD),
     ("no url", BAD), ("", BAD), ("http://", BAD), ("http://a b/", BAD), ("http://x:port/", BAD), (None, BAD),
     ("ftp://example.com", SCHEME), ("mailto:a@b", SCHEME), ("javascript:alert(1)", SCHEME),
 ])

@@ -114,20 +114,20 @@ def test_fold(spark, keep, title, error):
     assert (got[2]["answer"], got[2]["sources"], got[2]["escalated"], got[2]["error"]) == ("", [], False, None)
 
 
-def test_stream_fold_over_batches_and_timeout(spark, tmp_path):
+def test_stream_fold_gives_one_row_a_turn(spark, tmp_path):
     schema = "turn_id int, seq int, type string, text string, sources array<struct<n:bigint,title:string,category:string,url:string>>, message string, ts timestamp"
     at = lambda s: START + dt.timedelta(seconds=s)
     batches = [
-        [(1, 0, "delta", "a", None, None, at(0)), (2, 0, "delta", "lost", None, None, at(1))],
-        [(1, 1, "delta", "b", None, None, at(2)), (1, 2, "done", None, None, None, at(3))],
-        [(3, 0, "delta", "later", None, None, at(9000)), (3, 1, "done", None, None, None, at(9000))],
-        [(4, 0, "done", None, None, None, at(9100))],
+        [(1, 1, "delta", "b", None, None, at(0)), (2, 0, "delta", "lost", None, None, at(1)), (5, 1, "error", None, None, "boom", at(1))],
+        [(1, 0, "delta", "a", None, None, at(2)), (1, 2, "done", None, None, None, at(3)), (1, 3, "delta", None, None, None, at(3))],
+        [(5, 0, "delta", "x", None, None, at(4)), (5, 2, "done", None, None, None, at(5))],
+        [(3, 0, "done", None, None, None, at(99_000))],
     ]
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["turn_id"]: r["answer"] for r in drain(fold_turns_stream(source, idle_seconds=60)).collect()}
-    assert got == {1: "ab", 2: "lost", 3: "later", 4: ""}
+    got = sorted((r["turn_id"], r["answer"], r["error"]) for r in drain(fold_turns_stream(source, idle_seconds=60)).collect())
+    assert got == [(1, "ab", None), (2, "lost", None), (5, "x", "boom")]
 
 
 def test_frames(spark):
@@ -167,10 +167,16 @@ def test_archive(spark, tmp_path):
 
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     turns = spark.createDataFrame([("q", "a", False)], "question string, answer string, escalated boolean")
-    write = archive_batch(str(tmp_path))
+    path = str(tmp_path / "archive")
+    write = archive_batch(path)
     for batch in (0, 1, 1):
         write(turns, batch)
-    assert spark.read.parquet(str(tmp_path)).count() == 2
+    assert archive_turns(turns, path)  # the same layout
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("id").distinct().count() == 3
+    (tmp_path / "file").write_text("in the way")
+    with pytest.raises(Exception):  # the batch fails and comes again
+        archive_batch(str(tmp_path / "file"))(turns, 0)
 
 
 @pytest.mark.parametrize("name", ["Kb", "1kb", "kb-x", "kb;drop", "", "kb\n"])
@@ -190,5 +196,7 @@ def test_reload_and_promote(spark):
     assert spark.table("t_live").count() == 5
     full_reload(first, "t_shadow", where)
     assert promote(spark, "t_shadow", "t_live").count() == 3
+    stored = [r["tableName"] for r in spark.sql("SHOW TABLES LIKE 't_*__*'").collect()]
+    assert len(stored) == 1  # what both names stand for
     full_reload(second, "t_shadow", where)
     assert spark.table("t_live").count() == 3

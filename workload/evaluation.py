@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragloom.functions.text import words
 from ragloom.operators.dense import dense_topk
 from ragloom.plans.evaluate import (
-    RULE, acceptance, acceptance_gate, compare_modes, coverage, coverage_gate, dashboard, failure_gate, first_hit_ranks,
+    RULE, acceptance, acceptance_gate, acceptance_passes, compare_modes, coverage, coverage_gate, dashboard, failure_gate, first_hit_ranks,
     hard_failures, misses, out_of_scope_correct, read_verdicts, recall_mrr, refusal_pattern, rejection_rate,
     rejections, worst,
 )
@@ -259,7 +259,7 @@ _CORRECT = f"(coalesce(escalated, false) OR (regexp_matches(answer, '{_REFUSAL}'
          count(*) FILTER (WHERE kind = 'answerable' AND escalated) AS false_escalations,
          count(*) FILTER (WHERE kind = 'oos') AS out_of_scope,
          count(*) FILTER (WHERE kind = 'oos' AND {_CORRECT}) AS out_of_scope_correct
-  FROM judged""", **ANSWERS))
+  FROM judged WHERE run_error IS NULL""", **ANSWERS))
 def answer_dashboard(spark, sf_dir):
     d = dashboard(judged(spark, sf_dir))
     rates = ["mean_groundedness", "mean_citation_precision", "substantive_rate"]
@@ -280,10 +280,10 @@ def oos_correct(spark, sf_dir):
 
 
 _FAILED = f"""
-  SELECT doc_id, concat_ws('; ', CASE WHEN run_error IS NOT NULL THEN 'run error' END,
-    CASE WHEN run_error IS NULL AND kind = 'answerable' AND escalated THEN 'false escalation' END,
-    CASE WHEN run_error IS NULL AND kind = 'answerable' AND bad THEN 'invalid citation' END,
-    CASE WHEN run_error IS NULL AND kind = 'oos' AND NOT {_CORRECT} THEN 'out-of-scope not escalated/refused' END) AS reasons
+  SELECT doc_id, concat_ws('; ', CASE WHEN run_error IS NOT NULL THEN 'did not run' END,
+    CASE WHEN run_error IS NULL AND kind = 'answerable' AND escalated THEN 'escalated though answerable' END,
+    CASE WHEN run_error IS NULL AND kind = 'answerable' AND bad THEN 'citation of no source' END,
+    CASE WHEN run_error IS NULL AND kind = 'oos' AND NOT {_CORRECT} THEN 'out of scope, neither escalated nor refused' END) AS reasons
   FROM (SELECT *, len(list_filter(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1),
           lambda d: coalesce(TRY_CAST(d AS BIGINT) NOT BETWEEN 1 AND 500, true))) > 0 AS bad FROM judged)"""
 
@@ -314,6 +314,7 @@ CHECKS = [
     ("3", None, "the|un|qu", r"/3$", False, None, "none", None),
     ("4", None, None, None, None, None, "or_refusal", None),
     ("5", None, None, None, None, None, None, "brok"),
+    ("never", 1, None, None, None, None, None, None),  # no conversation has such a turn
 ]
 
 
@@ -331,7 +332,9 @@ _CHECKED = f"""
       WHEN 4 THEN {_CORRECT}
       ELSE answer LIKE '%sch%' END AS ok
   FROM (SELECT *, text AS answer, text LIKE '%ent%' AS escalated FROM conversations)
-  WHERE role = 'assistant' AND turn BETWEEN 1 AND 5"""
+  WHERE role = 'assistant' AND turn BETWEEN 1 AND 5
+  UNION ALL SELECT id, NULL, false FROM (VALUES ('1'), ('2'), ('3'), ('4'), ('5'), ('never')) rules(id)
+  WHERE id NOT IN (SELECT turn::VARCHAR FROM conversations WHERE role = 'assistant')"""
 
 
 @query(_CHECKED)
@@ -339,6 +342,13 @@ def acceptance_checks(spark, sf_dir):
     return _accepted(spark, sf_dir).select("id", "turn_id", "ok")
 
 
-@query(f"SELECT id, count(*) AS turns, count(*) FILTER (WHERE NOT ok) AS failures FROM ({_CHECKED}) GROUP BY id")
+@query(f"""
+  SELECT count(*) AS scenarios, count(*) FILTER (WHERE failures > 0) AS failed, count(*) FILTER (WHERE failures > 0) = 0 AS ok
+  FROM (SELECT id, count(*) FILTER (WHERE NOT ok) AS failures FROM ({_CHECKED}) GROUP BY id)""")
+def acceptance_overall(spark, sf_dir):
+    return acceptance_passes(_accepted(spark, sf_dir))
+
+
+@query(f"SELECT id, count(turn_id) AS turns, count(*) FILTER (WHERE NOT ok) AS failures FROM ({_CHECKED}) GROUP BY id")
 def acceptance_report(spark, sf_dir):
     return acceptance_gate(_accepted(spark, sf_dir))

@@ -24,6 +24,7 @@ ADDRESSES = (
     ("0", "http://127.0.0.1/admin"), ("1", "http://172.20.0.9:8080/x"), ("2", "ftp://files.example.com/a"),
     ("3", "no address at all"), ("4", "https://www.linkedin.com/jobs/view/1"), ("5", "https://au.indeed.com/viewjob"),
     ("6", "http://metadata.google.internal/computeMetadata"), ("7", "http://[::1]/"),
+    ("8", "http://256.0.0.1/"), ("9", "http://1.2.3.4.5/x"), ("a", "http://08.1.1.1/"),
 )
 
 
@@ -59,6 +60,8 @@ PARTS = {
     "admission": f"""
       SELECT page_id, url, host, {_SITE} AS site,
              CASE WHEN scheme = '' THEN 'not a valid URL'
+                  WHEN regexp_matches(host, '^[0-9.]+$') AND (len(string_split(host, '.')) > 4 OR regexp_matches(host, '(^|[.])0[0-9]*[89]')
+                    OR list_max(list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS BIGINT))) > 255) THEN 'not a valid URL'
                   WHEN scheme NOT IN ('http', 'https') THEN 'only http(s) links are supported'
                   WHEN host IN ({_NAMES}) OR regexp_matches(host, '{PRIVATE_PATTERN}') THEN 'host is not allowed' END AS problem
       FROM hosts""",

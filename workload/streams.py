@@ -170,9 +170,19 @@ def turn_fold_first(spark, sf_dir):
 
 @query(_folded(2))
 def turn_fold_stream(spark, sf_dir):
+    """Events in files out of order; a turn's error and its done arrive apart, and a last file moves the clock on."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    source = _as_stream(turn_events(spark, sf_dir).withColumn("ts", start))
-    folded = drain(fold_turns_stream(source), "turns")
+    events = turn_events(spark, sf_dir).withColumn("ts", start)
+    done = events.filter("type = 'error'").withColumn("type", F.lit("done")).withColumn("seq", L("seq") + 1)
+    empty = events.filter("type = 'sources'").withColumns({"type": F.lit("delta"), "sources": F.lit(None).cast(f"array<{SOURCE}>")})
+    events = events.unionByName(done).unionByName(empty)
+    path = scratch_path(spark, "arriving")
+    for i in range(3):
+        events.filter(F.pmod("seq", F.lit(3)) == 2 - i).coalesce(1).write.mode("append").parquet(path)
+    later = events.limit(1).withColumns({"turn_id": F.lit(-1).cast("bigint"), "ts": start + F.expr("INTERVAL 1 DAY")})
+    later.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    folded = drain(fold_turns_stream(source), "turns").filter("turn_id >= 0")
     return _shown(folded.withColumn("sources", F.from_json("sources_json", f"array<{SOURCE}>")))
 
 
