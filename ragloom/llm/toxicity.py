@@ -53,7 +53,8 @@ class ToxicityModel:
 def hashed(data: np.ndarray, offsets: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of lower-cased texts and the text each belongs to.
 
-    Each text is framed by spaces, and zero bytes keep neighbours apart.
+    Each text is framed by spaces and followed by zero bytes, which keep neighbours
+    apart; n-grams begin inside the frame.
     """
     gap = max(params.orders)
     lengths = np.diff(offsets)
@@ -70,7 +71,9 @@ def hashed(data: np.ndarray, offsets: np.ndarray, params: ToxicityParams) -> tup
         made = order
         h = (code + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
         found.append((h >> np.uint64(64 - params.bits)).astype(np.int32))
-    return np.stack(found), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + gap + 2)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + gap + 2)
+    inside = np.arange(n) - starts[text] < lengths[text] + 2
+    return np.stack(found)[:, inside], text[inside]
 
 
 def present(values: pa.Array, params: ToxicityParams, features: np.ndarray | None = None):
