@@ -42,6 +42,7 @@ class JaccardParams:
     part_tokens: int = 2_000_000  # shingles counted together
     hot_share: float = 0.005  # of a task's nodes from which a shingle is counted apart
     subset_keys: int = 4096  # of a set at most, beyond which it is large
+    boundary: int | None = None  # largest small set; None: where the costs add up least
     cell_nodes: int = 4096  # nodes compared in a task; larger groups are compared cell by cell
     id_bytes: int = 64 << 20  # sets of dropped rows up to this size are sent to the rows
 
@@ -365,7 +366,7 @@ def links(docs: DataFrame, rows: DataFrame, params: JaccardParams, text_col: str
     parts = max(1, -(-total // params.part_tokens))
     texts = docs.select(utf8(docs[text_col]).alias("text"))
     nodes = shared(texts, parts, params)
-    small = boundary(nodes, params)
+    small = boundary(nodes, params) if params.boundary is None else params.boundary
     few = small_links(nodes, small, params)
     # a set below this size has no partner beyond the boundary
     large = nodes.filter(100 * F.col("n") >= params.percent * (small + 1))
