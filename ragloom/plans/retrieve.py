@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,12 @@ def embed_queries(queries: DataFrame, embedder: Embedder, text: str = "text", ta
 
 
 def candidates(
-    queries: DataFrame, kb: KnowledgeBase, k: int, params: Params, hybrid: bool
+    queries: DataFrame, kb: KnowledgeBase, width: int, params: Params, hybrid: bool, dense: DataFrame, rows: int
 ) -> DataFrame:
     """Ranked candidates with chunk columns, ``distance`` and (hybrid) ``score``.
 
-    ``queries`` has ``query_id, text, vector``.
+    ``queries`` has ``query_id, text, vector``; ``dense`` is their dense ranking of ``rows`` rows.
     """
-    width = max(params.candidate_k, k)
-    # a ranking holds at most ``width`` rows a query; settled, it is read from here on
-    dense, rows = settled(dense_topk(queries, kb.chunks, width, params))
     if not hybrid:
         found = dense.withColumn("score", F.lit(None).cast("double"))
         return with_payload(found, kb.chunks.drop("embedding"), rows, params)
@@ -55,16 +54,31 @@ def retrieve(
     source_url, content, distance, score, hybrid``. ``hybrid`` says which way
     ran: without a lexeme index the dense ranking answers alone.
     """
+    return next(retrieve_ways(queries, kb, embedder, params, k, [params.hybrid if hybrid is None else hybrid], task_types))
+
+
+def retrieve_ways(
+    queries: DataFrame,
+    kb: KnowledgeBase,
+    embedder: Embedder,
+    params: Params = Params(),
+    k: int | None = None,
+    ways: Sequence[bool] = (False, True),
+    task_types: bool = False,
+) -> Iterator[DataFrame]:
+    """``retrieve`` for every ``hybrid`` of ``ways``; query vectors and the dense ranking are computed once."""
     k = params.top_k if k is None else k
-    wanted = params.hybrid if hybrid is None else hybrid
-    runs_hybrid = wanted and kb.index is not None and kb.counts is not None
+    width = max(params.candidate_k, k)
     vectors, _ = settled(embed_queries(queries.select("query_id", "text"), embedder, task_types=task_types))
-    ranked = candidates(vectors, kb, k, params, runs_hybrid)
-    kept = keep_close(ranked, k, params.min_keep, params.max_distance)
-    return kept.select(
-        "query_id", "rnk", "id", "doc_title", "category", "source_url", "content",
-        "distance", "score", F.lit(runs_hybrid).alias("hybrid"),
-    )
+    # a ranking holds at most ``width`` rows a query; settled, it is read from here on
+    dense, rows = settled(dense_topk(vectors, kb.chunks, width, params))
+    for wanted in ways:
+        hybrid = wanted and kb.index is not None and kb.counts is not None
+        ranked = candidates(vectors, kb, width, params, hybrid, dense, rows)
+        yield keep_close(ranked, k, params.min_keep, params.max_distance).select(
+            "query_id", "rnk", "id", "doc_title", "category", "source_url", "content",
+            "distance", "score", F.lit(hybrid).alias("hybrid"),
+        )
 
 
 def multi_requirement_retrieve(

@@ -12,7 +12,8 @@ from ragloom.plans.evaluate import (
     hard_failures, misses, out_of_scope_correct, read_verdicts, recall_mrr, refusal_pattern, rejection_rate,
     rejections, worst,
 )
-from ragloom.plans.retrieve import multi_requirement_retrieve, retrieve
+from ragloom.plans.retrieve import multi_requirement_retrieve, retrieve, retrieve_ways
+from ragloom.session import broadcast_within, settled, written
 from ragloom.operators.turns import fold_turns
 from workload.registry import query
 from workload.retrieval import FIT, REQUIREMENT_PARTS, _PAIRS, _vectors, requirement_lists
@@ -38,18 +39,22 @@ def runs(text: str):
 
 
 def truth(spark, sf_dir):
-    """``query_id, expect`` (titles), null for passages found nowhere."""
-    asked = (
+    """``query_id, expect`` (titles), null for passages found nowhere; written once.
+
+    The runs of the passages are sent to the texts while their size allows, so
+    that only texts' runs that some passage has are shuffled.
+    """
+    asked, n = settled(
         table(spark, sf_dir, "benchmark").select(L("item_id").alias("query_id"), words(L("text")).alias("w"))
         .select("query_id", F.explode(runs("w")).alias("s"))
     )
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     # the runs cost more than a shuffle of the texts, and the fixture is one file
     held = articles(spark, sf_dir).repartition("title").select("title", words(L("body")).alias("w")).select("title", F.explode(runs("w")).alias("s"))
-    found = asked.join(held, "s").groupBy("query_id", "title").agg(F.count(F.lit(1)).alias("c"))
+    found = held.join(broadcast_within(asked, n, 200, PARAMS.broadcast_bytes), "s").groupBy("query_id", "title").agg(F.count(F.lit(1)).alias("c"))
     full = found.join(wanted, "query_id").filter("c = n").groupBy("query_id").agg(
         F.sort_array(F.collect_list("title")).alias("expect"))
-    return wanted.select("query_id").join(full, "query_id", "left")
+    return written(wanted.select("query_id").join(full, "query_id", "left"), "truth")
 
 
 def labelled(spark, sf_dir):
@@ -115,7 +120,8 @@ def eval_misses(spark, sf_dir):
   FROM dense_scores d JOIN hybrid_scores h USING (cls)""", **TRUTH))
 def eval_mode_delta(spark, sf_dir):
     known = labelled(spark, sf_dir)
-    sides = [first_hit_ranks(known, _run(spark, sf_dir, hybrid)) for hybrid in (False, True)]
+    found = retrieve_ways(web_queries(spark, sf_dir), knowledge_base(spark, sf_dir), EMBEDDER, PARAMS)
+    sides = [first_hit_ranks(known, side) for side in found]
     return compare_modes(*sides).select(
         "cls", "n", *six("recall_dense", "mrr_dense", "recall_hybrid", "mrr_hybrid", "recall_delta", "mrr_delta"), "ok")
 
@@ -126,9 +132,15 @@ _REJECT = f"""
     FROM hybrid_titles WHERE distance <= {PARAMS.max_distance} GROUP BY 1) USING (query_id)"""
 
 
-def _rejected(spark, sf_dir):
+def _rejected(spark, sf_dir, hybrid=True):
     negatives = truth(spark, sf_dir).filter("expect IS NULL").select("query_id")
-    return rejections(negatives, _run(spark, sf_dir), PARAMS.max_distance)
+    return rejections(negatives, _run(spark, sf_dir, hybrid), PARAMS.max_distance)
+
+
+@query(sql(_REJECT.replace("hybrid_titles", "dense_titles"), **TRUTH))
+def eval_rejection_dense(spark, sf_dir):
+    found = _rejected(spark, sf_dir, hybrid=False)
+    return found.select("query_id", "rejected", F.array_join("leaks", "|").alias("leaks"))
 
 
 @query(sql(_REJECT, **TRUTH))

@@ -17,8 +17,8 @@ from ragloom.operators.lexical import (
 )
 from ragloom.plans.ingest import KnowledgeBase, chunk_articles
 from ragloom.plans.retrieve import embed_queries, multi_requirement_retrieve, retrieve
-from ragloom.session import one_row
-from ragloom.sources.articles import parse_articles
+from ragloom.session import one_row, scratch_path
+from ragloom.sources.articles import parse_articles, scan_articles
 from workload.registry import query
 from workload.sqlparts import SPACES, STOPS, cosine, sql, stem, words
 from workload.tables import EMBEDDER, PARAMS, articles, knowledge_base, table, web_queries
@@ -36,6 +36,17 @@ def six(*names):
 
 # --- articles and chunks ----------------------------------------------------
 
+@query(f"""
+  SELECT source || ' ' || doc_id AS title, source AS category, trim(replace(text, chr(13) || chr(10), chr(10)), {SPACES}) AS body
+  FROM documents""")
+def article_scan(spark, sf_dir):
+    """Documents written as files, one each, and read back as articles."""
+    path = scratch_path(spark, "articles")
+    head = F.format_string("---\ntitle: %s %d\ncategory: %s\n---\n", "source", "doc_id", "source")
+    table(spark, sf_dir, "documents").select(F.concat(head, "text")).write.option("maxRecordsPerFile", 1).text(path)
+    return parse_articles(scan_articles(spark, path, "*.txt")).select("title", "category", "body")
+
+
 @query(sql(f"""
   SELECT doc_id, CASE WHEN lang = 'en' THEN source || ' ' || doc_id ELSE 'Untitled' END AS title,
     CASE WHEN lang = 'en' THEN '' END AS category,
