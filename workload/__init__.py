@@ -3,6 +3,6 @@
 
 def load():
     """Import every query module and return the registry."""
-    from workload import conversations, evaluation, pages, registry, retrieval, streams  # noqa: F401
+    from workload import asking, conversations, evaluation, pages, registry, retrieval, streams  # noqa: F401
 
     return registry
