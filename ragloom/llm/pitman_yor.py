@@ -49,8 +49,8 @@ class PitmanYorParams:
     burn_in: int = 2  # sweeps before the first sample
     samples: int = 3
     moves: int = 4  # customers of a dish that move in a sweep
-    chunk_tokens: int = 2_000_000  # counted together before the shuffle
-    part_tokens: int = 2_000_000  # occurrences that a part should hold
+    chunk_tokens: int = 1_000_000  # counted together before the shuffle
+    part_tokens: int = 500_000  # occurrences that a part should hold
     hot_share: float = 0.001  # of a chunk's tokens from which a word may be hot
 
 
@@ -311,6 +311,13 @@ def parent_probability(c, t, state: State, k: Totals, s: float) -> np.ndarray:
     return (c - k.parent_discount * t) / (s + state.customers) + rest / (k.words + 1)
 
 
+def rows_in(batches):
+    """Rows of batches one at a time; each holds the arrays of a part."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 def sweeps(part: Part, history: list[State], tables: tuple[np.ndarray, np.ndarray]) -> None:
     for number, state in enumerate(history):
         part.sweep(state, number, tables)
@@ -342,11 +349,11 @@ def train(rows: DataFrame, params: PitmanYorParams = PitmanYorParams()) -> Model
         """Vectors of these sizes, added up over all parts; they are as long as contexts or hot words are many."""
 
         def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    every = np.concatenate(sums(row))
-                    at = np.flatnonzero(every)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at])], ["at", "n"])
+            every = np.zeros(sum(sizes), np.int64)  # over the parts of a task
+            for row in rows_in(batches):
+                every += np.concatenate(sums(row))
+            at = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at])], ["at", "n"])
 
         got = own.select("part", *columns).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(sum(sizes), np.int64)
@@ -402,31 +409,30 @@ def score(model: Model) -> DataFrame:
 
     def run(batches):
         tables = (closing(k.discount), closing(k.parent_discount))
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = Part(row, k, hot, params)
-                probability = np.zeros(len(part.pair_word))
-                many = part.pair_count > 1
-                for number, state in enumerate(history[:-1]):
-                    part.sweep(state, number, tables)
-                    if number + 1 < len(history) - params.samples:
-                        continue
-                    now = history[number + 1]
-                    t = np.minimum(part.pair_count, 1)
-                    t[many] = part.tables
-                    above = part.parent_probability(now)[part.pair_word]
-                    i = number + 1 - (len(history) - params.samples)
-                    probability += (part.pair_count - k.discount * t) / (s + k.customers[part.pair_context]) + share[i][part.pair_context] * above
-                log = np.repeat(np.log10(probability / params.samples), part.pair_length)
-                counts = part.word_counts()
-                base = np.log10((counts + 1) / (k.tokens + k.words + 1))
-                base = np.repeat(base[part.pair_word], part.pair_length)
-                known = np.repeat((counts > 0)[part.pair_word], part.pair_length)
-                n = len(part.keys)
-                sums = [np.bincount(part.texts, w, n) for w in (log, base, known)]
-                for lo in range(0, n, 100_000):
-                    cut = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(part.keys[cut]), pa.array(sums[0][cut]), pa.array(sums[1][cut]), pa.array(sums[2][cut].astype(np.int64))], ["key", "score", "base_score", "n_known"])
+        for row in rows_in(batches):
+            part = Part(row, k, hot, params)
+            probability = np.zeros(len(part.pair_word))
+            many = part.pair_count > 1
+            for number, state in enumerate(history[:-1]):
+                part.sweep(state, number, tables)
+                if number + 1 < len(history) - params.samples:
+                    continue
+                now = history[number + 1]
+                t = np.minimum(part.pair_count, 1)
+                t[many] = part.tables
+                above = part.parent_probability(now)[part.pair_word]
+                i = number + 1 - (len(history) - params.samples)
+                probability += (part.pair_count - k.discount * t) / (s + k.customers[part.pair_context]) + share[i][part.pair_context] * above
+            log = np.repeat(np.log10(probability / params.samples), part.pair_length)
+            counts = part.word_counts()
+            base = np.log10((counts + 1) / (k.tokens + k.words + 1))
+            base = np.repeat(base[part.pair_word], part.pair_length)
+            known = np.repeat((counts > 0)[part.pair_word], part.pair_length)
+            n = len(part.keys)
+            sums = [np.bincount(part.texts, w, n) for w in (log, base, known)]
+            for lo in range(0, n, 100_000):
+                cut = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(part.keys[cut]), pa.array(sums[0][cut]), pa.array(sums[1][cut]), pa.array(sums[2][cut].astype(np.int64))], ["key", "score", "base_score", "n_known"])
 
     summed = model.parts.filter("words IS NOT NULL").select(*[c for c in model.parts.columns if c not in ("base", "ids", "held", "lengths")])
     summed = summed.mapInArrow(run, "key long, score double, base_score double, n_known long").groupBy("key")

@@ -34,3 +34,4 @@ def ready(spark: SparkSession) -> None:
     ship(spark)
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
