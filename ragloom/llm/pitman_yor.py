@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import fold_of, table, utf8
+from ragloom.llm.common import fold_of, mix, table, utf8
 from ragloom.llm.registry import query
 from ragloom.llm.shingles import hashed
 from ragloom.session import written
@@ -408,7 +408,7 @@ def score(model: Model) -> DataFrame:
     share = [(s + k.discount * x.tables) / (s + k.customers) for x in drawn]
 
     def run(batches):
-        tables = (closing(k.discount), closing(k.parent_discount))
+        tables, held = (closing(k.discount), closing(k.parent_discount)), []
         for row in rows_in(batches):
             part = Part(row, k, hot, params)
             probability = np.zeros(len(part.pair_word))
@@ -430,13 +430,41 @@ def score(model: Model) -> DataFrame:
             known = np.repeat((counts > 0)[part.pair_word], part.pair_length)
             n = len(part.keys)
             sums = [np.bincount(part.texts, w, n) for w in (log, base, known)]
-            for lo in range(0, n, 100_000):
-                cut = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(part.keys[cut]), pa.array(sums[0][cut]), pa.array(sums[1][cut]), pa.array(sums[2][cut].astype(np.int64))], ["key", "score", "base_score", "n_known"])
-
-    summed = model.parts.filter("words IS NOT NULL").select(*[c for c in model.parts.columns if c not in ("base", "ids", "held", "lengths")])
-    summed = summed.mapInArrow(run, "key long, score double, base_score double, n_known long").groupBy("key")
-    summed = summed.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base_score"), F.sum("n_known").alias("n_known"))
+            held.append((part.keys, *sums))
+            if sum(len(h[0]) for h in held) > params.chunk_tokens:
+                yield packed_sums(held)
+                held = []
+        if held:
+            yield packed_sums(held)
+
+    def packed_sums(held: list[tuple]) -> pa.RecordBatch:
+        """The sums of some parts, added up by text: a packed row per bucket of texts."""
+        keys, number = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = [np.bincount(number, np.concatenate([h[i] for h in held]), len(keys)) for i in (1, 2, 3)]
+        sums[2] = sums[2].astype(np.uint32)
+        at = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        cut = np.searchsorted(at[order], np.arange(buckets + 1))
+        rows: list[list] = [[] for _ in range(5)]
+        for bucket in np.unique(at).tolist():
+            own = order[cut[bucket] : cut[bucket + 1]]
+            for col, v in zip(rows, (bucket, keys[own].tobytes(), *(x[own].tobytes() for x in sums)), strict=True):
+                col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "keys", "score", "base", "known"])
+
+    def added(group: pa.Table) -> pa.Table:
+        flat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
+        every, number = np.unique(flat("keys", np.int64), return_inverse=True)
+        score_, base, known = (
+            np.bincount(number, flat(c, kind), len(every)) for c, kind in (("score", float), ("base", float), ("known", np.uint32))
+        )
+        return pa.table({"key": every, "score": score_, "base_score": base, "n_known": known.astype(np.int64)})
+
+    own = model.parts.filter("words IS NOT NULL")
+    buckets = max(1, own.count() // 4)
+    packed = own.select(*[c for c in model.parts.columns if c not in ("base", "ids", "held", "lengths")])
+    packed = packed.mapInArrow(run, "bucket int, keys binary, score binary, base binary, known binary")
+    summed = packed.groupBy("bucket").applyInArrow(added, "key long, score double, base_score double, n_known long")
 
     id_type = model.parts.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", id_type), T.StructField("held", T.BooleanType()), T.StructField("n_tokens", T.LongType())])
