@@ -39,7 +39,7 @@ from ragloom.session import broadcast_within, written
 class JaccardParams:
     words: int = 5  # in a shingle
     percent: int = 80  # least similarity
-    part_tokens: int = 2_000_000  # shingles counted together
+    part_tokens: int = 1_000_000  # shingles counted together
     hot_share: float = 0.005  # of a task's nodes from which a shingle is counted apart
     subset_keys: int = 4096  # of a set at most, beyond which it is large
     boundary: int | None = None  # largest small set; None: where the costs add up least
@@ -341,9 +341,12 @@ def large_links(nodes: DataFrame, groups: DataFrame, params: JaccardParams) -> D
     A group beyond ``cell_nodes`` is dealt to blocks, and every pair of blocks is
     a cell of its own, so no task holds a whole group.
     """
-    member = nodes.join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    member = member.join(sizes.hint("merge"), "component")
+    # groups are named and sized without their sets, which then move by node alone
+    named = nodes.select("node").join(groups.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "jaccard-groups")
+    sizes = written(named.groupBy("component").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-sizes")
+    sizes = broadcast_within(sizes, sizes.count(), 32, params.id_bytes)
+    member = nodes.join(named.join(sizes, "component").hint("merge"), "node")
     blocks = F.ceil(F.col("members") / params.cell_nodes).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
