@@ -37,7 +37,7 @@ class PackingParams:
     length: int = 1024  # places in a sequence, a power of two
     group_tokens: int = 4 << 20  # documents packed together
     end_id: int = 0
-    cache_words: int = 1_000_000  # words whose ids a task remembers
+    cache_words: int = 250_000  # words whose ids a worker remembers
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,17 +71,30 @@ class Known(dict):
         return ids
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file, remembering the ids of words.
+RUNS = ("  ", " \n", "\n ", "\n\n", "\0")
+ODD = re.compile(r"[^\S \n]")
+
+
+def plain_words(text: str) -> list[str] | None:
+    """A text cut where the byte-level pre-tokenizer always cuts, or None if white space is not so plain.
 
     A single space between two characters that are no white space always starts
-    a new piece of the byte-level pre-tokenizer, and a single line feed there is
-    a piece of its own. Between such places a text is encoded word by word; a
-    text with any other white space is encoded as a whole.
+    a new piece, and a single line feed there is a piece of its own. A space before
+    the first word belongs to it.
     """
+    if text[0] == " " and len(text) > 1:
+        words = plain_words(text[1:])
+        return words and [" " + words[0], *words[1:]]
+    if text[0].isspace() or text[-1].isspace() or any(r in text for r in RUNS):
+        return None
+    if not text.replace("\n", "").isprintable() and ODD.search(text):
+        return None
+    return text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
 
-    runs = ("  ", " \n", "\n ", "\n\n", "\0")
-    odd = re.compile(r"[^\S \n]")
+
+class Encoder:
+    """Ids of texts by a tokenizer file, remembering the ids of words; a text that cannot be
+    cut into plain words is encoded as a whole."""
 
     def __init__(self, path: str, cache_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,14 +108,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or any(r in text for r in self.runs):
-            return self.whole(text)
-        if not text.replace("\n", "").isprintable() and self.odd.search(text):
-            return self.whole(text)
-        words = text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
-        return b"".join(map(self.known.__getitem__, words))
+        words = plain_words(text) if text else []
+        return self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(2)

@@ -15,6 +15,7 @@ edits of the id; rows with a null id get none.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.llm.common import table, utf8
-from ragloom.llm.packing import byte_bpe
+from ragloom.llm.packing import Known, byte_bpe, plain_words
 from ragloom.llm.registry import query
 
 
@@ -37,30 +38,57 @@ class CountParams:
     cache_words: int = 1_000_000
 
 
-class Counter:
-    """Pre-tokens of a text and the number of ids of each."""
+class Pieces(dict):
+    """(length, number of ids) of the pre-tokens of words, as 32-bit pairs, found when first asked for."""
 
-    def __init__(self, path: str, cache_words: int):
+    def __init__(self, path: str, limit: int):
+        super().__init__()
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.cache_words = cache_words
-        self.known: dict[str, int] = {}
+        self.split, self.model, self.limit = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, limit
+        self.counts: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
+            made = self[word[:-1]] + self[word[-1]]
+        elif (word[1:] if word[0] == " " else word).isalpha():  # one piece
+            made = array("I", (len(word), self.ids(word.encode().decode("latin-1").translate(Known.letters)))).tobytes()
+        else:
+            made = self.whole(word)
+        self[word] = made
+        return made
+
+    def ids(self, piece: str) -> int:
+        """The number of ids of a pre-token in the characters of the vocabulary."""
+        n = self.counts.get(piece)
+        if n is None:
+            if len(self.counts) > self.limit:
+                self.counts.clear()
+            n = self.counts[piece] = len(self.model.tokenize(piece))
+        return n
+
+    def whole(self, text: str) -> bytes:
+        pairs = array("I")
+        for piece, (start, end) in self.split(text):
+            pairs.extend((end - start, self.ids(piece)))
+        return pairs.tobytes()
+
+
+class Counter:
+    """Pre-tokens of a text and the number of ids of each."""
+
+    def __init__(self, path: str, cache_words: int):
+        self.known = Pieces(path, cache_words)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Lengths in code points and numbers of ids."""
-        found = self.split(text) if text else []
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        known, counts = self.known, []
-        for word, _ in found:
-            n = known.get(word)
-            if n is None:
-                n = known[word] = len(self.model.tokenize(word))
-            counts.append(n)
-        ends = np.fromiter((e for _, (_, e) in found), np.int64, len(found))
-        return np.diff(ends, prepend=0), np.array(counts, np.int64)
+        words = plain_words(text) if text else []
+        made = self.known.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
+        pairs = np.frombuffer(made, np.uint32).astype(np.int64)
+        return pairs[::2], pairs[1::2]
 
 
 @lru_cache(2)
@@ -72,11 +100,15 @@ def counter_of(path: str, cache_words: int) -> Counter:
 class Sums:
     """A segment tree of sums: update a leaf, find the leaf that holds a position."""
 
-    def __init__(self, leaves: list[int]):
+    def __init__(self, leaves: np.ndarray):
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
-        self.node = [0] * self.size + leaves + [0] * (self.size - len(leaves))
-        for i in reversed(range(1, self.size)):
-            self.node[i] = self.node[2 * i] + self.node[2 * i + 1]
+        level = np.zeros(self.size, np.int64)
+        level[: len(leaves)] = leaves
+        levels = [level]
+        while len(level) > 1:
+            level = level[::2] + level[1::2]
+            levels.append(level)
+        self.node = [0, *np.concatenate(levels[::-1]).tolist()]
 
     def total(self) -> int:
         return self.node[1]
@@ -103,12 +135,26 @@ Leaf = tuple[str, np.ndarray, np.ndarray]  # text, lengths, numbers of ids
 
 
 class Tree:
+    """A document's leaves are numbers of untouched runs of its pre-tokens, or what edits left of them."""
+
     def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, params: CountParams):
-        self.params = params
-        self.leaves = self.cut(text, lengths, counts)
+        self.params, self.whole = params, (text, lengths, counts)
+        self.starts = np.append(np.arange(0, max(1, len(lengths)), params.leaf), len(lengths))
+        self.places = np.concatenate([[0], np.cumsum(lengths)])[self.starts]  # code points before each leaf
+        self.leaves: list[int | Leaf] = list(range(len(self.starts) - 1))
         self.encoded = 0  # pre-tokens encoded by edits
         self.sum()
 
+    def run(self, first: int, last: int) -> Leaf:
+        """Untouched leaves from ``first`` to before ``last``."""
+        text, lengths, counts = self.whole
+        cut = slice(self.starts[first], self.starts[last])
+        return text[self.places[first] : self.places[last]], lengths[cut], counts[cut]
+
+    def leaf(self, i: int) -> Leaf:
+        leaf = self.leaves[i]
+        return self.run(leaf, leaf + 1) if isinstance(leaf, int) else leaf
+
     def cut(self, text: str, lengths: np.ndarray, counts: np.ndarray) -> list[Leaf]:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return [
@@ -117,8 +163,10 @@ class Tree:
         ]
 
     def sum(self) -> None:
-        self.chars = Sums([len(x[0]) for x in self.leaves])
-        self.tokens = Sums([int(x[2].sum()) for x in self.leaves])
+        tokens = np.diff(np.concatenate([[0], np.cumsum(self.whole[2])])[self.starts])
+        chars = np.diff(self.places)
+        self.chars = Sums(np.array([chars[x] if isinstance(x, int) else len(x[0]) for x in self.leaves], np.int64))
+        self.tokens = Sums(np.array([tokens[x] if isinstance(x, int) else x[2].sum() for x in self.leaves], np.int64))
 
     def edit(self, start: int, length: int, new: str, counter: Counter) -> None:
         total = self.chars.total()
@@ -127,34 +175,37 @@ class Tree:
         # the first pre-token whose end lies within sight of the edit
         sight = max(0, start - self.params.look)
         i, before = self.chars.find(max(0, min(sight, total) - 1)) if total else (0, 0)
-        ends = before + np.cumsum(self.leaves[i][1])
+        head = self.leaf(i)
+        ends = before + np.cumsum(head[1])
         j = int(np.searchsorted(ends, sight))
-        from_ = int(ends[j] - self.leaves[i][1][j]) if j < len(ends) else before + len(self.leaves[i][0])
+        from_ = int(ends[j] - head[1][j]) if j < len(ends) else before + len(head[0])
         k = max(i, self.chars.find(min(stop, total - 1))[0] if total else 0)
         shift = len(new) - (stop - start)
         while True:
             last = k + 1 == len(self.leaves)
-            old = self.leaves[i][0][from_ - before :] + "".join(x[0] for x in self.leaves[i + 1 : k + 1])
+            more = [self.leaf(x) for x in range(i + 1, k + 1)]
+            old = head[0][from_ - before :] + "".join(x[0] for x in more)
             text = old[: start - from_] + new + old[stop - from_ :]
             lengths, counts = counter(text)
             self.encoded += len(lengths)
             made = np.cumsum(lengths)
-            kept = np.concatenate([self.leaves[i][1][j:], *[x[1] for x in self.leaves[i + 1 : k + 1]]])
+            kept = np.concatenate([head[1][j:], *[x[1] for x in more]])
             was = from_ + np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
             # boundaries behind the edit that both have and that nothing unseen could move
             fit = made[(made >= start - from_ + len(new)) & (made <= (len(text) if last else len(text) - self.params.look - 1))]
-            fit = fit[np.isin(fit + from_ - shift, was[was >= stop])]
+            back = fit + from_ - shift  # where they were; ``was`` is sorted
+            fit = fit[was[np.minimum(np.searchsorted(was, back), len(was) - 1)] == back]
             if len(fit) or last:
                 break
             k = min(len(self.leaves) - 1, k + max(1, k - i))
         sync = int(fit[0]) if len(fit) else len(text)
         n_new = int(np.searchsorted(made, sync, side="right"))
         n_old = int(np.searchsorted(was[1:], sync + from_ - shift, side="right"))
-        all_counts = np.concatenate([self.leaves[i][2][j:], *[x[2] for x in self.leaves[i + 1 : k + 1]]])
+        all_counts = np.concatenate([head[2][j:], *[x[2] for x in more]])
         leaf = (
-            self.leaves[i][0][: from_ - before] + text,
-            np.concatenate([self.leaves[i][1][:j], lengths[:n_new], kept[n_old:]]).astype(np.int64),
-            np.concatenate([self.leaves[i][2][:j], counts[:n_new], all_counts[n_old:]]).astype(np.int64),
+            head[0][: from_ - before] + text,
+            np.concatenate([head[1][:j], lengths[:n_new], kept[n_old:]]).astype(np.int64),
+            np.concatenate([head[2][:j], counts[:n_new], all_counts[n_old:]]).astype(np.int64),
         )
         if i == k and len(leaf[1]) <= 4 * self.params.leaf:
             self.leaves[i] = leaf
@@ -165,7 +216,19 @@ class Tree:
             self.sum()
 
     def parts(self) -> Leaf:
-        return "".join(x[0] for x in self.leaves), np.concatenate([x[1] for x in self.leaves]), np.concatenate([x[2] for x in self.leaves])
+        """Text, lengths and numbers of ids; neighbouring untouched leaves are taken in one piece."""
+        out: list[Leaf] = []
+        i = 0
+        while i < len(self.leaves):
+            first, j = self.leaves[i], i + 1
+            if isinstance(first, int):
+                while j < len(self.leaves) and isinstance(self.leaves[j], int):
+                    j += 1
+                out.append(self.run(first, first + j - i))
+            else:
+                out.append(first)
+            i = j
+        return "".join(x[0] for x in out), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
 
 
 TREE = "text string, lengths binary, counts binary, n_pretokens long, n_tokens long"

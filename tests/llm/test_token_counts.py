@@ -30,11 +30,13 @@ def test_edits_equal_encoding_anew(text, edits, leaf):
         assert got == text
         assert lengths.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
         assert tree.tokens.total() == want[1].sum() and tree.chars.total() == len(text)
-        assert [len(x[0]) for x in tree.leaves] == [int(x[1].sum()) for x in tree.leaves]
+        leaves = [tree.leaf(i) for i in range(len(tree.leaves))]
+        assert [len(x[0]) for x in leaves] == [int(x[1].sum()) for x in leaves]
+        assert tree.chars.node[tree.chars.size :][: len(leaves)] == [len(x[0]) for x in leaves]
 
 
 def test_sums_find():
-    sums = Sums([3, 0, 4, 1])
+    sums = Sums(np.array([3, 0, 4, 1]))
     assert [sums.find(p) for p in range(8)] == [(0, 0)] * 3 + [(2, 3)] * 4 + [(3, 7)]
     sums.put(0, 1)
     assert sums.total() == 6 and sums.find(1) == (2, 1)
