@@ -27,6 +27,10 @@ from ragloom.llm.registry import query
 from ragloom.session import broadcast_within
 
 
+#: Bytes of text worked on at once; every byte gives an n-gram of each order.
+PIECE = 1 << 18
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     orders: tuple[int, ...] = (3, 4, 5, 6)  # bytes in an n-gram, 8 at most
@@ -86,7 +90,7 @@ def present(values: pa.Array, params: ToxicityParams, features: np.ndarray | Non
     if features is not None:
         place = np.full(1 << params.bits, -1, np.int32)
         place[features] = np.arange(len(features), dtype=np.int32)
-    for lo, hi in pieces(offsets):
+    for lo, hi in pieces(offsets, PIECE):
         grams, text = hashed(data, offsets[lo : hi + 1], params)
         if place is not None:
             grams = place[grams]
