@@ -3,7 +3,7 @@
 Texts become symbols: letters, lower-cased, and one space for each run of
 anything else. Counts of all training texts become, per language and order, the
 interpolated Kneser-Ney probability of each n-gram and the back-off weight of
-each context, kept as sorted arrays of hashes with their logarithms. A text goes
+each context, kept as sorted arrays of the n-grams with their logarithms. A text goes
 to the language with the lowest cross-entropy per symbol. Temperature and the
 entropy beyond which a text is rejected are calibrated on the training rows.
 
@@ -35,34 +35,47 @@ BITS = 12  # of a symbol
 @dataclass(frozen=True)
 class LangidParams:
     order: int = 4  # symbols in the longest n-gram, 5 at most
-    hash_bits: int = 20  # of the n-gram space, which bounds a language's arrays
+    hash_bits: int | None = None  # of hashed n-grams, which then share places; None keeps every n-gram itself
     block_bytes: int = 64 << 20  # models sent to the tasks at once; more languages mean more scans
     rejected_share: float = 0.001  # of the training texts that the calibrated bound rejects
     temperatures: tuple[float, ...] = (1, 2, 4, 8, 16, 32, 64, 128)
 
 
 @lru_cache(1)
-def symbols() -> np.ndarray:
-    """The symbol of every code point; 32 for what is no letter."""
-    out = np.full(0x110000, 32, np.uint16)
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of every code point, 32 for what is no letter, and the one that follows it or 0.
+
+    A letter from U+1000 on is two symbols that no letter below has, so that all
+    letters stay apart.
+    """
+    low = np.full(0x110000, 32, np.int32)
     for c in range(0x110000):
         if unicodedata.category(chr(c))[0] == "L":
-            low = chr(c).lower()
-            c2 = ord(low) if len(low) == 1 else c
-            out[c] = c2 if c2 < 4096 else 2048 + c2 % 2048
-    return out
+            lower = chr(c).lower()
+            low[c] = ord(lower) if len(lower) == 1 else c
+    wide = low >= 1 << BITS
+    free = np.setdiff1d(np.arange(1, 1 << BITS), low[~wide])
+    rest = low[wide] - (1 << BITS)
+    first, second = low.copy(), np.zeros(len(low), np.int32)
+    first[wide], second[wide] = free[1024:][rest >> 10], free[rest & 1023]
+    return first.astype(np.uint16), second.astype(np.uint16)
 
 
 def grams(values: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For pieces of a batch: first text, last text, the packed n-gram that ends at each symbol, its text."""
     data, offsets = byte_view(values)
-    known = symbols()
+    first_of, second_of = symbols()
     for lo, hi in pieces(offsets):
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1])]
         lengths = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        symbol = known[points].astype(np.int64)
+        symbol, second = first_of[points].astype(np.int64), second_of[points]
         text = np.repeat(np.arange(hi - lo), lengths)
+        wide = second > 0
+        if wide.any():
+            ends = np.cumsum(1 + wide) - 1
+            symbol, text = np.repeat(symbol, 1 + wide), np.repeat(text, 1 + wide)
+            symbol[ends[wide]] = second[wide]
         first = np.concatenate([[True], text[1:] != text[:-1]])[: len(text)]
         # a space after a space or at the start of a text is left out
         space = symbol == 32
@@ -76,8 +89,10 @@ def grams(values: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray,
         yield lo, hi, packed, text
 
 
-def place(gram: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The hash of packed n-grams of an order."""
+def place(gram: np.ndarray, order: int, bits: int | None) -> np.ndarray:
+    """The key of packed n-grams of an order: themselves, or a hash of so many bits."""
+    if bits is None:
+        return gram
     return (mix(gram.astype(np.uint64) + (np.uint64(order) << np.uint64(60))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -143,7 +158,7 @@ def estimate(counts: DataFrame, order: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Arrays:
-    """One language: for each order the sorted hashes with their logarithms."""
+    """One language: for each order the sorted keys with their logarithms."""
 
     lang: str
     logp: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -160,7 +175,7 @@ class Arrays:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return keys[at] == h, values[at]
 
-    def score(self, gram: np.ndarray, order: int, bits: int) -> np.ndarray:
+    def score(self, gram: np.ndarray, order: int, bits: int | None) -> np.ndarray:
         """log P of the last symbol of each packed n-gram given those before it."""
         if order == 0:
             return np.full(len(gram), -np.log(1 << BITS))
@@ -188,14 +203,14 @@ def train(docs: DataFrame, params: LangidParams = LangidParams()) -> list[list[A
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("lang", "n")] + [pa.array(h), batch.column("logp"), batch.column("logb")], ["lang", "n", "h", "logp", "logb"])
 
     rows = rows.mapInArrow(hashed, "lang string, n int, h long, logp double, logb double")
-    rows = written(rows.groupBy("lang", "n", "h").agg(F.max("logp").alias("logp"), F.max("logb").alias("logb")), "langid-model")
+    rows = written(rows.groupBy("lang", "n", "h").agg(F.max("logp").cast("float").alias("logp"), F.max("logb").cast("float").alias("logb")), "langid-model")
     models, blocks, size = [], [[]], 0
-    for lang in names:  # at most 2^hash_bits rows per order and language
+    for lang in names:  # as many rows as the language has distinct n-grams
         t = rows.filter(F.col("lang") == lang).select("n", "h", "logp", "logb").toArrow().to_pandas().sort_values(["n", "h"])
         arrays = {}
         for what in ("logp", "logb"):
             known = t[t[what].notna()]
-            arrays[what] = {n: tuple(known[known.n == n][c].to_numpy(k) for c, k in (("h", np.int32), (what, np.float32))) for n in range(params.order + 1)}
+            arrays[what] = {n: tuple(known[known.n == n][c].to_numpy(k) for c, k in (("h", np.int64), (what, np.float32))) for n in range(params.order + 1)}
         models.append(Arrays(lang, arrays["logp"], arrays["logb"]))
     for m in models:
         if blocks[-1] and size + m.nbytes() > params.block_bytes:
@@ -216,11 +231,8 @@ def entropies(spark: SparkSession, block: list[Arrays], params: LangidParams):
         for lo, hi, gram, at in grams(text, params.order):
             n = np.bincount(at, minlength=hi - lo)
             letters = np.bincount(at, (gram & ((1 << BITS) - 1)) != 32, minlength=hi - lo)
-            h = place(gram, params.order, params.hash_bits)
-            one = np.zeros(1 << params.hash_bits, np.int64)
-            one[h] = np.arange(len(h))  # one place in the piece where each hash occurs
-            every, inverse = np.unique(one[h], return_inverse=True) if len(h) < 4096 else distinct(one, h)
-            sums = [np.bincount(at, m.score(gram[every], params.order, params.hash_bits)[inverse], minlength=hi - lo) for m in models]
+            every, inverse = np.unique(gram, return_inverse=True)
+            sums = [np.bincount(at, m.score(every, params.order, params.hash_bits)[inverse], minlength=hi - lo) for m in models]
             for i in np.flatnonzero(letters):
                 out[lo + i] = [float(-s[i] / n[i]) for s in sums]
         return pa.array(out, pa.list_(pa.float64()))
@@ -228,16 +240,6 @@ def entropies(spark: SparkSession, block: list[Arrays], params: LangidParams):
     return lambda text: measure(utf8(text))
 
 
-def distinct(one: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of distinct hashes and which of them each hash has, without sorting."""
-    seen = np.zeros(len(one), bool)
-    seen[h] = True
-    every = np.flatnonzero(seen)
-    number = np.zeros(len(one), np.int64)
-    number[every] = np.arange(len(every))
-    return one[every], number[h]
-
-
 def measured(docs: DataFrame, blocks: list[list[Arrays]], params: LangidParams, text: str = "text"):
     """Cross-entropies of all languages, in the order of the blocks, as a column of ``docs``."""
     return F.concat(*[entropies(docs.sparkSession, b, params)(docs[text]) for b in blocks])
