@@ -2,8 +2,7 @@
 
 Training counts in how many toxic and clean training rows each hashed n-gram
 occurs (all rows, whole texts), turns the counts into log-count ratios and keeps
-the n-grams whose association is strong against the strongest one. A logistic
-regression over presence times ratio is fitted on a bounded sample of rows.
+every n-gram with enough evidence of its own. A logistic regression over presence times ratio is fitted on a bounded sample of rows.
 
 Null and empty texts have no n-grams and get the score of the intercept. Labels
 other than 0 and 1 and null labels teach nothing. Without rows of both classes
@@ -37,8 +36,7 @@ class ToxicityParams:
     bits: int = 20  # of the hashed n-gram space, which bounds model and counts
     smoothing: float = 1.0
     min_ratio: float = 1.0  # least absolute log-count ratio of a feature
-    min_share: float = 0.2  # least association, as a share of the strongest feature's
-    min_association: float = 10.0  # and at least this G statistic
+    min_association: float = 10.0  # least G statistic of a feature
     fit_rows: int = 50_000  # bound of the labelled rows that the regression is fitted on
     penalty: float = 1e-3
     rounds: int = 300
@@ -158,8 +156,7 @@ def ratios(grams: pd.DataFrame, n0: int, n1: int, params: ToxicityParams) -> tup
 
     n, t = n0 + n1, p + q
     g = 2 * (part(p, t * n1 / n) + part(q, t * n0 / n) + part(n1 - p, (n - t) * n1 / n) + part(n0 - q, (n - t) * n0 / n))
-    least = max(params.min_association, params.min_share * g.max(initial=0))
-    return ratio, (np.abs(ratio) >= params.min_ratio) & (g >= least)
+    return ratio, (np.abs(ratio) >= params.min_ratio) & (g >= params.min_association)
 
 
 def sample(rows: DataFrame, n: int, features: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,8 +3,9 @@
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
-from ragloom.llm import langid
+from ragloom.llm import langid, toxicity
 
 # -- 6 language --------------------------------------------------------------
 
@@ -28,3 +29,14 @@ def test_every_ngram_has_its_place(spark):
     seen = {int(g) for _, _, gram, _ in langid.grams(pa.array([t.encode() for t in texts], pa.binary()), 4) for g in gram}
     assert len(seen) > 100_000
     assert set(model.logp[4][0].tolist()) == seen
+
+
+# -- 10 toxicity -------------------------------------------------------------
+
+
+def test_a_rare_but_certain_term_is_a_feature():
+    params = toxicity.ToxicityParams()
+    # a term in 900 of 1,000 toxic rows beside one in 40 of them, neither in 9,000 clean rows
+    grams = pd.DataFrame({"gram": [1, 2, 3], "clean": [0, 0, 900], "toxic": [900, 40, 100]})
+    _, strong = toxicity.ratios(grams, 9000, 1000, params)
+    assert strong.tolist() == [True, True, False]
