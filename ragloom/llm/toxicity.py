@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training counts in how many toxic and clean training rows each hashed n-gram
-occurs (all rows, whole texts), turns the counts into log-count ratios and keeps
+Training counts in how many toxic and clean training rows each n-gram, under a
+64-bit key, occurs (all rows, whole texts), turns the counts into log-count ratios and keeps
 every n-gram with enough evidence of its own. A logistic regression over presence times ratio is fitted on a bounded sample of rows.
 
 Null and empty texts have no n-grams and get the score of the intercept. Labels
@@ -29,11 +29,14 @@ from ragloom.session import broadcast_within
 #: Bytes of text worked on at once; every byte gives an n-gram of each order.
 PIECE = 1 << 18
 
+#: N-grams that a task adds up before they leave it.
+HELD = 1 << 21
+
 
 @dataclass(frozen=True)
 class ToxicityParams:
     orders: tuple[int, ...] = (3, 4, 5, 6)  # bytes in an n-gram, 8 at most
-    bits: int = 20  # of the hashed n-gram space, which bounds model and counts
+    bits: int = 64  # of an n-gram's key; 64 keep n-grams apart
     smoothing: float = 1.0
     min_ratio: float = 1.0  # least absolute log-count ratio of a feature
     min_association: float = 10.0  # least G statistic of a feature
@@ -46,14 +49,14 @@ class ToxicityParams:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    features: np.ndarray  # hashed n-grams, sorted
+    features: np.ndarray  # keys of n-grams, sorted
     weights: np.ndarray  # regression weight times log-count ratio
     intercept: float
     params: ToxicityParams
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of lower-cased texts and the text each belongs to.
+    """Keys of the n-grams of lower-cased texts and the text each belongs to.
 
     Each text is framed by spaces and followed by zero bytes, which keep neighbours
     apart; n-grams begin inside the frame.
@@ -72,32 +75,37 @@ def hashed(data: np.ndarray, offsets: np.ndarray, params: ToxicityParams) -> tup
             code |= wide[k : k + n] << np.uint64(8 * k)
         made = order
         h = (code + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-        found.append((h >> np.uint64(64 - params.bits)).astype(np.int32))
+        found.append(h >> np.uint64(64 - params.bits))
     text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + gap + 2)
     inside = np.arange(n) - starts[text] < lengths[text] + 2
     return np.stack(found)[:, inside], text[inside]
 
 
 def present(values: pa.Array, params: ToxicityParams, features: np.ndarray | None = None):
-    """Yield (first text, text, feature) of the distinct n-grams of every piece of a batch.
+    """Yield (first text, text, n-gram) of the distinct n-grams of every piece of a batch.
 
     With ``features``, only those, as positions in it.
     """
     data, offsets = byte_view(values)
-    place = None
     if features is not None:
-        place = np.full(1 << params.bits, -1, np.int32)
-        place[features] = np.arange(len(features), dtype=np.int32)
+        # most n-grams are told apart from the features by their first bits
+        first = min(params.bits, 24, max(16, int(len(features)).bit_length() + 6))
+        shift = np.uint64(params.bits - first)
+        maybe = np.zeros(1 << first, bool)
+        maybe[(features >> shift).astype(np.int64)] = True
     for lo, hi in pieces(offsets, PIECE):
         grams, text = hashed(data, offsets[lo : hi + 1], params)
-        if place is not None:
-            grams = place[grams]
-            row, col = np.nonzero(grams >= 0)
-            key = (text[col].astype(np.int64) << params.bits) | grams[row, col]
+        if features is not None:
+            row, col = np.nonzero(maybe[(grams >> shift).astype(np.int64)])
+            gram = grams[row, col]
+            at = np.minimum(np.searchsorted(features, gram), max(0, len(features) - 1))
+            known = features[at] == gram if len(features) else np.zeros(0, bool)
+            key = np.unique((text[col[known]].astype(np.int64) << 32) | at[known])
+            yield lo, key >> 32, key & ((1 << 32) - 1)
         else:
-            key = ((text.astype(np.int64) << params.bits) | grams).ravel()
-        key = np.unique(key)
-        yield lo, key >> params.bits, key & ((1 << params.bits) - 1)
+            cut = np.searchsorted(text, np.arange(hi - lo + 1))
+            every = [np.unique(grams[:, a:b]) for a, b in zip(cut, cut[1:])]
+            yield lo, np.repeat(np.arange(hi - lo), [len(x) for x in every]), np.concatenate(every)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, params: ToxicityParams) -> DataFrame:
@@ -114,33 +122,48 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: Toxi
     rows = labelled(docs, labels, label, params)
 
     def count(batches):
-        seen = np.zeros((2, (1 << params.bits) + 1), np.int64)  # the last place counts the rows
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # of clean and of toxic rows
+
+        def out():
+            for c in (0, 1):
+                gram, n = np.unique(np.concatenate(held[c] or [none]), return_counts=True)
+                held[c].clear()
+                for a in range(0, len(gram), 100_000):
+                    part, seen = pa.array(gram[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])
+                    nothing = pa.array(np.zeros(len(part), np.int64))
+                    yield pa.RecordBatch.from_arrays([part, *((nothing, seen) if c else (seen, nothing))], ["gram", "clean", "toxic"])
+
+        size = 0
         for batch in batches:
             y = batch.column("_y").to_numpy(zero_copy_only=False)
-            seen[:, -1] += np.bincount(y, minlength=2)
             for lo, text, gram in present(batch.column("_text"), params):
                 for c in (0, 1):
-                    seen[c, :-1] += np.bincount(gram[y[lo + text] == c], minlength=1 << params.bits)
-        at = np.flatnonzero(seen.any(axis=0))
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(seen[0, part]), pa.array(seen[1, part])], ["gram", "clean", "toxic"]
-            )
-
-    counts = rows.select("_text", "_y").mapInArrow(count, "gram int, clean long, toxic long")
-    # at most one row per hashed n-gram: bounded by the parameter bits, not by the corpus
-    total = counts.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow().to_pandas()
-    ends = total[total.gram == 1 << params.bits]
-    n0, n1 = (int(ends[c].sum()) for c in ("clean", "toxic"))
-    none = np.zeros(0, np.int32)
+                    held[c].append(gram[y[lo + text] == c])
+                size += len(gram)
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    def strong(batches):
+        for batch in batches:
+            ratio, keep = ratios(batch.to_pandas(), n0, n1, params)
+            yield pa.RecordBatch.from_arrays([batch.column("gram").filter(pa.array(keep)), pa.array(ratio[keep])], ["gram", "ratio"])
+
+    none = np.zeros(0, np.uint64)
+    ends = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    n0, n1 = ends.get(0, 0), ends.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
         return ToxicityModel(none, np.zeros(0), float(np.log(prior / (1 - prior))), params)
-    grams = total[total.gram < 1 << params.bits].sort_values("gram")
-    ratio, strong = ratios(grams, n0, n1, params)
-    features = grams.gram.to_numpy()[strong].astype(np.int32)
-    weights, intercept = fit(*sample(rows, n0 + n1, features, params), ratio[strong], params)
+    counts = rows.select("_text", "_y").mapInArrow(count, "gram long, clean long, toxic long")
+    counts = counts.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # only n-grams with enough evidence leave the tasks
+    chosen = counts.mapInArrow(strong, "gram long, ratio double").toArrow()
+    features = chosen.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(features)
+    features, ratio = features[order], chosen.column("ratio").to_numpy()[order]
+    weights, intercept = fit(*sample(rows, n0 + n1, features, params), ratio, params)
     return ToxicityModel(features, weights, intercept, params)
 
 
@@ -164,13 +187,11 @@ def sample(rows: DataFrame, n: int, features: np.ndarray, params: ToxicityParams
 
     def pick(batches):
         for batch in batches:
-            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for lo, text, gram in present(batch.column("_text"), params, features):
-                for t, g in zip(text.tolist(), gram.tolist(), strict=True):
-                    found[lo + t].append(g)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_y"), pa.array(found, pa.list_(pa.int32()))], ["_id", "_y", "_f"]
-            )
+            found = [(lo + text, gram.astype(np.int32)) for lo, text, gram in present(batch.column("_text"), params, features)]
+            sizes = np.bincount(np.concatenate([t for t, _ in found]), minlength=batch.num_rows) if found else []
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([g for _, g in found]) if found else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), lists], ["_id", "_y", "_f"])
 
     if n > params.fit_rows:  # a hash of the id thins the rows out before their texts are read closely
         rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < (1 << 20) * params.fit_rows / n)
@@ -178,7 +199,7 @@ def sample(rows: DataFrame, n: int, features: np.ndarray, params: ToxicityParams
     got = found.orderBy(F.xxhash64("_id"), "_id", "_y", "_f").limit(params.fit_rows).select("_y", "_f").toArrow()
     lists = got.column("_f").combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
-    sizes = np.array([len(x) for x in lists.to_pylist()], np.int64)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     return np.repeat(np.arange(len(sizes)), sizes), flat, got.column("_y").to_numpy().astype(float)
 
 

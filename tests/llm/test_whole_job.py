@@ -4,6 +4,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from ragloom.llm import langid, toxicity
 
@@ -24,8 +25,6 @@ def test_every_ngram_has_its_place(spark):
     train = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
     params = langid.LangidParams()
     model = langid.train(train, params)[0][0]
-    import pyarrow as pa
-
     seen = {int(g) for _, _, gram, _ in langid.grams(pa.array([t.encode() for t in texts], pa.binary()), 4) for g in gram}
     assert len(seen) > 100_000
     assert set(model.logp[4][0].tolist()) == seen
@@ -40,3 +39,17 @@ def test_a_rare_but_certain_term_is_a_feature():
     grams = pd.DataFrame({"gram": [1, 2, 3], "clean": [0, 0, 900], "toxic": [900, 40, 100]})
     _, strong = toxicity.ratios(grams, 9000, 1000, params)
     assert strong.tolist() == [True, True, False]
+
+
+def test_ngrams_do_not_share_keys():
+    rnd = np.random.default_rng(1)
+    text = bytes(rnd.integers(97, 123, 200_000).astype(np.uint8))
+    params = toxicity.ToxicityParams()
+    got = np.concatenate([gram for _, _, gram in toxicity.present(pa.array([text], pa.binary()), params)])
+    framed = b" " + text + b" "
+    want = {(n, framed[k : k + n].ljust(n, b"\0")) for n in params.orders for k in range(len(framed))}
+    assert len(got) == len(set(got.tolist())) == len(want)
+    # as positions among some of them
+    some = np.sort(got)[::7]
+    found = np.concatenate([at for _, _, at in toxicity.present(pa.array([text, b"zz"], pa.binary()), params, some)])
+    assert sorted(set(found.tolist())) == list(range(len(some)))
