@@ -4,7 +4,9 @@ The writer makes one record per page, ``response`` or, for a payload that anothe
 page holds too, ``revisit``; archives are files of bounded size. The reader
 checks every record (version line, header, length, end, digests). After a failed
 check it searches for the next gzip member or version line that begins a valid
-record, goes on from there and reports the bytes between as a gap.
+record, goes on from there and reports the bytes between as a gap. A gzip member
+is decompressed as far as it goes and searched in the same way; its records and
+gaps have the member's place in the file and their own in the decompressed bytes.
 
 Null html is an empty payload, a null url becomes the record's own name. Null
 page ids are archived as ``none`` and read back as null; beside other ids of the
@@ -117,46 +119,76 @@ def http_payload(block: bytes) -> bytes:
     return block.partition(END)[2]
 
 
-def member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the gzip member that begins at ``at``, and its end."""
-    unzip = zlib.decompressobj(31)
-    try:
-        inner = unzip.decompress(data[at:])
-    except zlib.error:
-        raise Broken("gzip member damaged") from None
-    if not unzip.eof:
-        raise Broken("gzip member truncated")
-    found, pos = [], 0
-    while pos < len(inner):
-        head, block, pos = parsed(inner, pos)
-        found.append((head, block))
-    return found, len(data) - len(unzip.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple]:
-    """Yield ("record", offset, size, "", header, block) and ("gap", offset, size, reason, None, None)."""
-    at, lost, reason = 0, -1, ""
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member that begins at ``at`` as far as they go, where it ends or breaks, and what broke."""
+    unzip, view, out, step = zlib.decompressobj(31), memoryview(data), [], 1 << 16
     while at < len(data):
+        before = unzip.copy() if step > 1 else unzip
         try:
-            if data[at : at + 2] == b"\x1f\x8b":
-                found, end = member(data, at)
-            else:
+            out.append(unzip.decompress(view[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), at, "gzip member damaged"
+            unzip, step = before, step >> 8  # nearer to the break
+            continue
+        at = min(at + step, len(data))
+        if unzip.eof:
+            return b"".join(out), at - len(unzip.unused_data), ""
+    return b"".join(out), at, "gzip member truncated"
+
+
+def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple]:
+    """Yield ("record", offset, size, "", header, block, inner) and ("gap", offset, size, reason, None, None, inner).
+
+    ``inner`` is None, or the offset and size in the decompressed bytes of the gzip
+    member that offset and size then stand for; the size is None where it broke off.
+    """
+    at, lost, reason, rescued, decoded = 0, -1, "", [], 0
+
+    def passed(end: int) -> Iterator[tuple]:
+        """What lies between two valid records: a gap, or a broken member with what was found in it."""
+        for kind, inner, why, head, block in rescued or [("gap", None, reason, None, None)]:
+            yield kind, lost, end - lost, why, head, block, inner
+
+    while at < len(data):
+        found, end, failed = [], at, ""
+        if zipped and data[at : at + 2] == b"\x1f\x8b":
+            inner, end, failed = inflated(data, at)
+            found = [(kind, (a, n), why, head, block) for kind, a, n, why, head, block, _ in salvage(inner, False)]
+            if failed and all(f[0] == "gap" for f in found):
+                found = []
+            if failed and found:
+                found.append(("gap", (len(inner), None), failed, None, None))
+        else:
+            try:
                 head, block, end = parsed(data, at)
-                found = [(head, block)]
-        except Broken as failed:
-            if lost < 0:
-                lost, reason = at, str(failed)
-            following = SIGN.search(data, at + 1)
+                found = [("record", None, "", head, block)]
+            except Broken as broken:
+                failed = str(broken)
+        # stored blocks of a broken member show its records a second time
+        again = at < decoded and found and all(f[0] == "gap" or f[3:] in [r[3:] for r in rescued] for f in found)
+        if found and not again:
+            if lost >= 0:
+                yield from passed(at)
+                lost, rescued = -1, []
+            if not failed:
+                for kind, inner, why, head, block in found:
+                    yield kind, at, end - at, why, head, block, inner
+            else:
+                lost, reason, rescued, decoded = at, failed, found, end
+        elif not found and not failed:  # an empty member
+            if lost >= 0:
+                yield from passed(at)
+                lost, rescued = -1, []
+        elif lost < 0:
+            lost, reason = at, failed
+        if failed or again:
+            following = (SIGN if zipped else VERSION).search(data, at + 1)
             at = following.start() if following else len(data)
-            continue
-        if lost >= 0:
-            yield "gap", lost, at - lost, reason, None, None
-            lost = -1
-        for head, block in found:
-            yield "record", at, end - at, "", head, block
-        at = end
+        else:
+            at = end
     if lost >= 0:
-        yield "gap", lost, len(data) - lost, reason, None, None
+        yield from passed(len(data))
 
 
 # -- tables ------------------------------------------------------------------
@@ -200,7 +232,7 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams(
 
 
 FOUND = (
-    "kind string, file string, offset long, size long, reason string, record_type string, uri string, page_id long,"
+    "kind string, file string, offset long, size long, inner_offset long, inner_size long, reason string, record_type string, uri string, page_id long,"
     " refers_to long, payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -216,8 +248,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, size = [], 0
-                for kind, offset, n, reason, head, block in salvage(data.as_py()):
+                for kind, offset, n, reason, head, block, inner in salvage(data.as_py()):
                     row = {"kind": kind, "file": file, "offset": offset, "size": n, "reason": reason}
+                    row |= dict(zip(("inner_offset", "inner_size"), inner or (None, None)))
                     if kind == "record":
                         length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", block.partition(END)[0])
                         row |= {
@@ -226,7 +259,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:"), "payload": http_payload(block),
                         }
                     rows.append(row)
-                    size += n
+                    size += n if inner is None else len(block or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
@@ -244,8 +277,8 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def gaps(found: DataFrame) -> DataFrame:
-    """The quarantine log: file, offset, size and reason of the bytes that belong to no valid record."""
-    return found.filter("kind = 'gap'").select("file", "offset", "size", "reason")
+    """The quarantine log: the bytes that belong to no valid record: file, place in it and in its decompressed member, reason."""
+    return found.filter("kind = 'gap'").select("file", "offset", "size", "inner_offset", "inner_size", "reason")
 
 
 @query(

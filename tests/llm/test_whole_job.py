@@ -1,12 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import gzip
 import unicodedata
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
-from ragloom.llm import langid, toxicity
+from ragloom.llm import langid, toxicity, warc
 
 # -- 6 language --------------------------------------------------------------
 
@@ -53,3 +55,31 @@ def test_ngrams_do_not_share_keys():
     some = np.sort(got)[::7]
     found = np.concatenate([at for _, _, at in toxicity.present(pa.array([text, b"zz"], pa.binary()), params, some)])
     assert sorted(set(found.tolist())) == list(range(len(some)))
+
+
+# -- 2 archives --------------------------------------------------------------
+
+
+def archived(n):
+    pages = [f"<p>{i}</p>".encode() * 3000 + np.random.default_rng(i).bytes(3000).hex().encode() for i in range(n)]
+    return [warc.record(i, f"http://x/{i}", p, warc.base32_sha1(p), None, False, "2024-01-01T00:00:00Z") + warc.END for i, p in enumerate(pages)]
+
+
+def names(found):
+    return [int(f[4]["warc-record-id"].strip("<>").removeprefix(warc.NAME)) for f in found if f[0] == "record"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_members_of_many_records_lose_only_what_is_damaged(level):
+    parts = archived(6)
+    inside = b"".join(p.replace(b"<p>2</p>", b"<p>X</p>", 1) for p in parts)
+    found = list(warc.salvage(gzip.compress(inside, level)))
+    assert names(found) == [0, 1, 3, 4, 5]
+    start = len(parts[0] + parts[1])
+    assert [(f[3], f[6]) for f in found if f[0] == "gap"] == [("block digest differs", (start, len(parts[2])))]
+    whole = gzip.compress(b"".join(parts), level)
+    cut = list(warc.salvage(whole[: len(whole) * 3 // 4]))
+    assert names(cut) == [0, 1, 2, 3] and cut[-1][:4] == ("gap", 0, len(whole) * 3 // 4, "gzip member truncated")
+    # the first member breaks off, the next one follows
+    both = list(warc.salvage(whole[: len(whole) * 3 // 4] + gzip.compress(parts[5])))
+    assert set(range(6)) - {4} == set(names(both)) and len(names(both)) == 5
