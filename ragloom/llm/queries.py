@@ -3,6 +3,7 @@
 from ragloom.llm import (  # noqa: F401
     decontaminate,
     exact_dedup,
+    importance,
     jaccard_join,
     langid,
     license_scan,
