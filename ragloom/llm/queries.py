@@ -2,7 +2,9 @@
 
 from ragloom.llm import (  # noqa: F401
     decontaminate,
+    divergence,
     exact_dedup,
+    idfiles,
     importance,
     jaccard_join,
     langid,
