@@ -14,12 +14,12 @@ from pyspark.sql.functions import arrow_udf
 
 from ragloom.functions.vectors import DISTANCE_PLACES
 from ragloom.params import Params
-from ragloom.session import one_row, settled, ship
+from ragloom.session import one_row, settled, ship, written
 
-_CELLS = 1 << 21  # distances held at once by one task
+CELLS = 1 << 21  # distances held at once by one task
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     """Arrow list column to a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -32,15 +32,15 @@ def _measured(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m, np.sqrt((m * m).sum(axis=1))
 
 
-class _Best:
+class Best:
     """Running k smallest (distance, id) per query; ties fall to the id."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, bound: np.ndarray | None = None):
         self.k = k
         self.q = np.empty(0, np.int64)
         self.d = np.empty(0, np.float64)
         self.i = np.empty(0, np.int64)
-        self.worst = np.full(n_queries, np.inf)
+        self.worst = np.full(n_queries, np.inf) if bound is None else bound.copy()
 
     def offer(self, q: np.ndarray, d: np.ndarray, i: np.ndarray) -> None:
         q, d, i = (np.concatenate(p) for p in ((self.q, q), (self.d, d), (self.i, i)))
@@ -51,7 +51,27 @@ class _Best:
         keep = place < self.k
         self.q, self.d, self.i = q[keep], d[keep], i[keep]
         full = place[keep] == self.k - 1
-        self.worst[self.q[full]] = self.d[full]
+        self.worst[self.q[full]] = np.minimum(self.worst[self.q[full]], self.d[full])
+
+    def offer_pairs(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, asked) -> None:
+        """Measure single pairs of a query and a vector; ``asked`` has ``vectors`` and ``lengths``."""
+        step = max(1, CELLS // max(1, vectors.shape[1]))
+        for lo in range(0, len(q), step):
+            a, b = q[lo : lo + step], x[lo : lo + step]
+            left, right = asked.vectors[a], vectors[b]
+            scale = asked.lengths[a] * np.sqrt((right * right).sum(axis=1))
+            away = np.full(len(a), np.inf)
+            np.divide((left * right).sum(axis=1), scale, out=away, where=scale > 0)
+            away = np.where(scale > 0, np.round(1.0 - away, DISTANCE_PLACES) + 0.0, np.inf)
+            near = away <= self.worst[a]
+            self.offer(a[near], away[near], ids[b[near]])
+
+    def scan_batch(self, batch: pa.RecordBatch, queries) -> None:
+        self.scan(batch.column("id").to_numpy(), matrix(batch.column("embedding")), queries)
+
+    def scan_codes(self, batch: pa.RecordBatch, sent) -> None:
+        """``sent``: the queries and which codes each one probes."""
+        self.scan_coded(batch.column("id").to_numpy(), matrix(batch.column("embedding")), batch.column("code").to_numpy(), *sent)
 
     def scan_coded(self, ids, vectors, codes, queries, probes) -> None:
         """Measure vectors code by code, each against the queries that probe its code."""
@@ -65,7 +85,7 @@ class _Best:
         """Measure a batch of vectors against the queries (or the ``which`` of them)."""
         qs, q_len = queries
         which = np.arange(len(qs)) if which is None else which
-        step = max(1, _CELLS // max(1, len(which)))
+        step = max(1, CELLS // max(1, len(which)))
         for lo in range(0, len(ids), step):
             part, part_ids = vectors[lo : lo + step], ids[lo : lo + step]
             scale = q_len[which][:, None] * np.sqrt((part * part).sum(axis=1))[None, :]
@@ -89,7 +109,7 @@ class _Best:
 _PARTIAL = "_q bigint, id bigint, distance double"
 
 
-def _ranked(partial: DataFrame, k: int) -> DataFrame:
+def ranked(partial: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
     return partial.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
 
@@ -105,15 +125,15 @@ def dense_topk(
     """``(query_id, id, distance, rnk)``: the k nearest chunks of every query.
 
     ``queries`` has ``query_id`` and ``vector``; ``chunks`` has ``id`` and
-    ``embedding``. A query set within the size bound travels to the chunks, so
-    chunk vectors are never shuffled and only k rows per query leave a task.
-    A larger set meets the chunks in a grid of bounded cells.
+    ``embedding``. Queries travel to the chunks in blocks, so chunk vectors are
+    never shuffled and at most k rows per query leave a task; with several blocks
+    only rows leave that are no worse than the k-th of a sample of the chunks.
     """
     qs = queries.select("query_id", F.col(vector).alias("vector"))
     cs = chunks.select("id", F.col(embedding).alias("embedding"))
     ship(queries.sparkSession)
     qs, n = settled(qs)
-    return _grid_topk(qs, n, cs, k, params) if n > params.query_block else _sent_topk(qs, cs, k, params)
+    return _blocks_topk(qs, n, cs, k, params, Best.scan_batch)
 
 
 def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -121,71 +141,62 @@ def _stacked(rows) -> tuple[np.ndarray, np.ndarray]:
     return _measured(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
 
 
-def _sent_topk(queries: DataFrame, chunks: DataFrame, k: int, params: Params) -> DataFrame:
-    spark = queries.sparkSession
-    rows = queries.collect()  # at most query_block
-    names = spark.createDataFrame(
-        [(i, r["query_id"]) for i, r in enumerate(rows)], f"_q bigint, query_id {_type(queries)}"
-    )
-    if not rows:
-        return _ranked(chunks.select(F.lit(0).cast("bigint").alias("_q"), "id",
-                                     F.lit(None).cast("double").alias("distance"))
-                       .join(names, "_q").select("query_id", "id", "distance"), k)
-    sent = spark.sparkContext.broadcast(_stacked(rows))
+def numbered_blocks(queries: DataFrame, n: int, params: Params) -> Iterator[tuple[list, DataFrame]]:
+    """A settled query set in blocks of about ``query_block`` rows: the rows, and ``(_q, query_id)``."""
+    n_blocks = math.ceil(n / params.query_block)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    for block in range(n_blocks):
+        mine = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
+        rows = mine.collect()  # a block
+        if rows:
+            yield rows, queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"_q bigint, query_id {kind}")
+
+
+def _bounds(chunks: DataFrame, sent, n_queries: int, k: int, scan) -> np.ndarray:
+    """The k-th distance of each query among the given chunks; no limit where there are fewer."""
+    worst = np.full(n_queries, np.inf)
+    found = ranked(_partial(chunks, sent, n_queries, k, scan).withColumnRenamed("_q", "query_id"), k)
+    for r in found.filter((F.col("rnk") == k) & F.col("distance").isNotNull()).collect():  # a row a query of the block
+        worst[r["query_id"]] = r["distance"]
+    return worst
+
+
+def _partial(chunks: DataFrame, sent, n_queries: int, k: int, scan, bound: np.ndarray | None = None) -> DataFrame:
+    """The k best of each query in each task."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(sent.value[0]), k)
+        best = Best(n_queries, k, bound)
         for b in batches:
             if b.num_rows:
-                best.scan(b.column("id").to_numpy(), _matrix(b.column("embedding")), sent.value)
+                scan(best, b, sent.value)
         yield best.batch()
 
-    partial = chunks.mapInArrow(nearest, _PARTIAL)
-    return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)
+    return chunks.mapInArrow(nearest, _PARTIAL)
 
 
-def _type(queries: DataFrame) -> str:
-    return queries.schema["query_id"].dataType.simpleString()
+def _blocks_topk(queries: DataFrame, n: int, chunks: DataFrame, k: int, params: Params, scan, prepared=_stacked) -> DataFrame:
+    """Block after block of the queries is sent to where the chunks lie.
 
-
-def _grid_topk(
-    queries: DataFrame, n_queries: int, chunks: DataFrame, k: int, params: Params,
-    probing: tuple[int, int] | None = None,
-) -> DataFrame:
-    """Every (query block, chunk slab) cell is one bounded group.
-
-    ``probing`` = (planes, radius) measures only chunks whose code a query probes.
+    ``prepared`` makes of the rows of a block what is sent; ``scan(best, batch, sent)``
+    offers a batch of chunks to the best rows.
     """
-    n_blocks = math.ceil(n_queries / params.query_block)
-    n_slabs = math.ceil(max(1, chunks.count()) / params.slab_rows)
-    spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    repeat = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = chunks.withColumn("slab", spread("id", n_slabs)).withColumn("block", repeat(n_blocks))
-    right = (
-        queries.withColumn("block", spread("query_id", n_blocks))
-        .withColumn("slab", repeat(n_slabs))
-        .select("query_id", "vector", "block", "slab")
-    )
-    out = f"query_id {_type(queries)}, id bigint, distance double"
-
-    def cell(cs: pa.Table, qs: pa.Table) -> pa.Table:
-        names = qs.column("query_id").combine_chunks()
-        best = _Best(len(names), k)
-        if len(names) and cs.num_rows:
-            vectors, asked = _matrix(cs.column("embedding")), _measured(_matrix(qs.column("vector")))
-            ids = cs.column("id").to_numpy()
-            if probing is None:
-                best.scan(ids, vectors, asked)
-            else:
-                best.scan_coded(ids, vectors, cs.column("code").to_numpy(), asked, _probes(asked[0], *probing))
-        got = best.batch()
-        return pa.table({"query_id": names.take(got.column("_q")), "id": got.column("id"),
-                         "distance": got.column("distance")})
-
-    partial = (
-        left.groupBy("block", "slab").cogroup(right.groupBy("block", "slab")).applyInArrow(cell, out)
-    )
-    return _ranked(partial, k)
+    sc, several, found = queries.sparkSession.sparkContext, n > params.query_block, []
+    few = None
+    if several:
+        steps = math.ceil(max(1, chunks.count()) / params.slab_rows)
+        few = chunks if steps == 1 else chunks.filter(F.pmod(F.xxhash64("id"), F.lit(steps)) == 0)
+    for rows, names in numbered_blocks(queries, n, params):
+        sent = sc.broadcast(prepared(rows))
+        bound = _bounds(few, sent, len(rows), k, scan) if several else None
+        part = _partial(chunks, sent, len(rows), k, scan, bound).join(F.broadcast(names), "_q").select("query_id", "id", "distance")
+        found.append(written(ranked(part, k), "nearest") if several else ranked(part, k))
+    if not found:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, id long, distance double, rnk int")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # --- approximate -----------------------------------------------------------
@@ -209,7 +220,7 @@ def plane_code(vector: Column, planes: int, dim: int) -> Column:
 
     @arrow_udf("int")
     def code(column: pa.Array) -> pa.Array:
-        bits = (_matrix(column) @ signs.T) > 0
+        bits = (matrix(column) @ signs.T) > 0
         return pa.array((bits * (1 << np.arange(planes))).sum(axis=1), pa.int32())
 
     return code(vector)
@@ -229,37 +240,18 @@ def approximate_topk(
     prunes its files to the probed codes. Chunks are measured where they lie, so
     a code holding a third of all rows is spread over as many tasks as its files.
     """
-    spark = queries.sparkSession
-    ship(spark)
+    ship(queries.sparkSession)
     small, n = settled(queries.select("query_id", "vector"))
-    if n > params.query_block:
-        return _grid_topk(small, n, coded_chunks.select("id", "embedding", "code"), k, params, (planes, radius))
-    if not n:  # nothing is asked
-        return _sent_topk(small, coded_chunks.select("id", "embedding"), k, params)
-    rows = small.collect()
-    matrix, lengths = _stacked(rows)
-    near = _probes(matrix, planes, radius)
-    names = spark.createDataFrame(
-        [(i, r["query_id"]) for i, r in enumerate(rows)], f"_q bigint, query_id {_type(small)}"
-    )
-    sent = spark.sparkContext.broadcast(((matrix, lengths), near))
-    probed = [int(c) for c in np.nonzero(near.any(axis=0))[0]]
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs, mask = sent.value
-        best = _Best(len(qs[0]), k)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            best.scan_coded(b.column("id").to_numpy(), _matrix(b.column("embedding")), b.column("code").to_numpy(), qs, mask)
-        yield best.batch()
+    def prepared(rows):
+        sent = _stacked(rows)
+        return sent, _probes(sent[0], planes, radius)
 
-    partial = (
-        coded_chunks.filter(F.col("code").isin(probed))
-        .select("id", "embedding", "code")
-        .mapInArrow(nearest, _PARTIAL)
-    )
-    return _ranked(partial.join(F.broadcast(names), "_q").select("query_id", "id", "distance"), k)
+    coded = coded_chunks.select("id", "embedding", "code")
+    if n <= params.query_block:  # codes that no query probes are not read
+        probed = _probes(_stacked(small.collect())[0], planes, radius).any(axis=0) if n else np.zeros(1 << planes, bool)
+        coded = coded.filter(F.col("code").isin([int(c) for c in np.flatnonzero(probed)]))
+    return _blocks_topk(small, n, coded, k, params, Best.scan_codes, prepared)
 
 
 def candidate_fraction(queries: DataFrame, coded_chunks: DataFrame, planes: int, radius: int) -> DataFrame:

@@ -2,50 +2,96 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import NOT_WORD, is_stop_word, stem, words
+from ragloom.operators.covers import Lists, Plan, Postings
 from ragloom.params import Params
-from ragloom.session import broadcast_within, salted_join, settled
+from ragloom.session import settled, ship, written
 
-# Weight of a title (A) and of a body (B) occurrence.
-WEIGHTS = {"A": 1.0, "B": 0.4}
 SCORE_PLACES = 9
 
+POSTINGS = "id long, term string, positions array<int>, titled int"
+
+
+def _terms(words):
+    """Stems in their places; a stop word leaves its place empty."""
+    return F.transform(words, lambda w: F.when(~is_stop_word(w), stem(w)))
+
 
-def postings(chunks: DataFrame, title: str = "doc_title", content: str = "content") -> DataFrame:
-    """``(id, term, occ array<struct<pos, weight>>)``, one row per chunk and term.
+def postings(chunks: DataFrame, title: str = "doc_title", content: str = "content", params: Params = Params()) -> DataFrame:
+    """``(id, term, positions, titled, bucket, block)``, one row per chunk and term.
 
-    Body positions follow the last title position; a null title counts as
-    empty. Chunk ids are unique, so the one shuffle (on ``id``) is even, and
-    grouping by (id, term) needs no second one.
+    Body positions follow the last title position; a null title counts as empty.
+    The first ``titled`` positions lie in the title. A chunk's words are in one
+    row, so its postings are made where it lies, without a shuffle. ``bucket`` is a
+    hash of the term, ``block`` a range of ids.
     """
-    head = words(F.coalesce(F.col(title), F.lit("")))
-    last_in_title = F.array_max(F.transform(head, lambda w, i: F.when(~is_stop_word(w), i + 1)))
-    rows = chunks.select("id", title, content).repartition("id")
-    # one row, two word lists: explode them together and stay on the same task
-    both = rows.select(
-        "id",
-        F.explode(F.array(
-            F.struct(F.lit("A").alias("weight"), F.lit(0).alias("shift"), head.alias("words")),
-            F.struct(F.lit("B").alias("weight"), F.coalesce(last_in_title, F.lit(0)).alias("shift"),
-                     words(F.col(content)).alias("words")),
-        )).alias("_part"),
-    )
-    return (
-        both.select("id", "_part.weight", "_part.shift", F.posexplode("_part.words").alias("_at", "_word"))
-        .filter(~is_stop_word(F.col("_word")))
-        .select("id", stem(F.col("_word")).alias("term"),
-                F.struct((F.col("_at") + 1 + F.col("shift")).alias("pos"), "weight").alias("_occ"))
-        .groupBy("id", "term")
-        .agg(F.sort_array(F.collect_list("_occ")).alias("occ"))
-    )
+    ship(chunks.sparkSession)
+    rows = chunks.select("id", _terms(words(F.coalesce(F.col(title), F.lit("")))).alias("head"),
+                         _terms(words(F.coalesce(F.col(content), F.lit("")))).alias("body"))
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Row, position from 1 and term of what is no stop word."""
+        sizes = column.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(column)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        term = column.flatten()
+        kept = term.is_valid().to_numpy(zero_copy_only=False)
+        return row[kept], place[kept], term.drop_null()
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, place, term = flat(b.column("head"))
+            shift = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(shift, row, place)
+            more, behind, rest = flat(b.column("body"))
+            title = np.concatenate([np.ones(len(row), bool), np.zeros(len(more), bool)])
+            place = np.concatenate([place, behind + shift[more]])
+            row = np.concatenate([row, more])
+            coded = pa.concat_arrays([term, rest]).dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.lexsort((place, code, row))
+            row, code, place, title = row[order], code[order], place[order], title[order]
+            opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
+            starts = np.append(opens, len(row)).astype(np.int32)
+            titles = np.concatenate([[0], np.cumsum(title)])
+            yield pa.RecordBatch.from_arrays([
+                b.column("id").take(pa.array(row[opens])), coded.dictionary.take(pa.array(code[opens])),
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(place.astype(np.int32))),
+                pa.array((titles[starts[1:]] - titles[starts[:-1]]).astype(np.int32)),
+            ], names=["id", "term", "positions", "titled"])
+
+    return rows.mapInArrow(group, POSTINGS).withColumns({
+        "bucket": bucket_of("term", params),
+        "block": F.floor(F.col("id") / params.id_block).cast("long"),
+    })
+
+
+def bucket_of(term: str, params: Params):
+    return F.pmod(F.xxhash64(term), F.lit(params.term_buckets)).cast("int")
+
+
+def store_postings(made: DataFrame) -> DataFrame:
+    """The index, stored by bucket of terms.
+
+    A bucket is written in parts by block of ids, so a term that every chunk holds
+    is no hot key; inside a part equal terms lie together.
+    """
+    dealt = made.repartition("bucket", "block").drop("block").sortWithinPartitions("bucket", "term", "id")
+    return written(dealt, "index", "bucket")
 
 
 def flat_postings(index: DataFrame) -> DataFrame:
     """``(id, term, pos, weight)``."""
-    return index.select("id", "term", F.inline("occ"))
+    return index.select("id", "term", "titled", F.posexplode("positions").alias("_i", "pos")).select(
+        "id", "term", "pos", F.when(F.col("_i") < F.col("titled"), "A").otherwise("B").alias("weight"))
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -81,153 +127,212 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("term", stem(F.col("_word"))).drop("_word")
 
 
-def _near(index: DataFrame, wanted: DataFrame, n_terms: int, params: Params) -> DataFrame:
-    """Join postings to a set of wanted terms, whichever way its size allows."""
-    if n_terms * 200 <= params.broadcast_bytes:
-        return index.join(F.broadcast(wanted), "term")
-    return salted_join(index, wanted, ["term"], "id", params.salts)
+# --- matching ---------------------------------------------------------------
 
+def _passes(terms: DataFrame, n: int, params: Params) -> Iterator[DataFrame]:
+    """The terms of as many queries at a time as may be sent."""
+    parts = max(1, math.ceil(n / params.pass_terms))
+    for part in range(parts):
+        yield terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
 
-def match_terms(
-    terms: DataFrame, index: DataFrame, counts: DataFrame, params: Params = Params()
-) -> DataFrame:
-    """``(query_id, grp, id, occ array<struct<pos, weight, term>>, lone)`` for every matching chunk.
 
-    ``lone`` marks groups of a single term.
+def _plan(terms: DataFrame, counts: DataFrame, params: Params) -> tuple[Plan, DataFrame, DataFrame] | None:
+    """What the queries of a pass ask for: the plan, its codes ``(term, bucket, code)`` and its
+    groups ``(_g, query_id, grp)``. Groups with a term that no chunk holds are left out, and
+    groups of exclusions alone.
 
-    Candidates come from the rarest positive term of each group; the postings of
-    its other terms are read too and meet the candidates by chunk.
+    The terms of a pass are a bounded set; here they come to the driver.
     """
-    terms, n = settled(terms)
-    keys = ["query_id", "grp"]
-    positive = terms.filter(~F.col("negated"))
-    # a set too large to send is at least free of repeats before it is shuffled
-    sent = lambda df: broadcast_within(df if n * 200 <= params.broadcast_bytes else df.distinct(), n, 200, params.broadcast_bytes)
-    known = (
-        counts.join(sent(positive.select(*keys, "term")), "term")
-        .groupBy(*keys)
-        .agg(F.min(F.struct("df", "term")).alias("_rare"), F.collect_set("term").alias("_terms"))
-    )
-    needed = positive.groupBy(*keys).agg(F.count_distinct("term").alias("_n"))
-    groups, _ = settled(
-        known.join(needed, keys).filter(F.size("_terms") == F.col("_n"))
-        .select(*keys, "_n", "_terms", F.col("_rare.term").alias("term"))
-    )
-    # a group of one term is answered by its postings alone, where they lie
-    occurrences = F.expr("transform(occ, o -> struct(o.pos AS pos, o.weight AS weight, term AS term))")
-    lone = _near(index, groups.filter("_n = 1").drop("_n", "_terms"), n, params).select(
-        *keys, "id", occurrences.alias("occ"), F.lit(True).alias("lone")
-    )
-    candidates = _near(index.select("id", "term"), groups.filter("_n > 1"), n, params).select(
-        *keys, "id", "_n", F.explode("_terms").alias("term")
-    )
-    relevant = index.join(sent(groups.filter("_n > 1").select(F.explode("_terms").alias("term"))), "term", "left_semi")
-    several = (
-        candidates.join(relevant, ["id", "term"])
-        .groupBy(*keys, "id")
-        .agg(F.collect_list(F.struct("term", "occ")).alias("_found"), F.first("_n").alias("_n"))
-        .filter(F.size("_found") == F.col("_n"))
-        .select(*keys, "id", F.expr("""
-            sort_array(flatten(transform(_found, t -> transform(
-              t.occ, o -> struct(o.pos AS pos, o.weight AS weight, t.term AS term)))))""").alias("occ"),
-            F.lit(False).alias("lone"))
-    )
-    full = lone.unionByName(several)
-    uses = terms.agg(
-        F.bool_or(F.col("phrase") & ~F.col("negated")).alias("phrases"), F.bool_or("negated").alias("excluded")
-    ).head()
-    if uses["phrases"]:
-        full = _with_phrases(full, terms)
-    return _without_excluded(full, terms, index) if uses["excluded"] else full
-
-
-def _with_phrases(matches: DataFrame, terms: DataFrame) -> DataFrame:
-    """Keep matches that hold every quoted phrase of their group at adjacent positions."""
-    parts = (
-        terms.filter(~F.col("negated") & F.col("phrase"))
-        .groupBy("query_id", "grp", "piece")
-        .agg(F.collect_list(F.struct("off", "term")).alias("_parts"))
-        .groupBy("query_id", "grp")
-        .agg(F.collect_list("_parts").alias("_phrases"))
-    )
-    # a phrase holds where all its parts put its start at the same position
-    holds = F.expr("""
-        forall(_phrases, phrase -> exists(occ, first -> first.term = phrase[0].term AND
-          forall(phrase, part -> exists(occ, o ->
-            o.term = part.term AND o.pos - part.off = first.pos - phrase[0].off))))""")
-    return (
-        matches.join(parts, ["query_id", "grp"], "left")
-        .filter(F.col("_phrases").isNull() | holds)
-        .drop("_phrases")
-    )
+    spark = terms.sparkSession
+    held = counts.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "df").collect()
+    code = {r["term"]: i for i, r in enumerate(held)}
+    df = [r["df"] for r in held]
+    groups: dict[tuple, dict] = {}
+    for r in terms.orderBy("query_id", "grp", "piece", "off").collect():
+        group = groups.setdefault((r["query_id"], r["grp"]), {"terms": set(), "pieces": {}, "known": True})
+        if not r["negated"]:
+            group["terms"].add(code.get(r["term"]))
+        piece = group["pieces"].setdefault(r["piece"], {"negated": r["negated"], "phrase": r["phrase"], "parts": []})
+        piece["parts"].append((r["off"], code.get(r["term"])))
+    queries: dict = {}
+    names, query, wanted, pieces, rare = [], [], [], [], [[] for _ in code]
+    parts, offs, excluded, adjacent = [], [], [], []
+    for (query_id, grp), group in groups.items():
+        if not group["terms"] or None in group["terms"]:
+            continue
+        needed = sorted(group["terms"])
+        rare[min(needed, key=lambda c: (df[c], held[c]["term"]))].append(len(names))
+        mine = []
+        for piece in group["pieces"].values():
+            # a piece with an unknown part is in no chunk; a lone word is one of the terms
+            plain = not piece["negated"] and (not piece["phrase"] or len(piece["parts"]) == 1)
+            if plain or any(c is None for _, c in piece["parts"]):
+                continue
+            mine.append(len(parts))
+            parts.append([c for _, c in piece["parts"]])
+            offs += [o for o, _ in piece["parts"]]
+            excluded.append(piece["negated"])
+            adjacent.append(piece["phrase"])
+        query.append(queries.setdefault(query_id, len(queries)))
+        names.append((len(names), query[-1], query_id, grp))
+        wanted.append(needed)
+        pieces.append(mine)
+    if not names:
+        return None
+    plan = Plan(len(code), np.array(query), Lists.of(wanted), Lists.of(rare), Lists.of(pieces), Lists.of(parts),
+                np.array(offs, np.int64), np.array(excluded, bool), np.array(adjacent, bool))
+    used = {c for needed in wanted for c in needed} | {c for p in parts for c in p}
+    codes = spark.createDataFrame([(held[c]["term"], c) for c in sorted(used)], "term string, code int")
+    kind = terms.schema["query_id"].dataType.simpleString()
+    return plan, codes.withColumn("bucket", bucket_of("term", params)), spark.createDataFrame(names, f"_g long, _q long, query_id {kind}, grp int")
 
 
-def _without_excluded(matches: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
-    """Drop matches that hold an excluded word or an excluded phrase of their group."""
-    keys = ["query_id", "grp"]
-    negative = terms.filter("negated")
-    size = negative.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = negative.join(size, keys + ["piece"])
-    # only chunks that matched can be excluded
-    at = matches.select(*keys, "id").join(wanted, keys).join(index, ["id", "term"])
-    by_start = at.select(
-        *keys, "id", "piece", "_n", "off",
-        F.explode(F.when(F.col("phrase"), F.transform("occ", lambda o: o["pos"] - F.col("off")))
-                  .otherwise(F.array(F.lit(0)))).alias("_start"),
-    )
-    hit = (
-        by_start.groupBy(*keys, "id", "piece", "_start")
-        .agg(F.count_distinct("off").alias("_got"), F.first("_n").alias("_n"))
-        .filter(F.col("_got") == F.col("_n"))
-    )
-    return matches.join(hit, keys + ["id"], "left_anti")
+def _wanted(index: DataFrame, codes: DataFrame) -> DataFrame:
+    """The postings of the wanted terms, read once; only their buckets are opened."""
+    # said as a condition, it makes the optimizer prune buckets by the terms
+    return index.join(F.broadcast(codes.filter("code >= 0")), ["bucket", "term"]).select("id", "code", "positions", "titled")
 
 
-def cover_rank(matches: DataFrame) -> DataFrame:
-    """``(query_id, id, score)``: cover density (Clarke, Cormack & Tudhope 2000).
+def _by_chunk(index: DataFrame, plan: Plan, codes: DataFrame, answer, kind: str) -> DataFrame:
+    """``answer(postings)`` for the wanted postings of whole chunks, some chunks at a time.
 
-    A cover is a shortest span of positions holding every term of the group. It
-    adds ``(m / sum(1/weight)) / (1 + noise)`` over its ``m`` occurrences, where
-    noise counts the positions in between. Alternatives add up.
+    Postings are dealt out by chunk once, however many queries want them.
     """
-    group = ["query_id", "grp", "id"]
-    sized = matches.withColumn("_a", F.expr("size(filter(occ.weight, w -> w = 'A'))"))
-    # a lone term is its own cover wherever it stands
-    alone = sized.filter("lone").select(
-        "query_id", "id",
-        (F.col("_a") * WEIGHTS["A"] + (F.size("occ") - F.col("_a")) * WEIGHTS["B"]).alias("_part"),
-    )
-    # position and place in the list as one number, ordered by position
-    per_term = Window.partitionBy(*group, "_t").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("_i")
-    position = lambda c: F.shiftright(c, 32)
-    place = lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
-    ends = (
-        sized.filter(~F.col("lone"))
-        .withColumn("_terms", F.expr("array_distinct(occ.term)"))
-        .select(*group, "_terms", "_a", F.posexplode("occ").alias("_i", "_o"))
-        .select(*group, "_a", F.size("_terms").alias("_n"), "_o.pos", "_o.term", "_i", F.explode("_terms").alias("_t"))
-        .select(*group, "_a", "_n", "pos", "_t", here.alias("_here"), F.when(F.col("term") == F.col("_t"), here).alias("_mine"))
-        .withColumn("_last", F.max("_mine").over(per_term))
-        .groupBy(*group, "_here", "_n", "_a")
-        .agg(F.min("_last").alias("p"), F.count("_last").alias("_seen"))
-        .filter(F.col("_seen") == F.col("_n"))
-    )
-    covers = ends.groupBy(*group, "p", "_a").agg(F.min("_here").alias("q"))
-    # title occurrences come first, so places in the list tell the weights
-    m = place("q") - place("p") + 1
-    in_title = F.greatest(F.lit(0), F.least(place("q") + 1, F.col("_a")) - place("p"))
-    inverse = in_title / WEIGHTS["A"] + (m - in_title) / WEIGHTS["B"]
-    noise = position("q") - position("p") - (m - 1)
-    together = covers.select("query_id", "id", ((m / inverse) / (1 + noise)).alias("_part"))
-    return (
-        alone.union(together)
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum("_part"), SCORE_PLACES).alias("score"))
-    )
+    spark = index.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(plan)
+    dealt = _wanted(index, codes).repartition("id").sortWithinPartitions("id", "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("id").to_numpy()
+            last = int(np.searchsorted(ids, ids[-1]))  # the last chunk may go on
+            if last or (held and held[0].column("id")[0].as_py() != ids[0]):
+                cut = last if last else 0
+                held.append(b.slice(0, cut))
+                yield from answered(held)
+                held = []
+            held.append(b.slice(last))
+        yield from answered(held)
+        yield from answer(None, sent.value)
+
+    def answered(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if rows is None or not len(rows):
+            return
+        lists = rows["positions"].chunk(0)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        found = Postings(sent.value, rows["id"].to_numpy(), rows["code"].to_numpy().astype(np.int64), starts - starts[0],
+                         lists.flatten().to_numpy().astype(np.int64), rows["titled"].to_numpy().astype(np.int64))
+        yield from answer(found, sent.value)
+
+    return dealt.mapInArrow(run, kind)
+
+
+def match_terms(terms: DataFrame, index: DataFrame, counts: DataFrame, params: Params = Params()) -> DataFrame:
+    """``(query_id, grp, id, occurrences, part)`` for every chunk that a group of terms matches.
+
+    ``part`` is the cover density of the group in the chunk. Candidates come from
+    the rarest term of each group; all else that a group asks is looked up in the
+    postings of the same chunk.
+    """
+
+    def answer(found: Postings | None, plan: Plan) -> Iterator[pa.RecordBatch]:
+        if found is None:
+            return
+        chunk, group = found.matches()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(group), pa.array(found.ids[chunk]), pa.array(found.occurrences(chunk, group)), pa.array(found.scores(chunk, group))],
+            names=["_g", "id", "occurrences", "part"])
+
+    def one(plan, codes, groups):
+        made = _by_chunk(index, plan, codes, answer, "_g long, id long, occurrences long, part double")
+        return made.join(F.broadcast(groups), "_g").select("query_id", "grp", "id", "occurrences", "part")
+
+    return _over_passes(terms, counts, params, one, "grp int, id long, occurrences long, part double")
+
+
+def _over_passes(terms: DataFrame, counts: DataFrame, params: Params, one, kind: str) -> DataFrame:
+    terms, n = settled(terms)
+    found = [one(*planned) for some in _passes(terms, n, params) if (planned := _plan(some, counts, params))]
+    if len(found) > 1:
+        found = [written(f, "pass") for f in found]
+    if not found:
+        return terms.sparkSession.createDataFrame([], f"query_id {terms.schema['query_id'].dataType.simpleString()}, {kind}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def cover_rank(matches: DataFrame) -> DataFrame:
+    """``(query_id, id, score)``: the cover densities of a query's alternatives add up."""
+    return matches.groupBy("query_id", "id").agg(F.round(F.sum("part"), SCORE_PLACES).alias("score"))
 
 
 def sparse_topk(ranks: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, score, rnk)``, best first, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return ranks.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
+
+
+class _Top:
+    """The k best (score, id) of each query so far; ties fall to the id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.least = k, np.full(n_queries, -np.inf)
+        self.q, self.s, self.i = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def offer(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        q, s, i = (np.concatenate(p) for p in ((self.q, q), (self.s, s), (self.i, i)))
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.q, self.s, self.i = q[place < self.k], s[place < self.k], i[place < self.k]
+        full = place == self.k - 1
+        self.least[q[full]] = s[full]
+
+
+def ranked_terms(terms: DataFrame, index: DataFrame, counts: DataFrame, k: int, params: Params = Params()) -> DataFrame:
+    """What ``sparse_topk(cover_rank(match_terms(...)), k)`` gives, without making all matches.
+
+    All alternatives of a query meet a chunk in one task, so a task knows whole
+    scores: it keeps k rows a query, and works out covers only where the ceiling
+    of a score can still reach them.
+    """
+
+    def one(plan, codes, groups):
+        names = groups.select("_q", "query_id").distinct()
+        made = _by_chunk(index, plan, codes, _best(k), "_q long, id long, score double")
+        return sparse_topk(made.join(F.broadcast(names), "_q").select("query_id", "id", "score"), k)
+
+    return _over_passes(terms, counts, params, one, "id long, score double, rnk int")
+
+
+def _best(k: int):
+    def answer(found: Postings | None, plan: Plan) -> Iterator[pa.RecordBatch]:
+        nonlocal top
+        top = top or _Top(int(plan.query.max()) + 1, k)
+        if found is None:
+            done, top = top, None
+            yield pa.RecordBatch.from_arrays([pa.array(done.q), pa.array(done.i), pa.array(done.s)], names=["_q", "id", "score"])
+            return
+        chunk, group = found.matches()
+        if not len(chunk):
+            return
+        pair, of = np.unique(plan.query[group] * len(found.ids) + chunk, return_inverse=True)
+        query, where = pair // len(found.ids), pair % len(found.ids)
+        ceiling = np.bincount(of, found.ceilings(chunk, group), len(pair))
+        # rounding moves a score by less than the slack
+        open_ = ceiling + 10.0 ** (1 - SCORE_PLACES) >= top.least[query]
+        some = open_[of]
+        score = np.bincount(of[some], found.scores(chunk[some], group[some]), len(pair))
+        score = np.round(score, SCORE_PLACES)
+        good = open_ & (score >= top.least[query])
+        top.offer(query[good], score[good], found.ids[where[good]])
+
+    top: _Top | None = None
+    return answer

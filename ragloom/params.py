@@ -33,9 +33,20 @@ class Params:
     # physical bounds (Spark side only)
     broadcast_bytes: int = 64 << 20
     query_block: int = 4096  # queries sent to the tasks at once
-    slab_rows: int = 50_000  # chunk vectors in one grid cell
+    slab_rows: int = 50_000  # chunk vectors in a sample for bounds, and in a part of a stored cell
     salts: int = 16
     id_block: int = 1_000_000  # chunk ids per stored partition
+    term_buckets: int = 64  # directories of the lexeme index
+    pass_terms: int = 200_000  # query terms looked up at once
+    # inverted file
+    cells: int | None = None  # None: the square root of the number of chunks
+    max_cells: int = 4096
+    cell_train_rows: int = 256  # rows a cell of the sample that centres are trained on
+    cell_rounds: int = 3
+    cell_seeds: int = 4  # cells are measured at once until they hold so many times k rows
+    probe_share: float = 0.4  # of all vectors, in the cells an approximate search reads
+    code_bits: int = 256  # a multiple of 64
+    code_slack: float = 0.75  # standard deviations
 
     def but(self, **changes) -> "Params":
         return replace(self, **changes)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.operators.cells import CellIndex, build_cells
 from ragloom.operators.chunking import embedding_input, in_order, number_rows, pack_chunks
 from ragloom.operators.embedding import Embedder, embed
-from ragloom.operators.lexical import postings, term_counts
+from ragloom.operators.lexical import postings, store_postings, term_counts
 from ragloom.params import Params
 from ragloom.session import written
 
@@ -21,13 +22,15 @@ class KnowledgeBase:
     ``chunks``: id, doc_title, category, source_url, content, embedding, block.
     The table is stored by ``block``, a range of ids, so a look-up of some ids
     opens their blocks only.
-    ``index``: id, term, occ. ``counts``: term, df. Without an index retrieval
-    runs dense only.
+    ``index``: id, term, positions, titled, bucket, stored by ``bucket`` of terms.
+    ``counts``: term, df. Without an index retrieval
+    runs dense only. ``cells``: the vectors once more, stored for approximate search.
     """
 
     chunks: DataFrame
     index: DataFrame | None = None
     counts: DataFrame | None = None
+    cells: CellIndex | None = None
 
 
 def chunk_articles(articles: DataFrame, order_by: list[str], params: Params = Params()) -> DataFrame:
@@ -48,6 +51,11 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, task_types: bool = False
     return embed(chunks, embedder, text, "document", task_types)
 
 
+def with_cells(kb: KnowledgeBase, params: Params = Params()) -> KnowledgeBase:
+    """The same knowledge base with its inverted file."""
+    return replace(kb, cells=build_cells(kb.chunks.select("id", "embedding"), params))
+
+
 def build_knowledge_base(
     articles: DataFrame,
     order_by: list[str],
@@ -63,7 +71,5 @@ def build_knowledge_base(
     chunks = written(blocked, "chunks", "block")
     if not lexical:
         return KnowledgeBase(chunks)
-    # files stay split by chunk, so no term is hot; sorted by term inside, which
-    # stores equal terms together
-    index = written(postings(chunks).sortWithinPartitions("term", "id"), "index")
+    index = store_postings(postings(chunks, params=params))
     return KnowledgeBase(chunks, index, written(term_counts(index), "counts"))

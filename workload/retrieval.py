@@ -13,7 +13,7 @@ from ragloom.operators.fusion import (
     keep_close, reciprocal_rank_fusion, round_robin, weak_match,
 )
 from ragloom.operators.lexical import (
-    cover_rank, flat_postings, match_terms, query_terms, sparse_topk, term_counts,
+    cover_rank, flat_postings, match_terms, query_terms, ranked_terms, sparse_topk, term_counts,
 )
 from ragloom.plans.ingest import KnowledgeBase, chunk_articles
 from ragloom.plans.retrieve import embed_queries, multi_requirement_retrieve, retrieve
@@ -223,7 +223,7 @@ def _matches(spark, sf_dir, queries=None):
 @query(sql("SELECT query_id, grp::BIGINT AS grp, id, count(*) AS occurrences FROM entries GROUP BY ALL"))
 def term_match(spark, sf_dir):
     return _matches(spark, sf_dir).select(
-        "query_id", *big("grp"), "id", F.size("occ").cast("bigint").alias("occurrences")
+        "query_id", *big("grp"), "id", "occurrences"
     )
 
 
@@ -257,7 +257,8 @@ def cover_density(spark, sf_dir):
 
 @query(sql("SELECT query_id, id, round(score, 6) AS score, rnk FROM sparse"))
 def sparse_ranking(spark, sf_dir):
-    top = sparse_topk(cover_rank(_matches(spark, sf_dir)), PARAMS.candidate_k)
+    kb = knowledge_base(spark, sf_dir)
+    top = ranked_terms(query_terms(web_queries(spark, sf_dir)), kb.index, kb.counts, PARAMS.candidate_k, PARAMS)
     return top.select("query_id", "id", *six("score"), *big("rnk"))
 
 

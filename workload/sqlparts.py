@@ -159,7 +159,7 @@ def sql(final: str, **own: str) -> str:
     order: list[str] = []
 
     def visit(text: str, me: str | None = None) -> None:
-        for name in re.findall(r"\b[a-z_]+\b", text):
+        for name in re.findall(r"\b[a-z_]+\b", re.sub(r"'[^']*'", "''", text)):
             if name in parts and name != me and name not in order:
                 visit(parts[name], name)
                 order.append(name)
