@@ -52,6 +52,7 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, *(60 // n for n in COUNTS[2:])])
 ESCAPE = np.uint64((1 << 60) - 1)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 17, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +61,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     escaped = values >= ESCAPE
     values, escapes = (np.where(escaped, ESCAPE, values), values[escaped]) if escaped.any() else (values, values[:0])
-    bits = np.searchsorted(_POWERS, values, side="right")
+    bits = _BITS[values] if n and values.max() < len(_BITS) else np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
     # the selector of the most values that fit, for a word that began at each place; behind the end all is zero
     chosen = np.full(n, 15, np.uint8)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     for selector in reversed(range(15)):
-        wide = np.flatnonzero(bits > WIDTHS[selector])
-        room = np.append(wide, n + 240)[np.searchsorted(wide, place)] - place if len(wide) else np.full(n, 240)
-        fits = room >= COUNTS[selector]
+        # from each place on to the next value that is too wide
+        wide = np.where(bits > WIDTHS[selector], place, np.int32(n + 240))
+        fits = np.minimum.accumulate(wide[::-1])[::-1] - place >= COUNTS[selector]
         if not fits.any():
             break  # fewer bits for more values fit nowhere either
         chosen[fits] = selector

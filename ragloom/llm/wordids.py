@@ -1,9 +1,10 @@
-"""Token ids of whole batches: words are found and numbered as Arrow arrays, each distinct word is encoded once.
+"""Token ids of whole batches: pieces of texts are cut and numbered in array operations, each distinct piece is encoded once.
 
-For vocabularies that drop white space, a text's ids are those of its words one
-after the other. Words of plain Latin letters, digits and ASCII marks are cut by
-the vocabulary's own rule and their pieces are remembered; any other word goes to
-the tokenizer as it is. Other vocabularies are given the text as a whole.
+A vocabulary's own rule cuts a text into pieces that are encoded one by one. For
+words of plain Latin letters, digits and ASCII marks that rule is followed here, for
+all texts of a batch at once; a word with anything else (or an apostrophe) goes
+to the tokenizer as it is, and a text whose white space or added tokens ask for
+more goes as a whole. Tokenizers with other rules get every text as a whole.
 """
 
 from __future__ import annotations
@@ -18,14 +19,34 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from ragloom.llm.packing import byte_letters
-from ragloom.llm.spans import SOLID, Words, batch_words
+from ragloom.llm.common import LOWER, PIECE_BYTES, byte_view, pieces
+from ragloom.llm.spans import binary_array, byte_set
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 #: The rule by which the word vocabulary cuts a lower-cased text, as its file states it (a fixed value).
-RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN = "À-ÖØ-öø-įı-ſ"  # letters whose lower case is one letter among them
-_PLAIN = re.compile(f"[!-~{_LATIN}]+")
-_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_LOWER = np.frombuffer(LOWER, np.uint8)
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+for kind, ranges in (
+    (MARK, [(0x21, 0x7E)]), (SPACE, [(0x09, 0x0D), (0x20, 0x20)]), (DIGIT, [(0x30, 0x39)]), (LETTER, [(0x41, 0x5A), (0x61, 0x7A)]),
+):
+    _CLASS[byte_set(*ranges)] = kind
+#: Bytes that can begin white space, or a control character that counts as such, beyond 0x09-0x0D and 0x20.
+_ODD = byte_set((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
+_SPACES = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", *(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+
+
+#: ASCII and the letters U+00C0 to U+00FF.
+_PLAIN = re.compile(rb"(?:[\x09-\x0d\x20-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
 
 
 class Remembered(dict):
@@ -35,9 +56,9 @@ class Remembered(dict):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: bytes) -> bytes:
         value = self.make(key)
-        self.held += 2 * len(key) + len(value) + 200
+        self.held += len(key) + len(value) + 170
         if self.held > self.limit:
             self.clear()
             self.held = 0
@@ -45,8 +66,22 @@ class Remembered(dict):
         return value
 
 
-def ids_of(tokens) -> bytes:
-    return array("I", [t.id for t in tokens]).tobytes()
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte; both bytes of the letters U+00C0 to U+00FF are letters."""
+    out = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    out[lead] = out[lead + 1] = LETTER
+    return out
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and U+00C0 to U+00DE in lower case."""
+    out = _LOWER[data]
+    second = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    out[second] += 32
+    return out
 
 
 class BatchEncoder:
@@ -60,48 +95,141 @@ class BatchEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         with open(path, encoding="utf-8") as f:
             known = json.load(f)
-        self.added = tuple(t["content"].encode() for t in known["added_tokens"])
+        self.added = [t["content"].encode() for t in known["added_tokens"]]
         steps = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
-        rule = [p.get("pattern", {}).get("Regex") for p in (known["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and rule[:1] == [RULE] and not any(b" " in a for a in self.added)
-        self.pieces = Remembered(self.piece, cache_bytes // 4)
-        self.words = Remembered(self.word, cache_bytes)
-
-    def piece(self, piece: str) -> bytes:
-        return ids_of(self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)))
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and not (b"<" in word and any(a in word for a in self.added)):
-            return b"".join(map(self.pieces.__getitem__, _CUT.findall(text.lower())))
-        return self.whole(text)
-
-    def whole(self, text: str) -> bytes:
+        cuts = known["pre_tokenizer"] or {}
+        rule = [p.get("pattern", {}).get("Regex") for p in cuts.get("pretokenizers", [])]
+        #: white space is dropped and A-Z lower-cased, or kept with the piece behind it
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and rule[:1] == [WORD_RULE]
+        self.by_byte = known["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]
+        self.known = Remembered(self.entry, cache_bytes)
+
+    # what one piece, word or text gives; a subclass may count instead
+    def of_piece(self, piece: bytes) -> bytes:
+        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in made]).tobytes()
+
+    def of_text(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
-        coded = words.array().dictionary_encode()
-        found = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+    def entry(self, piece: bytes) -> bytes:
+        if b"'" in piece or b"<|" in piece or not _PLAIN.fullmatch(piece):
+            return self.of_text(piece.decode("utf-8", "replace"))
+        return self.of_piece(piece)
+
+    def looked_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all keys one after the other, and how many each key gave."""
+        coded = keys.dictionary_encode()
+        found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
         flat = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
         n = sizes[which]
         ends = np.cumsum(n)
-        at = np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        per_text = np.bincount(words.text, n, words.hi - words.lo).astype(np.int64)
-        return flat[at], per_text
+        starts = (np.cumsum(sizes) - sizes)[which]
+        return flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For pieces of a batch of texts in bytes: first text, text behind the last, ids, ids of each text."""
+        data, offsets = byte_view(texts)
+        for lo, hi in pieces(offsets, PIECE_BYTES):
+            if not (self.by_word or self.by_byte):
+                for i in range(lo, hi):
+                    ids = np.frombuffer(self.of_text(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")), np.uint32)
+                    yield i, i + 1, ids, np.array([len(ids)])
+                continue
+            bounds = offsets[lo : hi + 1] - offsets[lo]
+            part = np.insert(data[offsets[lo] : offsets[hi]], bounds[1:], 0x20)  # one space behind each text
+            ends = bounds[1:] + np.arange(hi - lo)  # places of these spaces
+            keys, text, whole = self.cut(part, ends)
+            ids, n = self.looked_up(keys)
+            per_text = np.bincount(text, n, hi - lo).astype(np.int64)
+            if len(whole):
+                ids, per_text = self.put(ids, per_text, whole, part, ends)
+            yield lo, hi, ids, per_text
+
+    def put(self, ids: np.ndarray, per_text: np.ndarray, whole: np.ndarray, part: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the ids of the texts that are encoded as a whole."""
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        made = {i: np.frombuffer(self.of_text(part[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")), np.uint32) for i in whole.tolist()}
+        at = np.cumsum(per_text) - per_text
+        out, before = [], 0
+        for i in whole.tolist():
+            out += [ids[before : at[i]], made[i]]
+            before = at[i] + per_text[i]
+            per_text[i] = len(made[i])
+        return np.concatenate([*out, ids[before:]]), per_text
+
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Keys of the pieces of all texts in order, the text of each, and the texts to be encoded as a whole."""
+        kind = classes(data)
+        inside = kind != SPACE
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))  # the last byte is a space
+        starts, stops = edge[::2], edge[1::2]
+        # words that hold what is not plain go as they are
+        strange = (kind == OTHER) | (data == 0x27)
+        strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        held = np.concatenate([[0], np.cumsum(strange)])
+        slow = held[stops] > held[starts]
+        changes = np.zeros(len(data) + 1, bool)
+        changes[1:-1] = kind[1:] != kind[:-1]
+        if self.by_word:
+            changes[:-1] |= kind == DIGIT
+        in_slow = np.zeros(len(data) + 1, np.int8)
+        in_slow[starts[slow]] += 1
+        in_slow[stops[slow]] -= 1
+        in_slow = np.cumsum(in_slow[:-1]).astype(bool)
+        opens = changes[:-1] & inside & ~in_slow
+        opens[starts] = True
+        limits = opens.copy()
+        limits[stops] = True
         if self.by_word:
-            for words in batch_words(texts, SOLID, lower=False):
-                yield words.lo, words.hi, *self.of_words(words)
+            data = np.where(in_slow, data, lowered(data))
+            whole = np.zeros(0, np.int64)
         else:
-            for i, text in enumerate(texts):
-                ids = np.frombuffer(self.whole((text.as_py() or b"").decode("utf-8", "replace")), np.uint32)
-                yield i, i + 1, ids, np.array([len(ids)])
+            self._spaces(data, ends, starts, stops, opens, limits)
+            whole = self._odd(data, ends)
+        begin, limit = np.flatnonzero(opens), np.flatnonzero(limits)
+        end = np.append(limit, len(data))[np.searchsorted(limit, begin, side="right")]
+        text = np.searchsorted(ends, begin)
+        if len(whole):
+            keep = ~np.isin(text, whole)
+            begin, end, text = begin[keep], end[keep], text[keep]
+        size = end - begin
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+        return binary_array(data[at], offsets), text, whole
+
+    @staticmethod
+    def _spaces(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, opens: np.ndarray, limits: np.ndarray) -> None:
+        """Marks white space that is kept: the last space of a run joins the word behind it, the run up
+        to its last character is a piece, and so is a last character that is no space."""
+        first = np.concatenate([[0], ends[:-1] + 1])  # of each text
+        text = np.searchsorted(ends, starts)
+        opened = starts > first[text]  # white space stands before the word, in its text
+        last = starts[opened] - 1
+        joins = last[data[last] == 0x20]
+        opens[joins + 1] = limits[joins + 1] = False
+        opens[last] = limits[last] = True
+        # where each run of white space begins: behind a word or at the start of a text
+        runs = np.unique(np.concatenate([stops, first]))
+        runs = runs[runs < len(data)]
+        here = np.searchsorted(ends, runs)
+        runs = runs[(runs < ends[here]) & np.isin(data[runs], np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))]
+        opens[runs] = limits[runs] = True
+        limits[ends] = True
+
+    def _odd(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Texts with added tokens, or with white space beyond the plain one."""
+        found: list[int] = []
+        raw = data.tobytes()
+        signs = self.added + (_SPACES if _ODD[data].any() else [])
+        for sign in signs:
+            at = raw.find(sign)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(sign, int(ends[np.searchsorted(ends, at)]))
+        return np.unique(np.searchsorted(ends, np.array(found, np.int64)))
 
 
 @lru_cache(2)

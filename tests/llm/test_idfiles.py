@@ -1,6 +1,7 @@
 """The word-aligned code, its files, and the ids in them against the tokenizers library."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,15 @@ ODD = [
 ]
 
 
-def expected(path, text, end):
+@lru_cache
+def tokenizer(path):
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, end]
+    return Tokenizer.from_file(path)
+
+
+def expected(path, text, end):
+    return [*tokenizer(path).encode(text, add_special_tokens=False).ids, end]
 
 
 @settings(max_examples=60, deadline=None)
