@@ -12,14 +12,15 @@ from ragloom.sources.archive import archive_batch
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def drain(stream: DataFrame, label: str = "stream", idle_batches: bool = True) -> DataFrame:
+def drain(stream: DataFrame, label: str = "stream", idle_batches: bool = True, path: str | None = None) -> DataFrame:
     """Process what is available into a parquet table of the shared folder and read it.
 
     A stream with timeouts in real time would get batches without data for ever;
-    it is drained with ``idle_batches`` off.
+    it is drained with ``idle_batches`` off. A ``path`` that was drained to before
+    goes on from there.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     before = spark.conf.get(IDLE)
     spark.conf.set(IDLE, str(idle_batches).lower())
     try:

@@ -9,35 +9,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ragloom.session import ship
+from ragloom.streaming.clock import CLOCK, with_clock
+
+
+LATE = "struct<seq:bigint,type:string,text:string,sources_json:string,message:string,ts:timestamp>"
+
 
 def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600, lateness: str = "1 hour", keep: str = "last") -> DataFrame:
-    """``(turn_id, answer, sources_json, escalated, error)``, one row per turn.
+    """``(turn_id, answer, sources_json, escalated, error, late)``: a row per turn, and a row per late event.
 
     A turn may send ``error`` and then ``done``, and its events may arrive in any
     order: they are held, by ``seq``, until the watermark shows ``idle_seconds`` of
     event time without one more. Then the turn comes out as the batch fold has
-    it, and its state goes. ``lateness`` is how far behind an event may come.
+    it, and its state goes. The watermark stays ``lateness`` behind the newest event.
+
+    No event is dropped. One whose turn is not held, and that is so old that its
+    turn would have come out already, is late: it comes out by itself in ``late``,
+    which is null in the rows of turns (``split_late``).
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be first or last")
-    rows = (
-        events.withColumn("_at", F.col(ts).cast("timestamp"))
-        .withWatermark("_at", lateness)
-        .select("turn_id", "seq", "type", "text", F.to_json("sources").alias("sources_json"), "message", "_at")
-    )
+    ship(events.sparkSession)
+    rows = with_clock(events.withColumn("_at", F.col(ts).cast("timestamp")), F.col("_at"), lateness).select(
+        "turn_id", "seq", "type", "text", F.to_json("sources").alias("sources_json"), "message", "_at", CLOCK)
     held = ("seqs", "types", "texts", "sources", "messages")
+    names = ("seq", "type", "text", "sources_json", "message")
 
     def fold(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         values = [list(v) for v in state.get[:-1]] if state.exists else [[] for _ in held]
         newest = state.get[-1] if state.exists else 0
+        passed = max(0, state.getCurrentWatermarkMs())
         if not state.hasTimedOut:
-            for pdf in chunks:
-                pdf = pdf.astype(object).where(pdf.notna(), None)
-                for have, col in zip(values, ("seq", "type", "text", "sources_json", "message"), strict=True):
-                    have.extend(pdf[col].tolist())
-                newest = max([newest, *(int(t.timestamp() * 1000) for t in pdf["_at"] if t is not None)])
-            state.update((*values, newest))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+            late: list[dict] = []
+            arrived = [e for pdf in chunks for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
+            moment = {id(e): 0 if e["_at"] is None else int(e["_at"].timestamp() * 1000) for e in arrived}
+            # an open turn takes every event; a new one is opened by an event that is not late
+            is_open = state.exists or any(e["_at"] is None or moment[id(e)] + idle_seconds * 1000 > passed for e in arrived)
+            for e in arrived:
+                if is_open:
+                    for have, col in zip(values, names, strict=True):
+                        have.append(e[col])
+                    newest = max(newest, moment[id(e)])
+                else:
+                    late.append({"turn_id": k[0], "late": {**{c: e[c] for c in names}, "ts": e["_at"]}})
+            if is_open:
+                state.update((*values, newest))
+                state.setTimeoutTimestamp(max(newest + idle_seconds * 1000, passed + 1))
+            if late:
+                yield pd.DataFrame(late).assign(answer=None, sources_json=None, escalated=None, error=None)
             return
         state.remove()
         events_ = sorted(zip(*values, strict=True), key=lambda e: (e[0] is None, e[0] or 0))
@@ -49,13 +69,19 @@ def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600
         yield pd.DataFrame({
             "turn_id": [k[0]], "answer": ["".join(e[2] for e in events_ if e[1] == "delta" and e[2] is not None)],
             "sources_json": [chosen("sources", 3)], "escalated": [any(e[1] == "escalation" for e in events_)], "error": [chosen("error", 4)],
+            "late": [None],
         })
 
     types = dict(events.dtypes)
     return rows.groupBy("turn_id").applyInPandasWithState(
         fold,
-        f"turn_id {types['turn_id']}, answer string, sources_json string, escalated boolean, error string",
+        f"turn_id {types['turn_id']}, answer string, sources_json string, escalated boolean, error string, late {LATE}",
         "seqs array<bigint>, types array<string>, texts array<string>, sources array<string>, messages array<string>, newest bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def split_late(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, late events) of ``fold_turns_stream``, once written."""
+    return folded.filter("late IS NULL").drop("late"), folded.filter("late IS NOT NULL").select("turn_id", "late.*")

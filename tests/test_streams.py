@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators.ratelimit import client_key, rate_limit
-from ragloom.operators.turns import EVENT, fit_log_query, fold_turns, parse_frames, turn_log
+from ragloom.operators.turns import EVENT, fit_log_query, fold_turns, parse_frames, parse_pieces, turn_log
 from ragloom.session import scratch_path
 from ragloom.sources.archive import archive_batch, archive_turns
 from ragloom.sources.tables import checked_name, full_reload, promote
+from ragloom.streaming.frames import parse_pieces_stream
 from ragloom.streaming.ratelimit import rate_limit_stream
 from ragloom.streaming.sinks import drain
-from ragloom.streaming.turns import fold_turns_stream
+from ragloom.streaming.turns import fold_turns_stream, split_late
 
 START = dt.datetime(2024, 1, 1)
 
@@ -70,6 +71,31 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
     assert got == limited_by_loop(rows, 60, 5)
 
 
+def test_stream_with_a_pause_and_a_backlog_equals_batch(spark, tmp_path):
+    # "early" trips its limit, is silent while others go on for long, and comes back inside its window
+    rows = [(i, "early", t) for i, t in enumerate((0, 1, 2, 3))] + [(10 + i, "busy", 4 + i) for i in range(40)]
+    rows += [(100, "early", 45), (101, "early", 58), (102, "early", 61), (103, "early", 200), (104, "busy", 5000), (105, "early", 5001)]
+    parts, path = [rows[:4], rows[4:30], rows[30:45], rows[45:47], rows[47:]], str(tmp_path / "in")
+    stream = lambda: rate_limit_stream(
+        spark.readStream.schema(frame(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(path), 60, 3, lateness_seconds=0)
+    for stop in (1, 2, 5):  # each run goes on where the last one ended; the last one finds three files
+        for part in parts[{1: 0, 2: 1, 5: 2}[stop]:stop]:
+            frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+        got = drain(stream(), path=str(tmp_path / "run"))
+    assert {r["id"]: r["limited"] for r in got.collect()} == limited_by_loop(rows, 60, 3)
+    assert got.count() == len(rows)
+
+
+def test_a_request_behind_the_watermark_is_decided_at_it(spark, tmp_path):
+    batches = [[(1, "a", 0), (2, "b", 1000)], [(3, "a", 5), (4, "a", 6), (5, "c", 1001)], [(6, "a", 950), (7, "a", 1002)]]
+    for b in batches:
+        frame(spark, b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frame(spark, batches[0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["id"]: (r["limited"], r["late"]) for r in drain(rate_limit_stream(source, 60, 2, lateness_seconds=100)).collect()}
+    # the window of 3 and 4 opens at 900, where the clock stands, and holds 6; 7 is beyond its end
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True), 5: (False, False), 6: (True, False), 7: (False, False)}
+
+
 def test_limit_keeps_requests_without_key_or_time(spark, tmp_path):
     rows = [(1, None, START), (2, "unknown", START), (3, "a", None), (4, None, START), (5, "a", START)]
     df = spark.createDataFrame(rows, "id bigint, key string, ts timestamp_ntz")
@@ -130,6 +156,24 @@ def test_stream_fold_gives_one_row_a_turn(spark, tmp_path):
     assert got == [(1, "ab", None), (2, "lost", None), (5, "x", "boom")]
 
 
+def test_late_events_reappear(spark, tmp_path):
+    schema = "turn_id int, seq int, type string, text string, sources array<struct<n:bigint,title:string,category:string,url:string>>, message string, ts timestamp"
+    at = lambda s: START + dt.timedelta(seconds=s)
+    batches = [
+        [(1, 0, "delta", "a", None, None, at(0)), (2, 0, "delta", "x", None, None, at(7300))],
+        [(9, 0, "delta", "z", None, None, at(10))],  # two hours behind; its turn would be out
+        [(1, 1, "delta", "too late", None, None, at(1)), (2, 1, "delta", "y", None, None, at(1)), (4, 0, "done", None, None, None, None)],
+        [(3, 0, "done", None, None, None, at(99_000))],
+        [(5, 0, "done", None, None, None, at(199_000))],
+    ]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    turns, late = split_late(drain(fold_turns_stream(source, idle_seconds=60)))
+    assert sorted((r["turn_id"], r["answer"]) for r in turns.collect()) == [(1, "a"), (2, "xy"), (3, ""), (4, "")]
+    assert sorted((r["turn_id"], r["seq"], r["text"], r["ts"]) for r in late.collect()) == [(1, 1, "too late", at(1)), (9, 0, "z", at(10))]
+
+
 def test_frames(spark):
     raw = (
         'data: {"type":"delta","text":"a\\n"}\n\n: ping\n\ndata: {bad\n\nid: 7\ndata:{"type":"delta","text":"b"}\ndata: {"type":"x"}\n\n'
@@ -141,6 +185,35 @@ def test_frames(spark):
     assert "sources" in EVENT
 
 
+def cut_anywhere(seed):
+    rnd, streams, pieces = random.Random(seed), {}, []
+    for turn in range(6):
+        frames = [rnd.choice(['data: {"type":"delta","text":"é漢\\n%d"}' % i, ": ping", "data: {bad", 'id: 7\ndata:{"type":"done"}', ""]) for i in range(20)]
+        streams[turn] = "\n\n".join(frames) + rnd.choice(["", "\n", "\n\n"])
+        raw = streams[turn].encode()
+        cuts = sorted({0, len(raw), *(rnd.randrange(len(raw)) for _ in range(30))})
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        parts[3:3] = [None, b""]
+        pieces += [(turn, n, part, START + dt.timedelta(seconds=n)) for n, part in enumerate(parts)]
+    rnd.shuffle(pieces)
+    return streams, pieces
+
+
+def test_frames_cut_anywhere(spark, tmp_path):
+    streams, pieces = cut_anywhere(4)
+    whole = parse_frames(spark.createDataFrame(list(streams.items()), "turn_id int, raw string"))
+    want = sorted(map(tuple, whole.select("turn_id", "seq", "type", "text").collect()), key=str)
+    df = spark.createDataFrame(pieces, "turn_id int, n int, piece binary, ts timestamp")
+    assert sorted(map(tuple, parse_pieces(df).select("turn_id", "seq", "type", "text").collect()), key=str) == want
+    for i in range(3):
+        spark.createDataFrame(pieces[i::3], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for r in sorted(drain(parse_pieces_stream(source)).collect(), key=lambda r: (r["turn_id"], r["seq"])):
+        got.setdefault(r["turn_id"], []).append((r["type"], r["text"]))
+    assert sorted(((t, i, *e) for t, es in got.items() for i, e in enumerate(es)), key=str) == want
+
+
 def test_turn_log(spark):
     df = spark.createDataFrame(
         [("chat", "q", [("A", 0.25), ("B", 0.1)], 12, None, False), ("chat", "q", [], None, "boom", True)],

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ragloom.operators.answers import SOURCE
 from ragloom.operators.ratelimit import client_key, rate_limit
-from ragloom.operators.turns import fold_turns, parse_frames, turn_log
+from ragloom.operators.turns import fold_turns, parse_frames, parse_pieces, turn_log
 from ragloom.plans.retrieve import retrieve
 from ragloom.session import scratch_path
 from ragloom.sources.archive import archive_turns
 from ragloom.sources.tables import full_reload, promote
 from ragloom.streaming.ratelimit import rate_limit_stream
 from ragloom.streaming.sinks import archive_stream, drain
-from ragloom.streaming.turns import fold_turns_stream
+from ragloom.streaming.turns import fold_turns_stream, split_late
 from workload.registry import query
 from workload.sqlparts import sql
 from workload.tables import EMBEDDER, PARAMS, knowledge_base, messages, table, web_queries
@@ -85,6 +85,20 @@ def rate_limited_stream(spark, sf_dir):
     return drain(limited, "limits", idle_batches=False).select("event_id", "user_id", "limited")
 
 
+@query(_LIMIT)
+def rate_limited_backlog(spark, sf_dir):
+    """The stream stops after its first file, finds a backlog of four when it goes on, and forgets keys in between."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    path, out = (scratch_path(spark, label) for label in ("arriving", "limits"))
+    for files in (range(1), range(1, 5)):
+        for i in files:
+            events.filter(F.floor((F.day("ts") - 1) / 7) == i).coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        limited = rate_limit_stream(source, DAY, MAX, "user_id", "ts", "event_id", lateness_seconds=0)
+        found = drain(limited, path=out)
+    return found.select("event_id", "user_id", "limited")
+
+
 # Files of events from anywhere in the month, some without a key, some without a time.
 _UNORDERED = f"""WITH RECURSIVE arrived AS (
     SELECT event_id, coalesce(CASE WHEN user_id % 5 > 0 THEN user_id END::VARCHAR, 'unknown') AS user_id, event_id % 4 AS file, ts AS sent,
@@ -105,7 +119,8 @@ def rate_limited_unordered(spark, sf_dir):
     """A stream of files out of order: every request comes out, late ones at the time their key's clock shows."""
     events = table(spark, sf_dir, "events").select(
         "event_id", F.when(L("user_id") % 5 > 0, L("user_id")).alias("user_id"), F.when(L("event_id") % 7 > 0, L("ts")).alias("ts"))
-    limited = rate_limit_stream(_arriving(events, L("event_id") % 4, 4), DAY, MAX, "user_id", "ts", "event_id")
+    source = _arriving(events, L("event_id") % 4, 4)
+    limited = rate_limit_stream(source, DAY, MAX, "user_id", "ts", "event_id", lateness_seconds=60 * DAY)
     return drain(limited, "limits", idle_batches=False).select("event_id", "limited", "late")
 
 
@@ -186,6 +201,32 @@ def turn_fold_stream(spark, sf_dir):
     return _shown(folded.withColumn("sources", F.from_json("sources_json", f"array<{SOURCE}>")))
 
 
+_EVENTS = """
+  SELECT conv_id * 100 + turn AS turn_id, i - 1 AS seq, 'delta' AS type, w AS text FROM (
+    SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) + 2 AS i FROM (
+      SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x, i:
+        CASE WHEN i < len(string_split(text, ' ')) THEN x || ' ' ELSE x END) AS l FROM conversations WHERE role = 'assistant'))
+  UNION ALL SELECT conv_id * 100 + turn, k, 'sources', NULL FROM conversations, range(2) r(k) WHERE role = 'assistant'
+  UNION ALL SELECT conv_id * 100 + turn, len(string_split(text, ' ')) + 2, 'escalation', NULL FROM conversations
+    WHERE role = 'assistant' AND text LIKE '%ent%'
+  UNION ALL SELECT conv_id * 100 + turn, len(string_split(text, ' ')) + 2 + (text LIKE '%ent%')::INT,
+    CASE WHEN text LIKE '%sch%' THEN 'error' ELSE 'done' END, NULL FROM conversations WHERE role = 'assistant'"""
+
+
+@query(f"SELECT * FROM ({_EVENTS}) WHERE turn_id // 100 % 3 = 0")
+def late_events(spark, sf_dir):
+    """The turns of a third of the conversations arrive when their time is long over."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    events = turn_events(spark, sf_dir).withColumn("ts", start)
+    late = F.floor(L("turn_id") / 100) % 3 == 0
+    later = events.limit(1).withColumns({"turn_id": F.lit(-1).cast("bigint"), "ts": start + F.expr("INTERVAL 1 DAY")})
+    path = scratch_path(spark, "arriving")
+    for part in (events.filter(~late), later, events.filter(late).withColumn("ts", start + F.expr("INTERVAL 2 HOURS"))):
+        part.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return split_late(drain(fold_turns_stream(source), "turns"))[1].select("turn_id", "seq", "type", "text")
+
+
 def captured(spark, sf_dir):
     """Each turn's events as one captured stream, with noise and an unfinished last frame."""
     event = F.struct("type", "text", "sources", "message")
@@ -196,21 +237,22 @@ def captured(spark, sf_dir):
     return joined.select("turn_id", F.concat(text, F.lit('data: {"type": "done"}')).alias("raw"))
 
 
-@query("""
-  SELECT conv_id * 100 + turn AS turn_id, i - 1 AS seq, 'delta' AS type, w AS text FROM (
-    SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) + 2 AS i FROM (
-      SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x, i:
-        CASE WHEN i < len(string_split(text, ' ')) THEN x || ' ' ELSE x END) AS l FROM conversations WHERE role = 'assistant'))
-  UNION ALL SELECT conv_id * 100 + turn, k, 'sources', NULL FROM conversations, range(2) r(k) WHERE role = 'assistant'
-  UNION ALL SELECT conv_id * 100 + turn, len(string_split(text, ' ')) + 2, 'escalation', NULL FROM conversations
-    WHERE role = 'assistant' AND text LIKE '%ent%'
-  UNION ALL SELECT conv_id * 100 + turn, len(string_split(text, ' ')) + 2 + (text LIKE '%ent%')::INT,
-    CASE WHEN text LIKE '%sch%' THEN 'error' ELSE 'done' END, NULL FROM conversations WHERE role = 'assistant'""")
+@query(_EVENTS)
 def frame_parse(spark, sf_dir):
     parsed = parse_frames(captured(spark, sf_dir))
     return parsed.select("turn_id", L("seq").cast("bigint").alias("seq"), "type", "text")
 
 
+@query(_EVENTS)
+def frame_pieces(spark, sf_dir):
+    """The captured streams cut after every 37 bytes, wherever that is."""
+    raw = captured(spark, sf_dir).select("turn_id", L("raw").cast("binary").alias("raw"))
+    cuts = F.sequence(F.lit(0), F.floor(F.octet_length("raw") / 37).cast("int"))
+    pieces = raw.select("turn_id", "raw", F.posexplode(cuts).alias("n", "_k")).select(
+        "turn_id", "n", F.substring("raw", L("_k") * 37 + 1, F.lit(37)).alias("piece"))
+    return parse_pieces(pieces).select("turn_id", L("seq").cast("bigint").alias("seq"), "type", "text")
+
+
 _LOG = r"""
   SELECT query_id, round(nearest, 6) AS nearest, '{"kind":"turn","endpoint":"chat","query":' || to_json(text) ||
          CASE WHEN sources IS NULL THEN ',"sources":[]' ELSE ',"sources":[' || sources || ']' END || ',"hybrid":true,"escalated":false,"nearestDistance":#' AS line
