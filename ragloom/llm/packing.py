@@ -9,18 +9,15 @@ are dissolved to fill the gaps of the others, so one sequence of a group at most
 is not full; it is carried to the next group of the task, and the last one is cut
 into lengths that are powers of two.
 
-Null and empty texts are the end id alone. Each row is a document of its own,
+Ids are those of the tokenizers library without special tokens added; the string of an added
+token in a text is that token, as the library reads it. Null and empty texts are the end id alone. Each row is a document of its own,
 repeated rows and null ids included.
 """
 
 from __future__ import annotations
 
-import os
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.common import table, utf8
 from ragloom.llm.registry import query
+from ragloom.llm.wordids import batch_encoder, with_end
 
 
 @dataclass(frozen=True)
@@ -37,85 +35,7 @@ class PackingParams:
     length: int = 1024  # places in a sequence, a power of two
     group_tokens: int = 4 << 20  # documents packed together
     end_id: int = 0
-    cache_words: int = 250_000  # words whose ids a worker remembers
-
-
-def byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones for
-    themselves, the others in order from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class Known(dict):
-    """Ids of words as bytes, found when first asked for."""
-
-    letters = byte_letters()
-
-    def __init__(self, tokenizer, limit: int):
-        super().__init__()
-        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-        if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
-            ids = self[word[:-1]] + self[word[-1]]
-        elif (word[1:] if word[0] == " " else word).isalpha():  # one piece
-            made = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in made]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
-
-
-RUNS = ("  ", " \n", "\n ", "\n\n", "\0")
-ODD = re.compile(r"[^\S \n]")
-
-
-def plain_words(text: str) -> list[str] | None:
-    """A text cut where the byte-level pre-tokenizer always cuts, or None if white space is not so plain.
-
-    A single space between two characters that are no white space always starts
-    a new piece, and a single line feed there is a piece of its own. A space before
-    the first word belongs to it.
-    """
-    if text[0] == " " and len(text) > 1:
-        words = plain_words(text[1:])
-        return words and [" " + words[0], *words[1:]]
-    if text[0].isspace() or text[-1].isspace() or any(r in text for r in RUNS):
-        return None
-    if not text.replace("\n", "").isprintable() and ODD.search(text):
-        return None
-    return text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
-
-
-class Encoder:
-    """Ids of texts by a tokenizer file, remembering the ids of words; a text that cannot be
-    cut into plain words is encoded as a whole."""
-
-    def __init__(self, path: str, cache_words: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = Known(self.tokenizer, cache_words)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        words = plain_words(text) if text else []
-        return self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
-
-
-@lru_cache(2)
-def encoder(path: str, cache_words: int) -> Encoder:
-    """The encoder of a worker process, which keeps what it knows from task to task."""
-    return Encoder(path, cache_words)
+    cache_bytes: int = 96 << 20  # pieces of texts whose ids a worker remembers
 
 
 class Rooms:
@@ -214,8 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackingParams = PackingParams(
     dealt = rows.repartition(F.xxhash64("row")).sortWithinPartitions("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, params.cache_words)
-        end = np.array([params.end_id], "<u4").tobytes()
+        encode = batch_encoder(tokenizer, params.cache_bytes)
         base, made = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[object, int, int, bytes]] = []  # id, ids before, ids of the document, ids
         tokens = 0
@@ -240,16 +159,18 @@ def pack(docs: DataFrame, tokenizer: str, params: PackingParams = PackingParams(
         id_arrow = pa.int64()
         for batch in batches:
             id_arrow = batch.schema.field("id").type
-            texts = batch.column("text").to_pylist()
-            for name, text in zip(batch.column("id").to_pylist(), texts, strict=True):
-                ids = encode(text.decode("utf-8", "replace")) + end
-                held.append((name, 0, len(ids) // 4, ids))
-                tokens += len(ids) // 4
-                if tokens >= params.group_tokens:
-                    full, tail = packed([len(h[3]) // 4 for h in held], params.length)
-                    yield from out(full)
-                    held = [(held[d][0], held[d][1] + s, held[d][2], held[d][3][4 * s : 4 * (s + n)]) for d, s, n in tail]
-                    tokens = sum(p[2] for p in tail)
+            names = batch.column("id").to_pylist()
+            for lo, hi, found, per_text in encode(batch.column("text")):
+                found, per_text = with_end(found, per_text, params.end_id)
+                raw, ends = found.astype("<u4").tobytes(), np.cumsum(per_text)
+                for name, a, b in zip(names[lo:hi], (ends - per_text).tolist(), ends.tolist(), strict=True):
+                    held.append((name, 0, b - a, raw[4 * a : 4 * b]))
+                    tokens += b - a
+                    if tokens >= params.group_tokens:
+                        full, tail = packed([len(h[3]) // 4 for h in held], params.length)
+                        yield from out(full)
+                        held = [(held[d][0], held[d][1] + s, held[d][2], held[d][3][4 * s : 4 * (s + n)]) for d, s, n in tail]
+                        tokens = sum(p[2] for p in tail)
         full, tail = packed([len(h[3]) // 4 for h in held], params.length)
         yield from out(full + powers(tail, sum(p[2] for p in tail)))
 

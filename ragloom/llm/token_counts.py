@@ -6,7 +6,7 @@ descends by lengths to the pre-tokens it touches, takes those before whose rule
 could look at the edit, re-encodes from there until a new boundary falls on an
 old one behind the edit, and updates the sums above the leaf.
 
-Null texts count as empty and have no pre-tokens. Edits are applied in order of
+Strings of added tokens are ordinary text here. Null texts count as empty and have no pre-tokens. Edits are applied in order of
 ``seq`` (then start, length, replacement), each to the text the last one left;
 ranges are clipped to the text, a null length counts as 0, a null replacement as
 empty, and an edit with a null start is skipped. Each row with an id gets all
@@ -15,6 +15,7 @@ edits of the id; rows with a null id get none.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,15 +28,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.llm.common import table, utf8
-from ragloom.llm.packing import Known, byte_bpe, plain_words
+from ragloom.llm.packing import byte_bpe
 from ragloom.llm.registry import query
+from ragloom.llm.wordids import BatchEncoder, byte_letters
 
 
 @dataclass(frozen=True)
 class CountParams:
     leaf: int = 64  # pre-tokens in a leaf when built; it is split beyond four times as many
     look: int = 2  # code points behind its end that may decide where a pre-token ends
-    cache_words: int = 1_000_000
+    cache_words: int = 100_000  # words around edits that a worker remembers
+    cache_bytes: int = 64 << 20  # pieces of whole texts that a worker remembers
+
+
+RUNS = ("  ", " \n", "\n ", "\n\n", "\0")
+ODD = re.compile(r"[^\S \n]")
+
+
+def plain_words(text: str) -> list[str] | None:
+    """A text cut where the byte-level pre-tokenizer always cuts, or None if white space is not so plain.
+
+    A single space between two characters that are no white space always starts
+    a new piece, and a single line feed there is a piece of its own. A space before
+    the first word belongs to it.
+    """
+    if text[0] == " " and len(text) > 1:
+        words = plain_words(text[1:])
+        return words and [" " + words[0], *words[1:]]
+    if text[0].isspace() or text[-1].isspace() or any(r in text for r in RUNS):
+        return None
+    if not text.replace("\n", "").isprintable() and ODD.search(text):
+        return None
+    return text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
 
 
 class Pieces(dict):
@@ -47,6 +71,7 @@ class Pieces(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.split, self.model, self.limit = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, limit
+        self.letters = byte_letters()
         self.counts: dict[str, int] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -55,7 +80,7 @@ class Pieces(dict):
         if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
             made = self[word[:-1]] + self[word[-1]]
         elif (word[1:] if word[0] == " " else word).isalpha():  # one piece
-            made = array("I", (len(word), self.ids(word.encode().decode("latin-1").translate(Known.letters)))).tobytes()
+            made = array("I", (len(word), self.ids(word.encode().decode("latin-1").translate(self.letters)))).tobytes()
         else:
             made = self.whole(word)
         self[word] = made
@@ -77,6 +102,29 @@ class Pieces(dict):
         return pairs.tobytes()
 
 
+class BatchCounter(BatchEncoder):
+    """(length, number of ids) of the pre-tokens of the texts of a batch; strings of added tokens are ordinary text."""
+
+    def __init__(self, path: str, cache_bytes: int):
+        super().__init__(path, cache_bytes)
+        self.added, self.split = [], self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def of_piece(self, piece: bytes) -> bytes:
+        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
+        return array("I", (len(piece.decode()), len(made))).tobytes()
+
+    def of_text(self, text: str) -> bytes:
+        pairs = array("I")
+        for piece, (start, end) in self.split(text):
+            pairs.extend((end - start, len(self.model.tokenize(piece))))
+        return pairs.tobytes()
+
+
+@lru_cache(2)
+def batch_counter(path: str, cache_bytes: int) -> BatchCounter:
+    return BatchCounter(path, cache_bytes)
+
+
 class Counter:
     """Pre-tokens of a text and the number of ids of each."""
 
@@ -241,14 +289,15 @@ def build(docs: DataFrame, tokenizer: str, params: CountParams = CountParams(),
     rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"kept_{c}") for c in keep], utf8(docs[text_col]).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(tokenizer, params.cache_words)
+        counter = batch_counter(tokenizer, params.cache_bytes)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for raw in batch.column("text").to_pylist():
-                text = raw.decode("utf-8", "replace")
-                lengths, counts = counter(text)
-                for col, value in zip(out, (text, lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), len(lengths), int(counts.sum())), strict=True):
-                    col.append(value)
+            texts = [raw.decode("utf-8", "replace") for raw in batch.column("text").to_pylist()]
+            for lo, hi, pairs, per_text in counter(pa.array([t.encode() for t in texts], pa.binary())):
+                lengths, counts, ends = pairs[::2].astype("<u4"), pairs[1::2].astype("<u4"), np.cumsum(per_text) // 2
+                for text, a, b in zip(texts[lo:hi], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    for col, value in zip(out, (text, lengths[a:b].tobytes(), counts[a:b].tobytes(), b - a, int(counts[a:b].sum())), strict=True):
+                        col.append(value)
             types = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(c, t) for c, t in zip(out, types, strict=True))],

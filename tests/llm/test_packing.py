@@ -1,32 +1,41 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ragloom.llm import packing
-from ragloom.llm.packing import Encoder, PackingParams, Rooms, packed, powers
+from ragloom.llm.packing import PackingParams, Rooms, packed, powers
+from ragloom.llm.wordids import BatchEncoder
 
 ODD = ["", " ", "a", "a b", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "it's we'll 'tis", "x\x00y z", "é ü ß\nÑ 12a!", "a\xa0b c", "a\tb", "<|endoftext|> x",
        "日本語 と\n漢字", "a\x85b", " x y", "a\x1cb c", "foo.\nBar 3,14 -- ok", "\r\n x", "١٢ x²", "a\n", "\na"]
 
 
+def ids(encoder, texts):
+    out = []
+    for _, _, found, per_text in encoder(pa.array([t.encode() for t in texts], pa.binary())):
+        out += [x.tolist() for x in np.split(found, np.cumsum(per_text)[:-1])]
+    return out
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.byte_bpe())
-    plain.encode_special_tokens = True
-    encode = Encoder(packing.byte_bpe(), 3)
-    for text in ODD + [" ".join(ODD), "\n".join(ODD)]:
-        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    plain, texts = Tokenizer.from_file(packing.byte_bpe()), ODD + [" ".join(ODD), "\n".join(ODD)]
+    assert ids(BatchEncoder(packing.byte_bpe(), 1000), texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab é\n\t'.1 ", max_size=30))
-def test_encoder_on_random_texts(text):
-    encode = test_encoder_on_random_texts.__dict__.setdefault("encode", Encoder(packing.byte_bpe(), 1000))
-    assert encode(text) == encode.whole(text)
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="ab éÉ×\n\t'.1 \u00a0<|", max_size=30), max_size=8))
+def test_encoder_on_random_texts(texts):
+    from tokenizers import Tokenizer
+
+    known = test_encoder_on_random_texts.__dict__
+    encode, plain = known.setdefault("encode", BatchEncoder(packing.byte_bpe(), 1 << 16)), known.setdefault("plain", Tokenizer.from_file(packing.byte_bpe()))
+    assert ids(encode, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_rooms_finds_the_first_bin():
@@ -58,7 +67,6 @@ def test_pack_round_trip(spark, group):
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
     out = packing.pack(docs, packing.byte_bpe(), PackingParams(group_tokens=group)).toPandas()
     plain = Tokenizer.from_file(packing.byte_bpe())
-    plain.encode_special_tokens = True
     seqs = {}
     for r in out.itertuples():
         assert len(r.ids) == 4 * r.length
@@ -73,9 +81,9 @@ def test_pack_round_trip(spark, group):
         if i in (None, 5):
             continue
         mine = out[out.doc_id == i].sort_values("start")
-        ids = np.frombuffer(b"".join(mine.ids), "<u4").tolist()
-        assert ids == plain.encode(text or "", add_special_tokens=False).ids + [0]
-        assert set(mine.doc_tokens) == {len(ids)}
+        found = np.frombuffer(b"".join(mine.ids), "<u4").tolist()
+        assert found == plain.encode(text or "", add_special_tokens=False).ids + [0]
+        assert set(mine.doc_tokens) == {len(found)}
     assert len(out[out.doc_id == 5]) >= 2
 
 
