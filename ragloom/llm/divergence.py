@@ -49,7 +49,7 @@ class DivergenceParams:
     top: int = 10  # terms reported of a group
     first_bytes: int = 4  # of the prefixes of the first level; each level doubles them
     filter_bits: int = 1 << 27  # 16 MB
-    block_cells: int = 1 << 20  # shares (terms x sources) compared at once
+    block_cells: int = 1 << 16  # shares (terms x sources) compared at once; more where there are many sources
     stripe: int = 256  # sources compared with all others at once
 
 
@@ -194,12 +194,13 @@ def apart(p: str, q: str) -> Column:
 def between_sources(counts: DataFrame, groups: DataFrame, params: DivergenceParams) -> DataFrame:
     """lang, source, item, value for every two sources of a language.
 
-    Terms are dealt to blocks that hold ``block_cells`` shares; a block is a
+    Terms are dealt to blocks of about ``block_cells`` shares; a block is a
     task's matrix of shares, and its sums are one row per two sources.
     """
     size = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.max("v").alias("terms"))
     size = size.select(
-        "lang", F.ceil(F.col("terms") * F.col("sources") / params.block_cells).cast("int").alias("blocks"),
+        # a block gives a row per two sources, so it holds some times as many shares
+        "lang", F.ceil(F.col("terms") * F.col("sources") / F.greatest(F.lit(params.block_cells), F.least(4 * F.col("sources") ** 2, F.lit(1 << 22)))).cast("int").alias("blocks"),
         F.ceil(F.col("sources") / params.stripe).cast("int").alias("stripes"),
     )
     base = groups.join(size, "lang").withColumn("p", F.when(F.col("v") > 0, share("0", "total", "v", params.unit)).otherwise(F.lit(1)))
