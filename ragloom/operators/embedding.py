@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ragloom.functions.text import words
 from ragloom.functions.vectors import is_width
+from ragloom.session import written
 
 ROLES = ("document", "query")
 
@@ -113,3 +115,53 @@ def width_report(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     return df.agg(
         F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected")
     )
+
+
+# --- vectors by content -------------------------------------------------------
+
+@dataclass(frozen=True)
+class VectorStore:
+    """A stored table of vectors, keyed by a digest of model, role and input.
+
+    ``path`` lies in a folder that all executors reach; ``model`` names the embedder
+    and its version, so vectors of another one are never taken.
+    """
+
+    path: str
+    model: str
+
+    def digest(self, text: Column, role: str | None) -> Column:
+        return F.sha2(F.concat_ws("\x1f", F.lit(self.model), F.lit(role or ""), text), 256)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """``(digest, vector)``, once each."""
+        schema = "digest string, vector array<float>"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], schema)
+        # two loads at a time may both have embedded an input
+        return spark.read.schema(schema).parquet(self.path).groupBy("digest").agg(F.first("vector").alias("vector"))
+
+    def add(self, vectors: DataFrame) -> None:
+        vectors.select("digest", "vector").write.mode("append").parquet(self.path)
+
+
+def embed_stored(
+    df: DataFrame, embedder: Embedder, text: Column, store: VectorStore, role: str | None = None, task_types: bool = False, out: str = "embedding",
+) -> tuple[DataFrame, int]:
+    """Like ``embed``, and how many inputs went to the embedder: those the store has no vector of, once each.
+
+    Their vectors are stored before any row is given one, so a load that fails
+    later does not embed them again.
+    """
+    spark = df.sparkSession
+    if role is not None and role not in ROLES:
+        raise ValueError(f"role must be one of {ROLES}")
+    keyed = df.withColumn("_text", text).withColumn("_digest", store.digest(F.col("_text"), role if task_types else None))
+    inputs = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first("_text").alias("text"))
+    missing = written(inputs.join(store.read(spark).select("digest"), "digest", "left_anti"), "inputs")
+    n = missing.count()
+    if n:
+        store.add(embed(missing, embedder, F.col("text"), role, task_types, out="vector"))
+    known = store.read(spark).select(F.col("digest").alias("_digest"), F.col("vector").alias(out))
+    return checked_width(keyed.drop(out).join(known, "_digest", "left").drop("_digest", "_text"), embedder.dim, out), n

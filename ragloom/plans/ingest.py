@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragloom.operators.cells import CellIndex, build_cells
 from ragloom.operators.chunking import embedding_input, in_order, number_rows, pack_chunks
-from ragloom.operators.embedding import Embedder, embed
+from ragloom.operators.embedding import Embedder, VectorStore, embed, embed_stored
 from ragloom.operators.lexical import postings, store_postings, term_counts
 from ragloom.params import Params
 from ragloom.session import written
@@ -45,9 +45,14 @@ def chunk_articles(articles: DataFrame, order_by: list[str], params: Params = Pa
     )
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, task_types: bool = False) -> DataFrame:
-    """Add the vector of title, category and content; the stored content stays raw."""
+def embed_chunks(chunks: DataFrame, embedder: Embedder, task_types: bool = False, store: VectorStore | None = None) -> DataFrame:
+    """Add the vector of title, category and content; the stored content stays raw.
+
+    With a ``store`` only inputs that it has no vector of are embedded.
+    """
     text = embedding_input(F.col("doc_title"), F.col("category"), F.col("content"))
+    if store is not None:
+        return embed_stored(chunks, embedder, text, store, "document", task_types)[0]
     return embed(chunks, embedder, text, "document", task_types)
 
 
@@ -63,9 +68,10 @@ def build_knowledge_base(
     params: Params = Params(),
     lexical: bool = True,
     task_types: bool = False,
+    store: VectorStore | None = None,
 ) -> KnowledgeBase:
     """Chunk, number, embed and index; every table is written once and read back."""
-    embedded = embed_chunks(chunk_articles(articles, order_by, params), embedder, task_types)
+    embedded = embed_chunks(chunk_articles(articles, order_by, params), embedder, task_types, store)
     # ids rise along the partitions, so a task writes few blocks
     blocked = embedded.withColumn("block", F.floor(F.col("id") / params.id_block).cast("bigint"))
     chunks = written(blocked, "chunks", "block")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ def full_reload(df: DataFrame, name: str, location: str | None = None) -> DataFr
     The rows go into a new stored table; the name is pointed at it only after
     the write has succeeded, so a failed reload leaves the old content. Loading
     the same rows again gives the same content. A version that no name stands
-    for any more is dropped; readers that began on it must have ended.
+    for any more is dropped; readers that began on it hold it by ``reading``.
     """
     spark = df.sparkSession
     version = f"{checked_name(name)}__{uuid.uuid4().hex}"
@@ -49,9 +53,56 @@ def full_reload(df: DataFrame, name: str, location: str | None = None) -> DataFr
     return spark.table(name)
 
 
+def _filesystem(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _leases(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ragloom/leases"
+
+
+def _leased(spark: SparkSession, version: str) -> bool:
+    """Whether a reader still holds a version; a lease that ran out counts no more."""
+    path, fs = _filesystem(spark, f"{_leases(spark)}/{version}")
+    if not fs.exists(path):
+        return False
+    return any(int(f.getPath().getName().rpartition("-")[2]) > time.time() for f in fs.listStatus(path))
+
+
+@dataclass(frozen=True)
+class Held:
+    """The rows of a stored version, and its name."""
+
+    rows: DataFrame
+    version: str
+
+
+@contextmanager
+def reading(spark: SparkSession, name: str, seconds: int = 86_400) -> Iterator[Held]:
+    """The rows that ``name`` stands for now, held until the block ends.
+
+    A reload or promotion meanwhile changes what the name stands for, not these
+    rows: their version is leased for ``seconds`` at most, and is dropped by
+    whoever gives it up last.
+    """
+    while True:
+        version = current_version(spark, name)
+        path, fs = _filesystem(spark, f"{_leases(spark)}/{version}/{uuid.uuid4().hex}-{int(time.time()) + seconds}")
+        fs.create(path).close()
+        if spark.catalog.tableExists(version):
+            break
+        fs.delete(path, False)  # dropped between the look and the lease
+    try:
+        yield Held(spark.table(version), version)
+    finally:
+        fs.delete(path, False)
+        _drop_unused(spark, version)
+
+
 def _drop_unused(spark: SparkSession, version: str | None) -> None:
-    """Drop a stored version, with its files, once no name stands for it."""
-    if version is None or not spark.catalog.tableExists(version):
+    """Drop a stored version, with its files, once no name stands for it and no reader holds it."""
+    if version is None or not spark.catalog.tableExists(version) or _leased(spark, version):
         return
     for row in spark.sql("SHOW VIEWS").collect():
         if not row["isTemporary"]:
@@ -60,15 +111,16 @@ def _drop_unused(spark: SparkSession, version: str | None) -> None:
                 return
     place = spark.sql(f"DESCRIBE EXTENDED {version}").filter("col_name = 'Location'").head()["data_type"]
     spark.sql(f"DROP TABLE {version}")
-    jvm = spark.sparkContext._jvm
-    files = jvm.org.apache.hadoop.fs.Path(place)
-    files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)
+    path, fs = _filesystem(spark, place)
+    fs.delete(path, True)
+    path, fs = _filesystem(spark, f"{_leases(spark)}/{version}")
+    fs.delete(path, True)
 
 
-def promote(spark: SparkSession, shadow: str, live: str) -> DataFrame:
-    """Let ``live`` stand for what the shadow table holds now."""
+def promote(spark: SparkSession, shadow: str, live: str, version: str | None = None) -> DataFrame:
+    """Let ``live`` stand for what the shadow table holds now, or for the ``version`` of it that was looked at."""
     before = current_version(spark, live) if spark.catalog.tableExists(checked_name(live)) else None
-    version = current_version(spark, shadow)
+    version = version or current_version(spark, shadow)
     _point(spark, live, version)
     if before != version:
         _drop_unused(spark, before)

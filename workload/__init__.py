@@ -3,6 +3,6 @@
 
 def load():
     """Import every query module and return the registry."""
-    from workload import asking, conversations, evaluation, exclusions, nearest, pages, registry, retrieval, streams  # noqa: F401
+    from workload import asking, conversations, evaluation, exclusions, nearest, pages, registry, retrieval, streams, upkeep  # noqa: F401
 
     return registry
