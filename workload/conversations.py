@@ -30,9 +30,9 @@ LIMIT = 1500  # the longest fixture histories must trip it
 @query(sql(f"""
   SELECT conv_id, reason IS NULL AS valid, reason FROM (
     SELECT conv_id, CASE
-      WHEN NOT bool_and(role IN ('user', 'model')) THEN 'each message needs a role of user or model and a text'
-      WHEN max_by(role, turn) <> 'user' THEN 'last message must be from the user'
-      WHEN sum(length(text)) > {LIMIT} THEN 'input too long (max {LIMIT} chars)' END AS reason
+      WHEN NOT bool_and(role IN ('user', 'model')) THEN 'malformed turn'
+      WHEN max_by(role, turn) <> 'user' THEN 'no open question'
+      WHEN sum(length(text)) > {LIMIT} THEN 'over {LIMIT} characters' END AS reason
     FROM messages GROUP BY conv_id)""", **PARTS))
 def conv_validate(spark, sf_dir):
     return validate_conversations(messages(spark, sf_dir), params=PARAMS.but(max_input_chars=LIMIT))

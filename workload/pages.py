@@ -153,11 +153,11 @@ def funnel_report(spark, sf_dir):
 
 @query(sql(f"""
   SELECT input_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN body END AS text,
-         '[FIT] ' || left(CASE WHEN is_url THEN raw ELSE 'pasted job description' END, 300) AS label
-  FROM (SELECT *, CASE WHEN raw = '' THEN 'provide a link or a text'
-          WHEN length(raw) > {PARAMS.fit_max_input_chars} THEN 'input too long (max {PARAMS.fit_max_input_chars} chars)'
-          WHEN is_url AND why IS NOT NULL THEN why || '; paste the text instead'
-          WHEN length(body) < {PARAMS.fit_min_chars} THEN 'not a job description; paste its text' END AS reason
+         '[FIT] ' || left(CASE WHEN is_url THEN raw ELSE 'pasted text' END, 300) AS label
+  FROM (SELECT *, CASE WHEN raw = '' THEN 'blank'
+          WHEN length(raw) > {PARAMS.fit_max_input_chars} THEN 'over {PARAMS.fit_max_input_chars} characters'
+          WHEN is_url AND why IS NOT NULL THEN why || ' (paste it)'
+          WHEN length(body) < {PARAMS.fit_min_chars} THEN 'too short to assess' END AS reason
         FROM (SELECT input_id, raw, is_url, CASE WHEN is_url THEN page ELSE raw END AS body, why FROM fit_inputs
               LEFT JOIN (SELECT url AS raw, min(CASE WHEN reason IS NULL THEN text END) AS page, min(reason) AS why
                          FROM funnel GROUP BY url) USING (raw)))""",

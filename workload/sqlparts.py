@@ -166,5 +166,6 @@ def sql(final: str, **own: str) -> str:
 
     visit(final)
     # a recursive part cannot be declared materialized
-    ctes = [f"{n} AS {'' if n == 'pack' else 'MATERIALIZED '}({parts[n]})" for n in order]
+    recursive = lambda n: re.search(rf"\b{n}\b", parts[n])
+    ctes = [f"{n} AS {'' if recursive(n) else 'MATERIALIZED '}({parts[n]})" for n in order]
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + final
