@@ -1,5 +1,7 @@
 """Search in stored cells against dense_topk, and queries of exclusions alone against plain sets."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,15 @@ def test_many_queries_shuffle_no_vector(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not here")
+@pytest.mark.parametrize("name", ["knn_cells_recall", "retrieve_cells_recall"])
+def test_recall_on_the_tables(spark, name):
+    from workload import load
+
+    found = load().QUERIES[name](spark, "/root/testdata/sf0.001").head()
+    assert found["recall"] >= 0.9 and found["measured"] < 0.3 * found["pairs"]
+
+
 def test_retrieve_from_cells(spark, kb):  # noqa: F811
     stored = with_cells(kb, Params(cells=6, code_bits=64))
     assert answers(spark, stored, approximate=True, params=Params(probe_share=1.0, code_bits=64, code_slack=99.0)) == answers(spark, kb)

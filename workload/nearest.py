@@ -17,7 +17,7 @@ from workload.sqlparts import cosine, sql
 from workload.tables import EMBEDDER, PARAMS, knowledge_base, web_queries
 
 # The vectors of the driver table point everywhere alike, so more cells are read.
-SCATTERED = PARAMS.but(probe_share=0.6, code_slack=0.5)
+SCATTERED = PARAMS.but(probe_share=0.7)
 ROUNDS = "abcdef"[: PARAMS.cell_rounds]
 
 
