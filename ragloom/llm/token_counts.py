@@ -35,7 +35,7 @@ from ragloom.llm.wordids import BatchEncoder, byte_letters
 
 @dataclass(frozen=True)
 class CountParams:
-    leaf: int = 64  # pre-tokens in a leaf when built; it is split beyond four times as many
+    leaf: int = 24  # pre-tokens in a leaf when built; it is split beyond four times as many
     look: int = 2  # code points behind its end that may decide where a pre-token ends
     cache_words: int = 100_000  # words around edits that a worker remembers
     cache_bytes: int = 64 << 20  # pieces of whole texts that a worker remembers
@@ -62,13 +62,37 @@ def plain_words(text: str) -> list[str] | None:
     return text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n\0").split("\0")
 
 
+class BatchCounter(BatchEncoder):
+    """(length, number of ids) of the pre-tokens of the texts of a batch; strings of added tokens are ordinary text."""
+
+    def __init__(self, path: str, cache_bytes: int):
+        super().__init__(path, cache_bytes)
+        self.added, self.split = [], self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def of_piece(self, piece: bytes) -> bytes:
+        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
+        return array("I", (len(piece.decode()), len(made))).tobytes()
+
+    def of_text(self, text: str) -> bytes:
+        pairs = array("I")
+        for piece, (start, end) in self.split(text):
+            pairs.extend((end - start, len(self.model.tokenize(piece))))
+        return pairs.tobytes()
+
+
+@lru_cache(2)
+def batch_counter(path: str, cache_bytes: int) -> BatchCounter:
+    return BatchCounter(path, cache_bytes)
+
+
 class Pieces(dict):
     """(length, number of ids) of the pre-tokens of words, as 32-bit pairs, found when first asked for."""
 
-    def __init__(self, path: str, limit: int):
+    def __init__(self, path: str, limit: int, batches: BatchCounter | None = None):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.of_batches = {} if batches is None else batches.known
         tokenizer = Tokenizer.from_file(path)
         self.split, self.model, self.limit = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model, limit
         self.letters = byte_letters()
@@ -79,6 +103,8 @@ class Pieces(dict):
             self.clear()
         if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark behind a letter or digit is a piece of its own
             made = self[word[:-1]] + self[word[-1]]
+        elif (known := self.of_batches.get(word.encode())) is not None:  # a piece of a whole text
+            made = known
         elif (word[1:] if word[0] == " " else word).isalpha():  # one piece
             made = array("I", (len(word), self.ids(word.encode().decode("latin-1").translate(self.letters)))).tobytes()
         else:
@@ -102,34 +128,11 @@ class Pieces(dict):
         return pairs.tobytes()
 
 
-class BatchCounter(BatchEncoder):
-    """(length, number of ids) of the pre-tokens of the texts of a batch; strings of added tokens are ordinary text."""
-
-    def __init__(self, path: str, cache_bytes: int):
-        super().__init__(path, cache_bytes)
-        self.added, self.split = [], self.tokenizer.pre_tokenizer.pre_tokenize_str
-
-    def of_piece(self, piece: bytes) -> bytes:
-        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
-        return array("I", (len(piece.decode()), len(made))).tobytes()
-
-    def of_text(self, text: str) -> bytes:
-        pairs = array("I")
-        for piece, (start, end) in self.split(text):
-            pairs.extend((end - start, len(self.model.tokenize(piece))))
-        return pairs.tobytes()
-
-
-@lru_cache(2)
-def batch_counter(path: str, cache_bytes: int) -> BatchCounter:
-    return BatchCounter(path, cache_bytes)
-
-
 class Counter:
     """Pre-tokens of a text and the number of ids of each."""
 
-    def __init__(self, path: str, cache_words: int):
-        self.known = Pieces(path, cache_words)
+    def __init__(self, path: str, cache_words: int, batches: BatchCounter | None = None):
+        self.known = Pieces(path, cache_words, batches)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Lengths in code points and numbers of ids."""
@@ -140,9 +143,9 @@ class Counter:
 
 
 @lru_cache(2)
-def counter_of(path: str, cache_words: int) -> Counter:
+def counter_of(path: str, params: CountParams) -> Counter:
     """The counter of a worker process, which keeps what it knows from task to task."""
-    return Counter(path, cache_words)
+    return Counter(path, params.cache_words, batch_counter(path, params.cache_bytes))
 
 
 class Sums:
@@ -325,25 +328,58 @@ def edited(trees: DataFrame, tokenizer: str, params: CountParams = CountParams()
     rows = trees.select(trees[id_col].alias("id"), "text", "lengths", "counts", F.col("edits").cast(f"array<{EDIT}>").alias("edits"), F.col("n_tokens").alias("tokens_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(tokenizer, params.cache_words)
+        counter = counter_of(tokenizer, params)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            cols = [batch.column(c) for c in ("text", "lengths", "counts", "edits")]
-            for text, lengths, counts, edits in zip(*[c.to_pylist() for c in cols], strict=True):
-                tree = Tree(text, np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(counts, "<u4").astype(np.int64), params)
-                order = sorted((e for e in edits or [] if e is not None and e["start"] is not None),
-                               key=lambda e: (e["seq"] is None, e["seq"] or 0, e["start"], e["length"] or 0, e["replacement"] or ""))
-                for e in order:
-                    tree.edit(e["start"], e["length"] or 0, e["replacement"] or "", counter)
-                text, lengths, counts = tree.parts()
-                for col, value in zip(out, (text, lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), len(lengths), tree.tokens.total(), tree.encoded), strict=True):
-                    col.append(value)
-            types = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens_before"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=schema.names)
-
-    first = [T.StructField(id_col, rows.schema["id"].dataType), T.StructField("tokens_before", T.LongType())]
-    schema = T.StructType([*first, *T.StructType.fromDDL(TREE + ", n_encoded long").fields])
-    return rows.mapInArrow(run, schema)
+            cols = [batch.column(c).to_pylist() for c in ("text", "lengths", "counts", "edits")]
+            made = [after_edits(t, *(np.frombuffer(x, "<u4").astype(np.int64) for x in (n, c)), e, counter, params) for t, n, c, e in zip(*cols, strict=True)]
+            yield _edited_batch(batch.column("id"), batch.column("tokens_before"), made)
+
+    return rows.mapInArrow(run, _edited_schema(rows.schema["id"].dataType)).withColumnRenamed("id", id_col)
+
+
+def after_edits(text: str, lengths: np.ndarray, counts: np.ndarray, edits: list[dict] | None, counter: Counter, params: CountParams) -> tuple:
+    """Text, lengths, numbers of ids, their sizes and the number of pre-tokens encoded again."""
+    tree = Tree(text, lengths, counts, params)
+    order = sorted((e for e in edits or [] if e is not None and e["start"] is not None),
+                   key=lambda e: (e["seq"] is None, e["seq"] or 0, e["start"], e["length"] or 0, e["replacement"] or ""))
+    for e in order:
+        tree.edit(e["start"], e["length"] or 0, e["replacement"] or "", counter)
+    text, lengths, counts = tree.parts()
+    return text, lengths.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), len(lengths), tree.tokens.total(), tree.encoded
+
+
+def _edited_batch(ids: pa.Array, before: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    cols = zip(*made, strict=True) if made else [()] * len(types)
+    names = ["id", "tokens_before", *(c.split()[0] for c in EDITED.split(", "))]
+    return pa.RecordBatch.from_arrays([ids, before, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+
+
+EDITED = TREE + ", n_encoded long"
+
+
+def _edited_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", kind), T.StructField("tokens_before", T.LongType()), *T.StructType.fromDDL(EDITED).fields])
+
+
+def edited_texts(docs: DataFrame, tokenizer: str, params: CountParams = CountParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``edited(build(docs))`` in one pass, for documents that come with their ``edits``: no tree is
+    handed on, and edits find the pieces of whole texts remembered."""
+    rows = docs.select(docs[id_col].alias("id"), F.col("edits").cast(f"array<{EDIT}>").alias("edits"), utf8(docs[text_col]).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_pieces, counter = batch_counter(tokenizer, params.cache_bytes), counter_of(tokenizer, params)
+        for batch in batches:
+            texts = [raw.decode("utf-8", "replace") for raw in batch.column("text").to_pylist()]
+            edits, made, before = batch.column("edits").to_pylist(), [], []
+            for lo, hi, pairs, per_text in batch_pieces(pa.array([t.encode() for t in texts], pa.binary())):
+                lengths, counts, ends = pairs[::2].astype(np.int64), pairs[1::2].astype(np.int64), np.cumsum(per_text) // 2
+                for i, a, b in zip(range(lo, hi), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    before.append(int(counts[a:b].sum()))
+                    made.append(after_edits(texts[i], lengths[a:b], counts[a:b], edits[i], counter, params))
+            yield _edited_batch(batch.column("id"), pa.array(before, pa.int64()), made)
+
+    return rows.mapInArrow(run, _edited_schema(rows.schema["id"].dataType)).withColumnRenamed("id", id_col)
 
 
 @query()
@@ -361,7 +397,6 @@ def op9_token_counts(spark, sf_dir):
         edit(0, 12, F.lit("")), edit(1, 0, F.concat(F.lit(" "), F.substring(text, 1, 40), F.lit("'s\n\n  "))),
         edit(2, 25, F.upper(F.substring(text, 10, 30))), edit(3, 1, F.lit("re 42")),
     )
-    trees = build(docs.withColumn("edits", edits), byte_bpe(), keep=("edits",))
-    return edited(trees, byte_bpe()).select(
+    return edited_texts(docs.withColumn("edits", edits), byte_bpe()).select(
         "doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), "n_pretokens", "n_encoded", F.length("text").cast("long").alias("n_chars")
     )

@@ -67,6 +67,16 @@ def test_tables(spark):
         assert r.n_tokens == len(plain.encode(r.text, add_special_tokens=False).ids) == np.frombuffer(r.counts, "<u4").sum()
 
 
+def test_one_pass_equals_two(spark):
+    rows = [(1, "hello wörld it's\n\n x", [(1, 6, 0, "dear "), (0, 0, 5, "bye")]), (2, None, [(1, 0, 0, "new words.")]), (None, "", None), (4, "twice 42", []), (4, "x" * 300, [(1, None, 1, "x")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<seq:long,start:long,length:long,replacement:string>>")
+    params = CountParams(leaf=3)
+    two = edited(build(docs, byte_bpe(), params, keep=("edits",)), byte_bpe(), params)
+    one = token_counts.edited_texts(docs, byte_bpe(), params)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert token_counts.edited_texts(docs.filter("false"), byte_bpe()).count() == 0
+
+
 def test_query_equals_brute_force(spark):
     from tokenizers import Tokenizer
 
