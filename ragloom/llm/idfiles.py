@@ -42,7 +42,7 @@ class IdFileParams:
     end_id: int = 1
     block_ids: int = 1 << 16  # ids of a block
     file_ids: int = 4 << 20  # a file is closed when it holds so many
-    cache_bytes: int = 96 << 20  # words whose ids a worker remembers
+    cache_bytes: int = 128 << 20  # words whose ids a worker remembers
 
 
 # -- the code ----------------------------------------------------------------

@@ -122,12 +122,15 @@ class BatchEncoder:
         coded = keys.dictionary_encode()
         found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
         flat = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # a batch is far from 2^31 ids; half as wide numbers are read and written here
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         which = coded.indices.to_numpy()
         n = sizes[which]
-        ends = np.cumsum(n)
-        starts = (np.cumsum(sizes) - sizes)[which]
-        return flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        starts = (np.cumsum(sizes, dtype=kind) - sizes)[which]
+        return flat[np.repeat(starts - ends.astype(kind) + n, n) + np.arange(total, dtype=kind)], n
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For pieces of a batch of texts in bytes: first text, text behind the last, ids, ids of each text."""
@@ -212,8 +215,9 @@ class BatchEncoder:
         opens[joins + 1] = limits[joins + 1] = False
         opens[last] = limits[last] = True
         # where each run of white space begins: behind a word or at the start of a text
-        runs = np.unique(np.concatenate([stops, first]))
-        runs = runs[runs < len(data)]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[stops] = begins[first] = True
+        runs = np.flatnonzero(begins[:-1])
         here = np.searchsorted(ends, runs)
         runs = runs[(runs < ends[here]) & np.isin(data[runs], np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))]
         opens[runs] = limits[runs] = True
