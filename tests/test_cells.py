@@ -97,6 +97,45 @@ def test_many_queries_shuffle_no_vector(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan
 
 
+def test_a_send_holds_many_blocks_and_copies_are_measured_once(spark, monkeypatch):
+    from ragloom.operators import dense
+
+    v = clustered(7, 900, dim=8)
+    v[300:600] = v[301]  # another crowd of copies
+    queries, chunks = frames(spark, v, v)
+    want = rows(dense_topk(queries, chunks, 5))
+    units = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    away = np.where((np.linalg.norm(v, axis=1) > 0)[:, None] & (np.linalg.norm(v, axis=1) > 0)[None, :], np.round(1 - units @ units.T, 9) + 0.0, np.inf)
+    assert [r[:2] for r in want] == [(q, int(i)) for q in range(900) for i in sorted(sorted(range(900), key=lambda i: (away[q, i], i))[:5])]
+    jobs = []
+    monkeypatch.setattr(dense, "written", lambda df, label, *a: jobs.append(label) or written(df, label, *a))
+    # 225 blocks of four in one send, a sample of a few rows for the bounds, the vectors dealt out evenly
+    monkeypatch.setattr(dense, "SPREAD_PAIRS", 1000)
+    assert rows(dense_topk(queries, chunks, 5, Params(query_block=4, slab_rows=20))) == want
+    assert jobs == ["spread", "nearest"]
+
+
+def test_bounds_of_the_scan_hold_back_no_pair():
+    from ragloom.operators.dense import Best, Queries
+
+    rnd = np.random.default_rng(8)
+    v = np.round(rnd.normal(size=(3000, 6)), 1)  # many ties
+    asked, best = Queries(v[:200]), Best(200, 4)
+    asked.vectors[3] = 0
+    measured = []
+    offer_pairs = best.offer_pairs
+    best.offer_pairs = lambda q, *rest: measured.append(len(q)) or offer_pairs(q, *rest)
+    for lo in range(0, 3000, 500):
+        best.scan(np.arange(lo, lo + 500), v[lo : lo + 500], asked)
+    got = best.batch()
+    assert sum(measured) < 0.1 * 200 * 3000
+    length = np.linalg.norm(v, axis=1)
+    for q in range(200):
+        s = np.outer(length[q : q + 1], length)[0]
+        d = np.where(s > 0, np.round(1 - np.divide(v @ v[q], s, out=np.zeros(3000), where=s > 0), 9) + 0.0, np.inf)
+        assert [i for n, i in zip(got["_q"].to_pylist(), got["id"].to_pylist(), strict=True) if n == q] == sorted(range(3000), key=lambda i: (d[i], i))[:4]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not here")
 @pytest.mark.parametrize("name", ["knn_cells_recall", "retrieve_cells_recall"])
 def test_recall_on_the_tables(spark, name):
