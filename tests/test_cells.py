@@ -190,6 +190,41 @@ def test_allowed_ids_and_their_ranking(spark):
     assert allowed_topk(queries.filter("false"), out, chunks, 6).count() == 0
 
 
+def test_bitmaps_are_unfolded_a_few_at_a_time(spark, monkeypatch):
+    from ragloom.operators import exclusion
+
+    sets = spark.range(-70000, 70000, 3).select((F.col("id") % 5).alias("query_id"), F.col("id").alias("v")).groupBy(
+        "query_id", F.bitmap_bucket_number("v").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("ids"))
+    found = exclusion.bitmap_rows(sets)
+    assert found.columns == ["query_id", "part", "id"]
+    want = sets.select("query_id", "part", F.explode(bitmap_ids("part", "ids")).alias("id"))
+    assert want.count() == found.count() == len(range(-70000, 70000, 3)) and found.exceptAll(want).isEmpty()
+    monkeypatch.setattr(exclusion, "UNFOLDED", 1)
+    assert exclusion.bitmap_rows(sets).exceptAll(want).isEmpty()
+
+
+def test_cosines_to_centres_are_held_a_few_rows_at_a_time(monkeypatch):
+    from ragloom.operators import cells
+
+    v = cells.unit(clustered(9, 500))
+    centres = cells.unit(clustered(10, 40))
+    whole = cells.similarities(v, centres)
+    seen = []
+    similarities = cells.similarities
+    monkeypatch.setattr(cells, "CELLS", 1000)
+    monkeypatch.setattr(cells, "similarities", lambda u, c: seen.append(len(u) * len(c)) or similarities(u, c))
+    cell, near = cells.nearest_centre(v, centres)
+    assert max(seen) <= 1000 and (cell == whole.argmax(axis=1)).all() and (near == whole.max(axis=1)).all()
+    assert [len(x) for x in cells.nearest_centre(v[:0], centres)] == [0, 0]
+
+
+def test_codes_are_looked_at_where_a_distance_counts(spark, index):
+    queries, _ = frames(spark, np.vstack([clustered(2, 600)[250:320], np.zeros((1, 16))]), np.zeros((1, 16)))
+    for k in (5, 40):
+        found, counts = cell_search(queries, index[1], k, 0.5, SMALL)
+        assert rows(cell_topk(queries, index[1], k, 0.5, SMALL)) == rows(found) and counts.head()["measured"] > 0
+
+
 def test_exclusions_in_retrieval(spark, kb):  # noqa: F811
     queries = spark.createDataFrame([(1, "-lock"), (2, "deploy or -guide"), (3, "the of")], "query_id long, text string")
     found = retrieve(queries, kb, EMB, k=4).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragloom.operators.exclusion import allowed_ids, bitmap_ids, exclusion_groups, left_out
+from ragloom.operators.exclusion import allowed_ids, bitmap_rows, exclusion_groups, left_out
 from ragloom.operators.lexical import query_terms
 from ragloom.plans.retrieve import retrieve
 from workload.registry import query
@@ -60,8 +60,7 @@ def exclusion_sets(spark, sf_dir):
     """All chunks without what is left out, as sets of ids."""
     kb, terms = knowledge_base(spark, sf_dir), query_terms(_asked(spark, sf_dir))
     sets = allowed_ids(exclusion_groups(terms), left_out(terms, kb.index, kb.counts, PARAMS), kb.chunks)
-    ids = sets.select("query_id", "part", F.explode(bitmap_ids("part", "ids")).alias("id"))
-    return ids.groupBy("query_id", "part").agg(
+    return bitmap_rows(sets.select("query_id", "part", "ids")).groupBy("query_id", "part").agg(
         F.count("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum("id").alias("total"))
 
 
