@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,16 @@ def test_a_send_holds_many_blocks_and_copies_are_measured_once(spark, monkeypatc
     assert jobs == ["spread", "nearest"]
 
 
+def test_missing_vectors_and_other_widths_are_no_matrix():
+    from ragloom.operators.dense import matrix
+
+    kind = pa.list_(pa.float32())
+    assert matrix(pa.array([[1, 2], [3, 4]], kind)).tolist() == [[1, 2], [3, 4]] and len(matrix(pa.array([], kind))) == 0
+    for bad in ([[1, 2], None, [3, 4], None], [[1], [2, 3, 4]]):
+        with pytest.raises(ValueError):
+            matrix(pa.array(bad, kind))
+
+
 def test_bounds_of_the_scan_hold_back_no_pair():
     from ragloom.operators.dense import Best, Queries
 
