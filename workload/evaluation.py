@@ -10,7 +10,7 @@ from ragloom.operators.dense import dense_topk
 from ragloom.plans.evaluate import (
     RULE, acceptance, acceptance_gate, acceptance_passes, compare_modes, coverage, coverage_gate, dashboard, failure_gate, first_hit_ranks,
     hard_failures, misses, out_of_scope_correct, read_verdicts, recall_mrr, refusal_pattern, rejection_rate,
-    rejections, worst,
+    rejections, word_runs, worst,
 )
 from ragloom.plans.retrieve import multi_requirement_retrieve, retrieve, retrieve_ways
 from ragloom.session import broadcast_within, settled, written
@@ -31,26 +31,18 @@ six = lambda *names: [F.round(L(n), 6).alias(n) for n in names]
 RUN = 5
 
 
-def runs(text: str):
-    """Distinct runs of five words; a shorter text is one run."""
-    return F.expr(f"""
-        array_distinct(transform(sequence(1, greatest(size({text}) - {RUN - 1}, 1)),
-          i -> array_join(slice({text}, i, {RUN}), ' ')))""")
-
-
 def truth(spark, sf_dir):
     """``query_id, expect`` (titles), null for passages found nowhere; written once.
 
     The runs of the passages are sent to the texts while their size allows, so
     that only texts' runs that some passage has are shuffled.
     """
-    asked, n = settled(
-        table(spark, sf_dir, "benchmark").select(L("item_id").alias("query_id"), words(L("text")).alias("w"))
-        .select("query_id", F.explode(runs("w")).alias("s"))
-    )
+    asked, n = settled(word_runs(
+        table(spark, sf_dir, "benchmark").select(L("item_id").alias("query_id"), words(L("text")).alias("w")), RUN))
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     # the runs cost more than a shuffle of the texts, and the fixture is one file
-    held = articles(spark, sf_dir).repartition("title").select("title", words(L("body")).alias("w")).select("title", F.explode(runs("w")).alias("s"))
+    held = articles(spark, sf_dir).repartition("title").select("title", words(L("body")).alias("w"))
+    held = word_runs(held, RUN)
     found = held.join(broadcast_within(asked, n, 200, PARAMS.broadcast_bytes), "s").groupBy("query_id", "title").agg(F.count(F.lit(1)).alias("c"))
     full = found.join(wanted, "query_id").filter("c = n").groupBy("query_id").agg(
         F.sort_array(F.collect_list("title")).alias("expect"))
