@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from ragloom import Params
 from ragloom.operators.chunking import embedding_input, in_order, number_rows, pack_chunks
 from ragloom.operators.embedding import HashingEmbedder, ModelEmbedder, checked_width, embed, split_by_width
+from ragloom.operators.lexical import packed_postings, postings, stored_postings
 from ragloom.plans.ingest import build_knowledge_base
 
 
@@ -89,3 +91,40 @@ def test_knowledge_base(spark):
     got = [tuple(r) for r in kb.chunks.select("id", "doc_title", "content").orderBy("id").collect()]
     assert got == [(1, "A", "three"), (2, "B", "one"), (3, "B", "two")]
     assert {(r["term"], r["df"]) for r in kb.counts.collect()} == {("b", 2), ("three", 1), ("one", 1), ("two", 1)}
+
+
+def test_hashing_embedder_equals_a_loop(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["a", "bé", "c3", "Ünd", "日本"]) for _ in range(rnd.randint(0, 9))) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in embed(df, HashingEmbedder(16), F.col("t")).collect():
+        want = np.zeros(16)
+        for w in r["t"].lower().split():
+            code = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want[(code >> 1) % 16] += 1 - 2 * (code & 1)
+        assert np.allclose(r["embedding"], want / (np.linalg.norm(want) or 1))
+
+
+@pytest.mark.parametrize("batch", [3, 17, 10_000])
+def test_stored_index_equals_postings(spark, batch):
+    rnd = random.Random(4)
+    words = "lock row rows limit queries bulk the of guide".split()
+    ids = sorted(rnd.sample(range(1, 200), 90))
+    rnd.shuffle(ids[40:50])
+    rows = [(i, rnd.choice(["Row locks", "", None]), " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in ids]
+    chunks = spark.createDataFrame(rows, "id bigint, doc_title string, content string").coalesce(2)
+    small = Params(id_block=50, term_buckets=3)
+    columns = ["bucket", "term", "id", "positions", "titled"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(map(tuple, stored_postings(chunks, params=small).select(columns).collect()))
+        assert got == sorted(map(tuple, postings(chunks, params=small).select(columns).collect())) and got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_index_travels_a_row_per_run_of_a_term(spark):
+    """Postings of a term in consecutive chunks are shuffled as one row."""
+    chunks = spark.range(1, 401, numPartitions=2).selectExpr("id", "'T' AS doc_title", "'lock row' AS content")
+    packed = packed_postings(chunks, params=Params(id_block=1000))
+    assert packed.count() == 4
