@@ -76,3 +76,12 @@ def test_scan(spark, tmp_path):
     (tmp_path / "sub" / "d.md").write_text("deeper")
     got = scan_articles(spark, str(tmp_path)).orderBy("path").collect()
     assert [r["raw"] for r in got] == ["one", "two\nlines"]
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / f"{i}.md").write_text(f"---\ntitle: T{i}\n---\nb{i}\n")
+    monkeypatch.setattr("ragloom.sources.articles.READ_TASKS", 2)
+    files = scan_articles(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted((r["title"], r["body"]) for r in parse_articles(files).collect()) == sorted((f"T{i}", f"b{i}") for i in range(400))
