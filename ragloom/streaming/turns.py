@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ from ragloom.streaming.clock import CLOCK, with_clock
 LATE = "struct<seq:bigint,type:string,text:string,sources_json:string,message:string,ts:timestamp>"
 
 
+def _values(column: pd.Series) -> list:
+    """The values of a column, none for what is missing."""
+    return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
+
+
 def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600, lateness: str = "1 hour", keep: str = "last") -> DataFrame:
     """``(turn_id, answer, sources_json, escalated, error, late)``: a row per turn, and a row per late event.
 
@@ -41,23 +47,22 @@ def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600
         newest = state.get[-1] if state.exists else 0
         passed = max(0, state.getCurrentWatermarkMs())
         if not state.hasTimedOut:
-            late: list[dict] = []
-            arrived = [e for pdf in chunks for e in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
-            moment = {id(e): 0 if e["_at"] is None else int(e["_at"].timestamp() * 1000) for e in arrived}
+            pdf = pd.concat(list(chunks))  # one turn's events of one micro-batch
+            columns = [_values(pdf[c]) for c in names]
+            known = pdf["_at"].notna().to_numpy()
+            # whole milliseconds, whatever the unit of the column
+            moment = np.where(known, pdf["_at"].to_numpy().astype("datetime64[ms]").astype(np.int64), 0)
             # an open turn takes every event; a new one is opened by an event that is not late
-            is_open = state.exists or any(e["_at"] is None or moment[id(e)] + idle_seconds * 1000 > passed for e in arrived)
-            for e in arrived:
-                if is_open:
-                    for have, col in zip(values, names, strict=True):
-                        have.append(e[col])
-                    newest = max(newest, moment[id(e)])
-                else:
-                    late.append({"turn_id": k[0], "late": {**{c: e[c] for c in names}, "ts": e["_at"]}})
+            is_open = state.exists or bool((~known | (moment + idle_seconds * 1000 > passed)).any())
             if is_open:
+                for have, more in zip(values, columns, strict=True):
+                    have += more
+                newest = max(newest, int(moment.max()))
                 state.update((*values, newest))
                 state.setTimeoutTimestamp(max(newest + idle_seconds * 1000, passed + 1))
-            if late:
-                yield pd.DataFrame(late).assign(answer=None, sources_json=None, escalated=None, error=None)
+            else:
+                late = [{**dict(zip(names, e, strict=True)), "ts": at} for *e, at in zip(*columns, _values(pdf["_at"]), strict=True)]
+                yield pd.DataFrame({"turn_id": [k[0]] * len(late), "answer": None, "sources_json": None, "escalated": None, "error": None, "late": late})
             return
         state.remove()
         events_ = sorted(zip(*values, strict=True), key=lambda e: (e[0] is None, e[0] or 0))

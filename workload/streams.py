@@ -71,8 +71,9 @@ def rate_limited_nulls(spark, sf_dir):
 def _arriving(df, place, n):
     """The rows of a table as a stream of ``n`` files in order of ``place``, one a micro-batch."""
     path = scratch_path(df.sparkSession, "arriving")
+    # one task writes a file, but not what comes before it
     for i in range(n):
-        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+        df.filter(place == i).repartition(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -92,7 +93,7 @@ def rate_limited_backlog(spark, sf_dir):
     path, out = (scratch_path(spark, label) for label in ("arriving", "limits"))
     for files in (range(1), range(1, 5)):
         for i in files:
-            events.filter(F.floor((F.day("ts") - 1) / 7) == i).coalesce(1).write.mode("append").parquet(path)
+            events.filter(F.floor((F.day("ts") - 1) / 7) == i).repartition(1).write.mode("append").parquet(path)
         source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
         limited = rate_limit_stream(source, DAY, MAX, "user_id", "ts", "event_id", lateness_seconds=0)
         found = drain(limited, path=out)
@@ -193,9 +194,9 @@ def turn_fold_stream(spark, sf_dir):
     events = events.unionByName(done).unionByName(empty)
     path = scratch_path(spark, "arriving")
     for i in range(3):
-        events.filter(F.pmod("seq", F.lit(3)) == 2 - i).coalesce(1).write.mode("append").parquet(path)
+        events.filter(F.pmod("seq", F.lit(3)) == 2 - i).repartition(1).write.mode("append").parquet(path)
     later = events.limit(1).withColumns({"turn_id": F.lit(-1).cast("bigint"), "ts": start + F.expr("INTERVAL 1 DAY")})
-    later.coalesce(1).write.mode("append").parquet(path)
+    later.repartition(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     folded = drain(fold_turns_stream(source), "turns").filter("turn_id >= 0")
     return _shown(folded.withColumn("sources", F.from_json("sources_json", f"array<{SOURCE}>")))
@@ -222,7 +223,7 @@ def late_events(spark, sf_dir):
     later = events.limit(1).withColumns({"turn_id": F.lit(-1).cast("bigint"), "ts": start + F.expr("INTERVAL 1 DAY")})
     path = scratch_path(spark, "arriving")
     for part in (events.filter(~late), later, events.filter(late).withColumn("ts", start + F.expr("INTERVAL 2 HOURS"))):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return split_late(drain(fold_turns_stream(source), "turns"))[1].select("turn_id", "seq", "type", "text")
 
