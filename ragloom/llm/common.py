@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,3 +59,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def give_back() -> None:
+    """Return memory that this process holds but no longer uses to the machine; a worker lives on behind its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+#: Caches that worker processes keep from task to task; functions decorated by ``lru_cache``.
+KEPT: list = []
+
+
+def kept(cache):
+    """Registers a cache that tasks of other operators empty."""
+    KEPT.append(cache)
+    return cache
+
+
+def forget(keeps: tuple = ()) -> None:
+    for cache in KEPT:
+        if cache not in keeps:
+            cache.cache_clear()
+
+
+def tidied(run: Callable[[Iterator], Iterator], keeps: tuple = ()) -> Callable[[Iterator], Iterator]:
+    """The same function over batches for a task that needs none of the kept caches but ``keeps``:
+    it empties the others at its start and gives its memory back at its end."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        forget(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def tidied_group(run: Callable) -> Callable:
+    """The same function over the rows of a group, giving its memory back behind each group."""
+
+    def tidy(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return tidy

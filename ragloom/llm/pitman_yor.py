@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import fold_of, mix, table, utf8
+from ragloom.llm.common import fold_of, mix, table, tidied, tidied_group, utf8
 from ragloom.llm.registry import query
 from ragloom.llm.shingles import hashed
 from ragloom.session import written
@@ -52,6 +52,7 @@ class PitmanYorParams:
     chunk_tokens: int = 1_000_000  # counted together before the shuffle
     part_tokens: int = 500_000  # occurrences that a part should hold
     hot_share: float = 0.001  # of a chunk's tokens from which a word may be hot
+    send_bytes: int = 1 << 20  # of a chunk's parts that leave a task at once
 
 
 # -- counting ----------------------------------------------------------------
@@ -66,7 +67,7 @@ def chunks(batches, params: PitmanYorParams):
         token, n = np.concatenate(tokens), np.concatenate(sizes)
         before = np.concatenate([[END], token[:-1]])
         context = ((before >> np.uint64(32)) * np.uint64(params.contexts) >> np.uint64(32)).astype(np.uint16)
-        return ids, np.array(held, bool), n, token, context, np.repeat(np.arange(len(n)), n)
+        return ids, np.array(held, bool), n, token, context, np.repeat(np.arange(len(n), dtype=np.uint32), n)
 
     for batch in batches:
         ids += batch.column("id").to_pylist()
@@ -76,8 +77,10 @@ def chunks(batches, params: PitmanYorParams):
             sizes.append(n + 1)
             total += len(tokens[-1])
         if total >= params.chunk_tokens:
-            yield out()
+            made = out()
             ids, held, sizes, tokens, total = [], [], [], [], 0
+            yield made
+            del made
     if ids:
         yield out()
 
@@ -96,7 +99,7 @@ def hot_words(rows: DataFrame, params: PitmanYorParams) -> tuple[np.ndarray, np.
             words = np.append(word[often].view(np.int64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.append(n[often], 0)), pa.array(np.append(np.zeros(int(often.sum()), np.int64), len(token)))], ["word", "n", "total"])
 
-    counted = written(rows.mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "lm-hot")
+    counted = written(rows.mapInArrow(tidied(run), "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "lm-hot")
     total = counted.agg(F.sum("total")).head()[0] or 0
     got = counted.filter(F.col("n") > params.part_tokens // 2).select("word", "n").toArrow()
     word, n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -124,31 +127,56 @@ def count(rows: DataFrame, params: PitmanYorParams) -> tuple[DataFrame, np.ndarr
     blob = f"part int, base long, words binary, runs binary, contexts binary, texts binary, ids array<{id_type}>, held array<boolean>, lengths binary"
     out_type = T.StructType(T.StructType.fromDDL(PARTS).fields + T.StructType.fromDDL(DOCS.format(id=id_type)).fields)
 
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
     def request(batches):
         made = 0
-        for ids, held, sizes, token, context, text in chunks(batches, params):
+        for chunk in chunks(batches, params):
             base = (TaskContext.get().partitionId() << 40) + made
-            made += len(ids)
-            where = token.copy()
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                is_hot = hot[at] == token
-                where[is_hot] += (context[is_hot] % shares[at[is_hot]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            part = (((where >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
-            order = np.lexsort((context, token, part))
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            packed = (text.astype(np.uint32) << np.uint32(1)) | held[text].astype(np.uint32)
-            cols: list[list] = [[] for _ in range(9)]
-            for p in range(parts):
-                own = order[cut[p] : cut[p + 1]]
-                if len(own):
-                    words, runs = np.unique(token[own], return_counts=True)
-                    for col, v in zip(cols, (p, base, words.tobytes(), runs.astype(np.uint32).tobytes(), context[own].tobytes(), packed[own].tobytes(), None, None, None), strict=True):
-                        col.append(v)
-            for col, v in zip(cols, (parts + TaskContext.get().partitionId() % parts, base, None, None, None, None, ids, held.tolist(), sizes.astype(np.uint32).tobytes()), strict=True):
-                col.append(v)
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), id_arrow, pa.list_(pa.bool_()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in blob.split(", ")])
+            made += len(chunk[0])
+            yield from dealt(base, *chunk[1:])
+            ids, held, sizes = chunk[:3]
+            last = (parts + TaskContext.get().partitionId() % parts, base, None, None, None, None, ids, held.tolist(), sizes.astype(np.uint32).tobytes())
+            yield from sent([[v] for v in last])
+            del chunk, ids, held, sizes, last
+
+    def sent(cols: list[list]):
+        """Rows of ``blob``; without ids where the last columns are missing."""
+        cols = cols + [[None] * len(cols[0])] * (9 - len(cols))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, (*types, id_arrow, pa.list_(pa.bool_()), pa.binary()), strict=True)], [f.split()[0] for f in blob.split(", ")]
+        )
+
+    def dealt(base: int, held: np.ndarray, _sizes: np.ndarray, token: np.ndarray, context: np.ndarray, text: np.ndarray):
+        """The tokens of a chunk as a row per part, some parts at a time."""
+        where = token >> np.uint64(32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+            own = np.flatnonzero(hot[at] == token)
+            at = at[own]
+            where[own] = (token[own] + (context[own] % shares[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            del at, own
+        part = ((where * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+        del where
+        order = np.lexsort((context, token, part))
+        cut = np.searchsorted(part, np.arange(parts + 1), sorter=order)
+        del part
+        packed = (text << np.uint32(1)) | held[text].astype(np.uint32)
+        cols: list[list] = [[] for _ in types]
+        size = 0
+        for p in range(parts):
+            own = order[cut[p] : cut[p + 1]]
+            if len(own):
+                words, runs = np.unique(token[own], return_counts=True)
+                row = (p, base, words.tobytes(), runs.astype(np.uint32).tobytes(), context[own].tobytes(), packed[own].tobytes())
+                for col, v in zip(cols, row, strict=True):
+                    col.append(v)
+                size += sum(map(len, row[2:]))
+            if size >= params.send_bytes:
+                yield from sent(cols)
+                cols, size = [[] for _ in types], 0
+        if size:
+            yield from sent(cols)
 
     def merge(group: pa.Table) -> pa.Table:
         if group.column("part")[0].as_py() >= parts:
@@ -185,7 +213,7 @@ def count(rows: DataFrame, params: PitmanYorParams) -> tuple[DataFrame, np.ndarr
 
     out_arrow = to_arrow_schema(out_type)
     id_arrow = out_arrow.field("ids").type
-    counted = rows.mapInArrow(request, blob).groupBy("part").applyInArrow(merge, out_type)
+    counted = rows.mapInArrow(tidied(request), blob).groupBy("part").applyInArrow(tidied_group(merge), out_type)
     return written(counted, "lm-parts"), hot
 
 
@@ -355,7 +383,7 @@ def train(rows: DataFrame, params: PitmanYorParams = PitmanYorParams()) -> Model
             at = np.flatnonzero(every)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at])], ["at", "n"])
 
-        got = own.select("part", *columns).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        got = own.select("part", *columns).mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(sum(sizes), np.int64)
         out[got.column("at").to_numpy()] = got.column("n").to_numpy()
         return np.split(out, np.cumsum(sizes)[:-1])
@@ -463,8 +491,8 @@ def score(model: Model) -> DataFrame:
     own = model.parts.filter("words IS NOT NULL")
     buckets = max(1, own.count() // 4)
     packed = own.select(*[c for c in model.parts.columns if c not in ("base", "ids", "held", "lengths")])
-    packed = packed.mapInArrow(run, "bucket int, keys binary, score binary, base binary, known binary")
-    summed = packed.groupBy("bucket").applyInArrow(added, "key long, score double, base_score double, n_known long")
+    packed = packed.mapInArrow(tidied(run), "bucket int, keys binary, score binary, base binary, known binary")
+    summed = packed.groupBy("bucket").applyInArrow(tidied_group(added), "key long, score double, base_score double, n_known long")
 
     id_type = model.parts.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", id_type), T.StructField("held", T.BooleanType()), T.StructField("n_tokens", T.LongType())])

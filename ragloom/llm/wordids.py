@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from ragloom.llm.common import LOWER, PIECE_BYTES, byte_view, pieces
+from ragloom.llm.common import LOWER, PIECE_BYTES, byte_view, kept, pieces
 from ragloom.llm.spans import binary_array, byte_set
 
 def byte_letters() -> dict[int, str]:
@@ -236,6 +236,7 @@ class BatchEncoder:
         return np.unique(np.searchsorted(ends, np.array(found, np.int64)))
 
 
+@kept
 @lru_cache(2)
 def batch_encoder(path: str, cache_bytes: int) -> BatchEncoder:
     """The encoder of a worker process, which keeps what it knows from task to task."""
