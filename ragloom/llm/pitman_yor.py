@@ -214,7 +214,7 @@ def count(rows: DataFrame, params: PitmanYorParams) -> tuple[DataFrame, np.ndarr
     out_arrow = to_arrow_schema(out_type)
     id_arrow = out_arrow.field("ids").type
     counted = rows.mapInArrow(tidied(request), blob).groupBy("part").applyInArrow(tidied_group(merge), out_type)
-    return written(counted, "lm-parts"), hot
+    return written(counted, "lm-parts", large_rows=True), hot
 
 
 # -- seating -----------------------------------------------------------------
