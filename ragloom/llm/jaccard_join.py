@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import table, utf8
+from ragloom.llm.common import table, tidied, tidied_group, utf8
 from ragloom.llm.components import components
 from ragloom.llm.registry import query
 from ragloom.llm.shingles import sets
@@ -125,7 +125,7 @@ def hot(texts: DataFrame, params: JaccardParams) -> np.ndarray:
             if len(nodes) >= 1 / params.hot_share:
                 yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
-    counts = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidied(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = written(counts, "jaccard-hot")
     rows = texts.agg(F.count(F.lit(1))).head()[0]
     got = found.filter(F.col("n") >= max(2.0, params.hot_share * rows)).toArrow()
@@ -216,8 +216,8 @@ def shared(texts: DataFrame, parts: int, params: JaccardParams) -> DataFrame:
             "tokens": pa.array([tokens[starts[i] : starts[i + 1]].tobytes() for i in may], pa.binary()),
         })
 
-    counted = texts.mapInArrow(request, PACKED).groupBy("part").applyInArrow(reply, PACKED)
-    found = counted.groupBy("part").applyInArrow(gather, "node long, n long, rare long, tokens binary")
+    counted = texts.mapInArrow(tidied(request), PACKED).groupBy("part").applyInArrow(tidied_group(reply), PACKED)
+    found = counted.groupBy("part").applyInArrow(tidied_group(gather), "node long, n long, rare long, tokens binary")
     return written(found, "jaccard-nodes")
 
 
@@ -289,7 +289,7 @@ def small_links(nodes: DataFrame, largest: int, params: JaccardParams) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["key", "node", "n", "two"])
 
     keyed = nodes.filter(F.col("n") <= largest).select("node", "n", "tokens")
-    keyed = keyed.mapInArrow(run, "key long, node long, n long, two boolean").distinct()
+    keyed = keyed.mapInArrow(tidied(run), "key long, node long, n long, two boolean").distinct()
     groups = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most"), (~F.first("two") | (F.min("n") != F.max("n"))).alias("linked"))
     joined = keyed.join(groups.filter("v != most AND linked").hint("merge"), "key")
     return joined.filter("node != v").select(F.col("node").alias("u"), "v")

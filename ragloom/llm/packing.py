@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import table, utf8
+from ragloom.llm.common import table, tidied, utf8
 from ragloom.llm.registry import query
 from ragloom.llm.wordids import batch_encoder, with_end
 
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackingParams = PackingParams(
         full, tail = packed([len(h[3]) // 4 for h in held], params.length)
         yield from out(full + powers(tail, sum(p[2] for p in tail)))
 
-    return dealt.select("id", "text").mapInArrow(run, f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return dealt.select("id", "text").mapInArrow(tidied(run, (batch_encoder,)), f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def byte_bpe() -> str:

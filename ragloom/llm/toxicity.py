@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import LOWER, byte_view, fold_of, pieces, table, utf8
+from ragloom.llm.common import LOWER, byte_view, fold_of, pieces, table, tidied, utf8
 from ragloom.llm.registry import query
 from ragloom.session import broadcast_within
 
@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: Toxi
     prior = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
         return ToxicityModel(none, np.zeros(0), float(np.log(prior / (1 - prior))), params)
-    counts = rows.select("_text", "_y").mapInArrow(count, "gram long, clean long, toxic long")
+    counts = rows.select("_text", "_y").mapInArrow(tidied(count), "gram long, clean long, toxic long")
     counts = counts.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # only n-grams with enough evidence leave the tasks
-    chosen = counts.mapInArrow(strong, "gram long, ratio double").toArrow()
+    chosen = counts.mapInArrow(tidied(strong), "gram long, ratio double").toArrow()
     features = chosen.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(features)
     features, ratio = features[order], chosen.column("ratio").to_numpy()[order]
@@ -195,7 +195,7 @@ def sample(rows: DataFrame, n: int, features: np.ndarray, params: ToxicityParams
 
     if n > params.fit_rows:  # a hash of the id thins the rows out before their texts are read closely
         rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < (1 << 20) * params.fit_rows / n)
-    found = rows.mapInArrow(pick, f"_id {dict(rows.dtypes)['_id']}, _y int, _f array<int>")
+    found = rows.mapInArrow(tidied(pick), f"_id {dict(rows.dtypes)['_id']}, _y int, _f array<int>")
     got = found.orderBy(F.xxhash64("_id"), "_id", "_y", "_f").limit(params.fit_rows).select("_y", "_f").toArrow()
     lists = got.column("_f").combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
