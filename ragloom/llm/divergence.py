@@ -9,7 +9,8 @@ the terms that are left, and so on. A term that ends within a level's bytes is
 counted as a whole there. It ends when no unfinished prefix is left.
 
 A document lies in one row, so distinct documents add up over batches and no
-shuffle carries documents. The prefixes left are sent as a bit set of hashes, at most
+shuffle carries documents; a task adds up the counts of its batches, a bounded number
+of rows at a time, before they leave it. The prefixes left are sent as a bit set of hashes, at most
 ``filter_bits`` long: a false hit costs a count at the next level, never a result,
 because a term is kept by its own exact count.
 
@@ -36,11 +37,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import mix, table, utf8
+from ragloom.llm.common import mix, table, tidied, utf8
 from ragloom.llm.registry import query
 from ragloom.llm.spans import LETTER, Words, batch_words, hashes
 from ragloom.session import written
 
+#: Rows of counts that a task adds up before they leave it.
+HELD = 1 << 20
+
 
 @dataclass(frozen=True)
 class DivergenceParams:
@@ -62,14 +66,15 @@ class Prefixes:
     def __init__(self, bits: int, bit_set: np.ndarray):
         self.bits, self.bit_set = bits, bit_set
 
-    def has(self, lang: np.ndarray, prefix: pa.Array) -> np.ndarray:
+    def has(self, lang: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """For hashes of languages and of prefixes."""
         at = places(lang, prefix, self.bits)
         return (self.bit_set[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def places(lang: np.ndarray, prefix: pa.Array, bits: int) -> np.ndarray:
-    """A place below ``bits`` for each (hash of a language, prefix)."""
-    return mix(hashes(prefix) ^ lang) & np.uint64(bits - 1)
+def places(lang: np.ndarray, prefix: np.ndarray, bits: int) -> np.ndarray:
+    """A place below ``bits`` for each (hash of a language, hash of a prefix)."""
+    return mix(prefix ^ lang) & np.uint64(bits - 1)
 
 
 def lang_hashes(lang: pa.Array) -> np.ndarray:
@@ -82,7 +87,7 @@ def bit_set(kept: DataFrame, n: int, limit: int) -> Prefixes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = places(lang_hashes(batch.column("lang")), batch.column("term"), bits)
+            at = places(lang_hashes(batch.column("lang")), hashes(batch.column("term")), bits)
             ones = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(ones.view(np.int64))], ["word", "ones"])
 
@@ -99,6 +104,70 @@ def coded(words: Words, chosen: np.ndarray, limit: int | None, langs: np.ndarray
     return values.dictionary, langs[words.text[chosen]] * len(values.dictionary) + values.indices.to_numpy()
 
 
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order and how often each occurs."""
+    code = np.sort(code)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(first, append=len(code))
+
+
+class Counts:
+    """Counts of terms under names (of a language, or of a language and source), added up over batches."""
+
+    def __init__(self, names: list[str], limit: int = HELD):
+        self.names, self.limit = names, limit
+        self.empty()
+
+    def empty(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.tables: list[pa.Table] = []
+        self.rows = 0
+
+    def number(self, names: list[tuple]) -> np.ndarray:
+        """A number for each name, the same until the rows are given out."""
+        return np.array([self.numbers.setdefault(name, len(self.numbers)) for name in names], np.int32)
+
+    def add(self, number: np.ndarray, term: pa.Array, n: np.ndarray) -> None:
+        self.tables.append(pa.table({"number": number, "term": term.cast(pa.binary()), "n": n.astype(np.int64)}))
+        self.rows += len(n)
+
+    def full(self) -> bool:
+        """Adds the rows up when they are too many; whether they should leave, as that made them few no longer."""
+        if self.rows <= self.limit:
+            return False
+        self.merge()
+        return self.rows > self.limit // 2
+
+    def merge(self) -> None:
+        if len(self.tables) > 1:
+            held = pa.concat_tables(self.tables).group_by(["number", "term"], use_threads=False).aggregate([("n", "sum")])
+            self.tables = [held.rename_columns({"n_sum": "n"}).select(["number", "term", "n"])]
+        self.rows = sum(map(len, self.tables))
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """All rows as (name, term, n), of names of one part; nothing is held afterwards."""
+        self.merge()
+        names = pa.array([name for (name,) in self.numbers], pa.string())
+        for table_ in self.tables:
+            for batch in table_.to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([names.take(batch.column("number")), batch.column("term"), batch.column("n")], [*self.names, "term", "n"])
+        self.empty()
+
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        """All rows as (first of the names, term, list of the second names, list of n); nothing is held afterwards."""
+        self.merge()
+        first, of = np.unique([a for a, _ in self.numbers], return_inverse=True)
+        first, second = pa.array(first.tolist(), pa.string()), pa.array([b for _, b in self.numbers], pa.string())
+        for table_ in self.tables:
+            table_ = table_.append_column("first", pa.array(of[table_["number"].to_numpy()].astype(np.int32)))
+            for batch in table_.group_by(["first", "term"], use_threads=False).aggregate([("number", "list"), ("n", "list")]).to_batches(max_chunksize=1 << 15):
+                number, n = batch.column("number_list"), batch.column("n_list")
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(n).to_numpy())]).astype(np.int32)
+                lists = (pa.ListArray.from_arrays(offsets, values) for values in (second.take(number.flatten()), n.flatten()))
+                yield pa.RecordBatch.from_arrays([first.take(batch.column("first")), batch.column("term"), *lists], [self.names[0], "term", f"{self.names[1]}s", "ns"])
+        self.empty()
+
+
 def level(docs: DataFrame, size: int, before: Broadcast | None) -> DataFrame:
     """lang, term (the prefix), n: documents of each language with each prefix of ``size`` bytes.
 
@@ -108,6 +177,7 @@ def level(docs: DataFrame, size: int, before: Broadcast | None) -> DataFrame:
     half = 0 if before is None else size // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(["lang"])
         for batch in batches:
             lang = batch.column("lang").dictionary_encode()
             for words in batch_words(batch.column("text"), LETTER):
@@ -118,18 +188,19 @@ def level(docs: DataFrame, size: int, before: Broadcast | None) -> DataFrame:
                 values, code = coded(words, live, size, langs)
                 room = len(lang.dictionary) * len(values)
                 # each (document, value) once; a document has one language
-                code = np.unique(words.text[live] * room + code) % room
-                code, n = np.unique(code, return_counts=True)
-                value, of = values.take(pa.array(code % len(values))), code // len(values)
+                code = distinct(words.text[live] * room + code)[0] % room
+                code, n = distinct(code)
+                value, of = code % len(values), code // len(values)
                 if before is not None:
-                    short = pc.binary_slice(value, 0, half)
-                    left = before.value.has(lang_hashes(lang.dictionary)[of], short)
-                    value, of, n = value.filter(pa.array(left)), of[left], n[left]
-                yield pa.RecordBatch.from_arrays(
-                    [lang.dictionary.take(pa.array(of)), value.cast(pa.binary()), pa.array(n.astype(np.int64))], ["lang", "term", "n"]
-                )
+                    short = hashes(pc.binary_slice(values, 0, half))
+                    left = before.value.has(lang_hashes(lang.dictionary)[of], short[value])
+                    value, of, n = value[left], of[left], n[left]
+                counts.add(counts.number([(x,) for x in lang.dictionary.to_pylist()])[of], values.take(pa.array(value)), n)
+                if counts.full():
+                    yield from counts.out()
+        yield from counts.out()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tidied(run), "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
 def kept_terms(docs: DataFrame, params: DivergenceParams = DivergenceParams()) -> tuple[DataFrame, int]:
@@ -158,25 +229,74 @@ def occurrences(docs: DataFrame, kept: DataFrame, total: int, params: Divergence
     wanted = docs.sparkSession.sparkContext.broadcast(bit_set(kept, total, params.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(["lang", "source"])
         for batch in batches:
             lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
             pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
             _, first, of_doc = np.unique(pair, return_index=True, return_inverse=True)
+            groups = list(zip(batch.column("lang").take(first).to_pylist(), batch.column("source").take(first).to_pylist(), strict=True))
+            hash_of = lang_hashes(batch.column("lang").take(first))
             for words in batch_words(batch.column("text"), LETTER):
                 if not len(words):
                     continue
                 values, code = coded(words, np.arange(len(words)), None, of_doc[words.lo : words.hi])
-                code, n = np.unique(code, return_counts=True)
-                row, value = first[code // len(values)], values.take(pa.array(code % len(values)))
-                left = wanted.value.has(lang_hashes(batch.column("lang"))[row], value)
-                row = pa.array(row[left])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").take(row), batch.column("source").take(row), value.filter(pa.array(left)).cast(pa.binary()), pa.array(n[left].astype(np.int64))],
-                    ["lang", "source", "term", "n"],
-                )
-
-    rows = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term binary, n long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+                code, n = distinct(code)
+                group, value = code // len(values), code % len(values)
+                left = wanted.value.has(hash_of[group], hashes(values)[value])
+                counts.add(counts.number(groups)[group[left]], values.take(pa.array(value[left])), n[left])
+                if counts.full():
+                    yield from counts.lists()
+        yield from counts.lists()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 15:
+                done, last = neighbours(held)
+                yield from done
+                held, rows = [last], last.num_rows
+        if rows:
+            done, last = neighbours(held)
+            yield from [*done, summed(last)]
+
+    rows = docs.select("lang", "source", "text").mapInArrow(tidied(run), "lang string, term binary, sources array<string>, ns array<long>")
+    # dealt out once for both the join and the sums; a task gives a term of a language in few rows, so a frequent one is no hot key
+    rows = rows.repartition("term", "lang").join(kept.select("lang", "term"), ["term", "lang"], "left_semi")
+    rows = rows.sortWithinPartitions("term", "lang").select("lang", "term", "sources", "ns")
+    return rows.mapInArrow(tidied(added), "lang string, source string, term binary, n long")
+
+
+def summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """lang, source, term, n of rows (lang, term, sources, ns), equal terms side by side."""
+    lang, term = rows.column("lang"), rows.column("term")
+    new = np.concatenate([[True], runs_end(lang, term)]) if len(rows) else np.zeros(0, bool)
+    run = np.cumsum(new, dtype=np.int64) - 1
+    number = run[pc.list_parent_indices(rows.column("ns")).to_numpy()]
+    flat = pa.table({"run": number, "source": rows.column("sources").flatten(), "n": rows.column("ns").flatten()})
+    flat = flat.group_by(["run", "source"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    at = pa.array(np.flatnonzero(new)[flat["run"].to_numpy()])
+    whole = pa.table({"lang": lang.take(at), "source": flat["source"], "term": term.take(at), "n": flat["n_sum"]}).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in whole.columns], whole.column_names)
+
+
+def runs_end(lang: pa.Array, term: pa.Array) -> np.ndarray:
+    """Which rows but the last differ from the next in language or term."""
+    return pc.or_(pc.not_equal(lang[:-1], lang[1:]), pc.not_equal(term[:-1], term[1:])).to_numpy(zero_copy_only=False)
+
+
+def neighbours(held: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+    """The sums of all terms that end within these sorted rows, and the rows of the last term, which may go on."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    ends = np.flatnonzero(runs_end(rows.column("lang"), rows.column("term")))
+    cut = int(ends[-1]) + 1 if len(ends) else 0
+    if cut:
+        return [summed(rows.slice(0, cut))], rows.slice(cut)
+    # one term alone: its counts so far become one row
+    one = summed(rows)
+    lists = (pa.ListArray.from_arrays(np.array([0, len(one)], np.int32), one.column(c)) for c in ("source", "n"))
+    return [], pa.RecordBatch.from_arrays([rows.column("lang")[:1], rows.column("term")[:1], *lists], rows.schema.names)
 
 
 # -- shares ------------------------------------------------------------------

@@ -52,7 +52,9 @@ class Words:
         if limit is not None:
             lengths = np.minimum(lengths, limit)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+        kind = np.int32 if len(self.data) < 1 << 31 and offsets[-1] < 1 << 31 else np.int64
+        at = np.repeat((starts - offsets[:-1]).astype(kind), lengths)
+        at += np.arange(offsets[-1], dtype=kind)
         return binary_array(self.data[at], offsets)
 
 
@@ -75,7 +77,7 @@ def batch_words(values: pa.Array, inside: np.ndarray, lower: bool = True, limit:
         edge = np.concatenate([[False], inside[part]])
         edge = np.flatnonzero(edge[1:] != edge[:-1])
         starts, ends = edge[::2], edge[1::2]
-        text = np.searchsorted(bounds[1:] + np.arange(hi - lo), starts)
+        text = np.repeat(np.arange(hi - lo), np.diff(np.searchsorted(starts, bounds[1:] + np.arange(hi - lo)), prepend=0))
         part[ends] = 32
         yield Words(lo, hi, part, starts, ends - starts, text)
 
