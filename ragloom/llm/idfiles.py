@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import table, utf8
+from ragloom.llm.common import table, tidied, utf8
 from ragloom.llm.registry import query
 from ragloom.llm.wordids import batch_encoder, with_end
 from ragloom.operators.chunking import in_order
@@ -64,14 +64,16 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = _BITS[values] if n and values.max() < len(_BITS) else np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
     # the selector of the most values that fit, for a word that began at each place; behind the end all is zero
     chosen = np.full(n, 15, np.uint8)
-    place = np.arange(n, dtype=np.int32)
+    widest, held = np.concatenate([bits, np.zeros(240, np.uint8)]), 1  # of the ``held`` values from each place on
     for selector in reversed(range(15)):
-        # from each place on to the next value that is too wide
-        wide = np.where(bits > WIDTHS[selector], place, np.int32(n + 240))
-        fits = np.minimum.accumulate(wide[::-1])[::-1] - place >= COUNTS[selector]
+        while held < COUNTS[selector]:
+            step = min(held, int(COUNTS[selector]) - held)
+            widest = np.maximum(widest[:-step], widest[step:])
+            held += step
+        fits = widest[:n] <= WIDTHS[selector]
         if not fits.any():
             break  # fewer bits for more values fit nowhere either
-        chosen[fits] = selector
+        chosen -= fits  # who fits here fitted all before
     steps, begins, at = COUNTS[chosen].tolist(), [], 0
     while at < n:
         begins.append(at)
@@ -82,8 +84,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = selectors.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(selectors[selectors > 1]).tolist():
         here = np.flatnonzero(selectors == selector)
-        shifts = np.arange(COUNTS[selector], dtype=np.uint64) * np.uint64(WIDTHS[selector])
-        words[here] |= np.bitwise_or.reduce(padded[begin[here][:, None] + np.arange(COUNTS[selector])] << shifts, axis=1)
+        first, made = begin[here], words[here]
+        for i in range(COUNTS[selector]):
+            made |= padded[first + i] << np.uint64(i * WIDTHS[selector])
+        words[here] = made
     return words, escapes
 
 
@@ -95,9 +99,9 @@ def decode(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     out = np.zeros(int(sizes.sum()), np.uint64)
     for selector in np.unique(selectors[selectors > 1]).tolist():
         here = np.flatnonzero(selectors == selector)
-        shifts = np.arange(COUNTS[selector], dtype=np.uint64) * np.uint64(WIDTHS[selector])
-        mask = np.uint64((1 << int(WIDTHS[selector])) - 1)
-        out[begin[here][:, None] + np.arange(COUNTS[selector])] = (words[here][:, None] >> shifts) & mask
+        first, coded, mask = begin[here], words[here], np.uint64((1 << int(WIDTHS[selector])) - 1)
+        for i in range(COUNTS[selector]):
+            out[first + i] = (coded >> np.uint64(i * WIDTHS[selector])) & mask
     out = out[:n]
     if len(escapes):
         out[out == ESCAPE] = escapes
@@ -198,7 +202,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, params: IdFileParams =
         if names:
             yield closed()
 
-    made = ordered.select("id", "text").mapInArrow(run, "value binary")
+    made = ordered.select("id", "text").mapInArrow(tidied(run, (batch_encoder,)), "value binary")
     # the text writer copies the bytes and adds a line feed
     made.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
@@ -226,7 +230,7 @@ def read_files(spark: SparkSession, path: str, columns: str, of_file) -> DataFra
 
     names = [c.split()[0] for c in schema.split(", ")]
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(tidied(run), schema)
 
 
 def with_starts(found: DataFrame) -> DataFrame:

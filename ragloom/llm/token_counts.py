@@ -69,9 +69,9 @@ class BatchCounter(BatchEncoder):
         super().__init__(path, cache_bytes)
         self.added, self.split = [], self.tokenizer.pre_tokenizer.pre_tokenize_str
 
-    def of_piece(self, piece: bytes) -> bytes:
-        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
-        return array("I", (len(piece.decode()), len(made))).tobytes()
+    def of_pieces(self, made: list[bytes]) -> list[bytes]:
+        sizes = (len(self.model.tokenize(piece.decode("latin-1").translate(self.letters))) for piece in made)
+        return [array("I", (len(piece.decode()), n)).tobytes() for piece, n in zip(made, sizes)]
 
     def of_text(self, text: str) -> bytes:
         pairs = array("I")

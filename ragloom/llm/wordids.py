@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,11 @@ _ODD = byte_set((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
 _SPACES = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", *(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 
 
-#: ASCII and the letters U+00C0 to U+00FF.
-_PLAIN = re.compile(rb"(?:[\x09-\x0d\x20-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+#: ASCII and the letters U+00C0 to U+00FF, without apostrophes and starts of added tokens.
+_PLAIN = re.compile(rb"(?:[\x09-\x0d\x20-\x26\x28-\x3b\x3d-\x7e]++|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*+")
+
+#: Pieces that are encoded in one go; the library's own objects of so many are held at once.
+AT_ONCE = 4096
 
 
 class Remembered(dict):
@@ -56,14 +60,24 @@ class Remembered(dict):
         super().__init__()
         self.make, self.limit, self.held = make, limit, 0
 
-    def __missing__(self, key: bytes) -> bytes:
-        value = self.make(key)
-        self.held += len(key) + len(value) + 170
-        if self.held > self.limit:
-            self.clear()
-            self.held = 0
-        self[key] = value
-        return value
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        """The values of distinct keys; those of unknown keys are made together."""
+        found = list(map(self.get, keys))
+        if None in found:
+            places = [i for i, value in enumerate(found) if value is None]
+            new = [keys[i] for i in places]
+            for i, key, value in zip(places, new, self.make(new), strict=True):
+                found[i] = value
+                self.held += len(key) + len(value) + 170
+                if self.held > self.limit:
+                    self.clear()
+                    self.held = 0
+                self[key] = value
+        return found
+
+
+def cut_bytes(data: bytes, bounds: list[int]) -> list[bytes]:
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def classes(data: np.ndarray) -> np.ndarray:
@@ -102,25 +116,30 @@ class BatchEncoder:
         #: white space is dropped and A-Z lower-cased, or kept with the piece behind it
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and rule[:1] == [WORD_RULE]
         self.by_byte = known["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]
-        self.known = Remembered(self.entry, cache_bytes)
+        self.known = Remembered(self.entries, cache_bytes)
 
-    # what one piece, word or text gives; a subclass may count instead
-    def of_piece(self, piece: bytes) -> bytes:
-        made = self.model.tokenize(piece.decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in made]).tobytes()
+    # what pieces or a text give; a subclass may count instead
+    def of_pieces(self, made: list[bytes]) -> list[bytes]:
+        """The values of plain pieces, which hold no zero byte."""
+        letters = b"\0".join(made).decode("latin-1").translate(self.letters).split(self.letters[0])
+        tokens = list(map(self.model.tokenize, letters))
+        ids = array("I", [t.id for found in tokens for t in found])
+        return cut_bytes(ids.tobytes(), [0, *(4 * n for n in accumulate(map(len, tokens)))])
 
     def of_text(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def entry(self, piece: bytes) -> bytes:
-        if b"'" in piece or b"<|" in piece or not _PLAIN.fullmatch(piece):
-            return self.of_text(piece.decode("utf-8", "replace"))
-        return self.of_piece(piece)
+    def entries(self, keys: list[bytes]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(key) is not None for key in keys]
+        fit = list(compress(keys, plain))
+        of_fit = chain.from_iterable(self.of_pieces(fit[lo : lo + AT_ONCE]) for lo in range(0, len(fit), AT_ONCE))
+        return [next(of_fit) if fits else self.of_text(key.decode("utf-8", "replace")) for key, fits in zip(keys, plain)]
 
     def looked_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The values of all keys one after the other, and how many each key gave."""
         coded = keys.dictionary_encode()
-        found = list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
+        data, offsets = byte_view(coded.dictionary)
+        found = self.known.of(cut_bytes(data.tobytes(), offsets.tolist()))
         flat = np.frombuffer(b"".join(found), np.uint32)
         # a batch is far from 2^31 ids; half as wide numbers are read and written here
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
@@ -172,16 +191,15 @@ class BatchEncoder:
         # words that hold what is not plain go as they are
         strange = (kind == OTHER) | (data == 0x27)
         strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-        held = np.concatenate([[0], np.cumsum(strange)])
-        slow = held[stops] > held[starts]
+        slow = np.logical_or.reduceat(strange, edge)[::2] if len(edge) else np.zeros(0, bool)
         changes = np.zeros(len(data) + 1, bool)
         changes[1:-1] = kind[1:] != kind[:-1]
         if self.by_word:
             changes[:-1] |= kind == DIGIT
         in_slow = np.zeros(len(data) + 1, np.int8)
-        in_slow[starts[slow]] += 1
-        in_slow[stops[slow]] -= 1
-        in_slow = np.cumsum(in_slow[:-1]).astype(bool)
+        in_slow[starts[slow]] = 1
+        in_slow[stops[slow]] = -1
+        in_slow = np.cumsum(in_slow[:-1], dtype=np.int8).view(bool)
         opens = changes[:-1] & inside & ~in_slow
         opens[starts] = True
         limits = opens.copy()
@@ -192,14 +210,17 @@ class BatchEncoder:
         else:
             self._spaces(data, ends, starts, stops, opens, limits)
             whole = self._odd(data, ends)
-        begin, limit = np.flatnonzero(opens), np.flatnonzero(limits)
-        end = np.append(limit, len(data))[np.searchsorted(limit, begin, side="right")]
-        text = np.searchsorted(ends, begin)
+        limit = np.flatnonzero(limits)
+        here = np.flatnonzero(opens[limit])  # every piece begins at a limit
+        begin, end = limit[here], np.append(limit, len(data))[here + 1]
+        text = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(begin, ends, side="right"), prepend=0))
         if len(whole):
             keep = ~np.isin(text, whole)
             begin, end, text = begin[keep], end[keep], text[keep]
         size = end - begin
         offsets = np.concatenate([[0], np.cumsum(size)])
+        if self.by_word:  # the pieces are all bytes but white space
+            return binary_array(data[inside], offsets), text, whole
         at = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
         return binary_array(data[at], offsets), text, whole
 

@@ -103,3 +103,57 @@ def test_no_documents(spark):
     path = scratch_path(spark, "test-ids")
     idfiles.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, idfiles.word_bpe())
     assert idfiles.with_starts(idfiles.read_files(spark, path, "", lambda *_: [])).count() == 0
+
+
+class Counting(wordids.BatchEncoder):
+    """Keeps how many plain pieces were asked for at once, and each text."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.asked, self.texts = [], []
+
+    def of_pieces(self, made):
+        self.asked.append(len(made))
+        return super().of_pieces(made)
+
+    def of_text(self, text):
+        self.texts.append(text)
+        return super().of_text(text)
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 1 << 12])
+def test_new_words_of_a_batch_are_encoded_together(limit):
+    """A call per distinct word took most of the time of op12_token_ids."""
+    words = [f"{a}{b}ing{c}" for a in "bcdfghjklm" for b in ("a", "e", "ö", "ß") for c in "nprstvwxz"]
+    odd = ["it's", "漢字", "a<|b", "naïve", "a<b", "œuvre", "<|endoftext|>", "x" * 3000]
+    texts = [" ".join(words[i::3] + odd) for i in range(3)] * 2
+    encoder = Counting(idfiles.word_bpe(), limit)
+    ((lo, hi, ids, per_text),) = encoder(pa.array([t.encode() for t in texts], pa.binary()))
+    assert (lo, hi) == (0, 6)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per_text)[:-1])] == [expected(idfiles.word_bpe(), t, 1)[:-1] for t in texts]
+    assert encoder.asked == [len({*words, "naïve", "a", "<", "b", "x" * 3000})]
+    assert sorted(encoder.texts) == sorted({"it's", "漢字", "a<|b", "œuvre", "<|endoftext|>"})
+    list(encoder(pa.array([t.encode() for t in texts], pa.binary())))
+    assert (len(encoder.asked) == 1) == (limit == 1 << 24)  # forgotten words are encoded anew
+
+
+def test_readers_of_files_forget_words():
+    """Idle workers kept the words of the writing stage, up to their limit each."""
+    wordids.batch_encoder(idfiles.word_bpe(), 1 << 20)
+
+    class Files:
+        """Files that are read in this process."""
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, run, schema):
+            data = idfiles.file_bytes(0, 0, [3, 4], np.array([2, 1]), np.array([5, 6, 1]), 64) + b"\n"
+            return list(run(iter([pa.record_batch([pa.array([data])], ["content"])])))
+
+    class Session:
+        read = Files()
+
+    (rows,) = idfiles.read_files(Session(), "", "ids_crc32 long", idfiles.checksums)
+    assert rows.column("n_tokens").to_pylist() == [2, 1]
+    assert wordids.batch_encoder.cache_info().currsize == 0
