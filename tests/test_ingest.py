@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ragloom import Params
 from ragloom.operators.chunking import embedding_input, in_order, number_rows, pack_chunks
 from ragloom.operators.embedding import HashingEmbedder, ModelEmbedder, checked_width, embed, split_by_width
-from ragloom.operators.lexical import packed_postings, postings, stored_postings
+from ragloom.functions.vectors import is_width
+from ragloom.operators.lexical import _in_order, packed_postings, postings, stored_postings, term_counts, unpacked
 from ragloom.plans.ingest import build_knowledge_base
 
 
@@ -128,3 +129,34 @@ def test_index_travels_a_row_per_run_of_a_term(spark):
     chunks = spark.range(1, 401, numPartitions=2).selectExpr("id", "'T' AS doc_title", "'lock row' AS content")
     packed = packed_postings(chunks, params=Params(id_block=1000))
     assert packed.count() == 4
+
+
+def test_index_of_a_knowledge_base_is_stored_packed(spark):
+    """A row per term and run of chunks, written where the chunks lie; unpacked it is what ``postings`` gives."""
+    rows = [(i, f"T{i}", None, None, f"lock row lock w{i % 3}") for i in range(90)]
+    articles = spark.createDataFrame(rows, "i int, title string, category string, source_url string, body string")
+    kb = build_knowledge_base(articles, ["i"], HashingEmbedder(8), Params(term_buckets=3))
+    columns = ["bucket", "term", "id", "positions", "titled"]
+    got = sorted(map(tuple, unpacked(kb.index).select(columns).collect()))
+    assert got == sorted(map(tuple, postings(kb.chunks, params=Params(term_buckets=3)).select(columns).collect()))
+    assert kb.index.count() < len(got) / 2
+    assert sorted(map(tuple, term_counts(kb.index).collect())) == sorted(map(tuple, term_counts(unpacked(kb.index)).collect()))
+    plan = packed_postings(kb.chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_postings_keep_their_order_however_wide_the_numbers():
+    rnd = np.random.default_rng(6)
+    code, row, place = rnd.integers(0, 9, 400), rnd.integers(0, 5, 400), rnd.permutation(400)
+    title = rnd.integers(0, 2, 400).astype(bool)
+    want = sorted(zip(code.tolist(), row.tolist(), place.tolist(), title.tolist()))
+    for far in (1, 1 << 45):  # the second does not fit into one number
+        got = _in_order(code, row, place * far, title)
+        assert [(c, r, p // far, t) for c, r, p, t in zip(*(x.tolist() for x in got))] == want
+
+
+def test_width_sees_holes_beside_any_number(spark):
+    rows = [([1.0, 2.0],), ([1.0, None],), ([float("nan"), None],), ([float("nan"), 1.0],), ([1.0],), (None,)]
+    for kind in ("float", "double"):
+        got = [r[0] for r in spark.createDataFrame(rows, f"v array<{kind}>").select(is_width(F.col("v"), 2)).collect()]
+        assert got == [True, False, False, True, False, False]
