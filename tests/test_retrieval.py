@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import re
 
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragloom import Params
 from ragloom.functions.text import STOP_WORDS
+from ragloom.operators import lexical
 from ragloom.operators.dense import approximate_topk, dense_topk, plane_code
 from ragloom.operators.embedding import HashingEmbedder
 from ragloom.operators.fusion import keep_close, reciprocal_rank_fusion, round_robin, weak_match
@@ -284,3 +287,29 @@ def test_multi_requirement_without_sub_queries_is_the_whole_text(spark, kb):
     pick = lambda rs, key, v: [r["id"] for r in sorted(rs, key=lambda r: r["rnk"]) if r[key] == v]
     assert pick(got, "group_id", 1) == pick(alone, "query_id", 1)
     assert len(pick(got, "group_id", 2)) == 8 and {r["list_no"] for r in got if r["group_id"] == 2} == {0, 1, 2}
+
+
+def test_a_pass_holds_what_may_be_sent(spark):
+    """Many queries are one pass while their plan fits, several when it does not; both give the same."""
+    _, index, counts = corpus(spark)
+    texts = [(i, f'{WORDS[i % 12]} -{WORDS[(i * 5 + 1) % 12]} or "{WORDS[(i * 7) % 12]} {WORDS[(i * 3 + 1) % 12]}"') for i in range(60)] + [(None, "lock row"), (7, "bulk")]
+    terms = query_terms(spark.createDataFrame(texts, "query_id int, text string")).cache()
+    one, many = Params(pass_terms=8), Params(pass_terms=8, broadcast_bytes=40)
+    assert [len(list(lexical._passes(terms, terms.count(), p))) for p in (one, many)] == [1, math.ceil(terms.count() / 8)]
+    for answer in (lambda p: match_terms(terms, index, counts, p), lambda p: ranked_terms(terms, index, counts, 3, p)):
+        got, want = (collections.Counter(map(str, answer(p).collect())) for p in (one, many))
+        assert got == want and got
+    assert lexical._plan(terms.limit(0), counts, one) is None
+
+
+def test_waiting_offers_give_the_same_best():
+    rnd = np.random.default_rng(8)
+    top, all_ = lexical._Top(50, 3), []
+    for _ in range(300):
+        n = int(rnd.integers(0, 5))
+        q, s, i = rnd.integers(0, 50, n), rnd.integers(0, 9, n) / 8, rnd.integers(0, 10**6, n)
+        top.offer(q, s, i)
+        all_ += zip(q.tolist(), s.tolist(), i.tolist())
+    top.settle()
+    want = [x for k in range(50) for x in sorted((x for x in all_ if x[0] == k), key=lambda x: (-x[1], x[2]))[:3]]
+    assert [*zip(top.q.tolist(), top.s.tolist(), top.i.tolist())] == want
