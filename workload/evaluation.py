@@ -9,7 +9,7 @@ from ragloom.functions.text import words
 from ragloom.operators.dense import dense_topk
 from ragloom.plans.evaluate import (
     RULE, acceptance, acceptance_gate, acceptance_passes, compare_modes, coverage, coverage_gate, dashboard, failure_gate, first_hit_ranks,
-    hard_failures, misses, out_of_scope_correct, read_verdicts, recall_mrr, refusal_pattern, rejection_rate,
+    hard_failures, known_runs, misses, out_of_scope_correct, read_verdicts, recall_mrr, refusal_pattern, rejection_rate,
     rejections, word_runs, worst,
 )
 from ragloom.plans.retrieve import multi_requirement_retrieve, retrieve, retrieve_ways
@@ -29,28 +29,34 @@ six = lambda *names: [F.round(L(n), 6).alias(n) for n in names]
 # --- ground truth: documents that hold every five-word run of a passage --------
 
 RUN = 5
+RUN_BYTES = 200  # of a run that is sent
 
 
 def truth(spark, sf_dir):
     """``query_id, expect`` (titles), null for passages found nowhere; written once.
 
     The runs of the passages are sent to the texts while their size allows, so
-    that only texts' runs that some passage has are shuffled.
+    that only texts' runs that some passage has are made and shuffled.
     """
     asked, n = settled(word_runs(
         table(spark, sf_dir, "benchmark").select(L("item_id").alias("query_id"), words(L("text")).alias("w")), RUN))
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    # the runs cost more than a shuffle of the texts, and the fixture is one file
-    held = articles(spark, sf_dir).repartition("title").select("title", words(L("body")).alias("w"))
-    held = word_runs(held, RUN)
-    found = held.join(broadcast_within(asked, n, 200, PARAMS.broadcast_bytes), "s").groupBy("query_id", "title").agg(F.count(F.lit(1)).alias("c"))
+    held, known = articles(spark, sf_dir), None
+    if n * RUN_BYTES <= PARAMS.broadcast_bytes:
+        known = known_runs(asked, RUN)
+    else:  # all runs cost more than a shuffle of the texts, and the fixture is one file
+        held = held.repartition("title")
+    held = word_runs(held.select("title", words(L("body")).alias("w")), RUN, known=known)
+    found = held.join(broadcast_within(asked, n, RUN_BYTES, PARAMS.broadcast_bytes), "s").groupBy("query_id", "title").agg(F.count(F.lit(1)).alias("c"))
     full = found.join(wanted, "query_id").filter("c = n").groupBy("query_id").agg(
         F.sort_array(F.collect_list("title")).alias("expect"))
     return written(wanted.select("query_id").join(full, "query_id", "left"), "truth")
 
 
-def labelled(spark, sf_dir):
-    return truth(spark, sf_dir).filter("expect IS NOT NULL").select(
+def labelled(spark, sf_dir, known=None):
+    """The passages that are found somewhere, by their ``known`` truth."""
+    known = truth(spark, sf_dir) if known is None else known
+    return known.filter("expect IS NOT NULL").select(
         "query_id", F.when(F.size("expect") > 1, "copied").otherwise("single").alias("cls"), "expect")
 
 

@@ -54,8 +54,9 @@ def guarded_promote(spark, sf_dir):
     """A shadow without titles is refused, one with titles in capitals takes over."""
     kb = knowledge_base(spark, sf_dir)
     texts = web_queries(spark, sf_dir)
-    known = labelled(spark, sf_dir).join(texts, "query_id")
-    negatives = truth(spark, sf_dir).filter("expect IS NULL").select("query_id").join(texts, "query_id")
+    found = truth(spark, sf_dir)
+    known = labelled(spark, sf_dir, found).join(texts, "query_id")
+    negatives = found.filter("expect IS NULL").select("query_id").join(texts, "query_id")
 
     def answer(chunks, queries):
         dense, hybrid = retrieve_ways(queries, replace(kb, chunks=chunks), EMBEDDER, PARAMS)
