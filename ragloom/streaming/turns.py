@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +15,8 @@ from ragloom.streaming.clock import CLOCK, with_clock
 
 
 LATE = "struct<seq:bigint,type:string,text:string,sources_json:string,message:string,ts:timestamp>"
-
-
-def _values(column: pd.Series) -> list:
-    """The values of a column, none for what is missing."""
-    return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
+#: An event while it is held, as JSON: a column and a state of one text cost a call least.
+HELD = "seq bigint, type string, text string, sources_json string, message string, at bigint"
 
 
 def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600, lateness: str = "1 hour", keep: str = "last") -> DataFrame:
@@ -38,53 +35,48 @@ def fold_turns_stream(events: DataFrame, ts: str = "ts", idle_seconds: int = 600
         raise ValueError("keep must be first or last")
     ship(events.sparkSession)
     rows = with_clock(events.withColumn("_at", F.col(ts).cast("timestamp")), F.col("_at"), lateness).select(
-        "turn_id", "seq", "type", "text", F.to_json("sources").alias("sources_json"), "message", "_at", CLOCK)
-    held = ("seqs", "types", "texts", "sources", "messages")
-    names = ("seq", "type", "text", "sources_json", "message")
+        "turn_id", F.to_json(F.struct("seq", "type", "text", F.to_json("sources").alias("sources_json"), "message", F.unix_micros("_at").alias("at"))).alias("event"), CLOCK)
 
     def fold(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values = [list(v) for v in state.get[:-1]] if state.exists else [[] for _ in held]
-        newest = state.get[-1] if state.exists else 0
+        held, newest = state.get if state.exists else ("", 0)
         passed = max(0, state.getCurrentWatermarkMs())
         if not state.hasTimedOut:
-            pdf = pd.concat(list(chunks))  # one turn's events of one micro-batch
-            columns = [_values(pdf[c]) for c in names]
-            known = pdf["_at"].notna().to_numpy()
-            # whole milliseconds, whatever the unit of the column
-            moment = np.where(known, pdf["_at"].to_numpy().astype("datetime64[ms]").astype(np.int64), 0)
+            found = [e for pdf in chunks for e in pdf["event"].tolist()]  # one turn's events of one micro-batch
+            more = ",".join(found)
+            # whole milliseconds
+            moments = [None if at is None else at // 1000 for at in (e.get("at") for e in json.loads(f"[{more}]"))]
             # an open turn takes every event; a new one is opened by an event that is not late
-            is_open = state.exists or bool((~known | (moment + idle_seconds * 1000 > passed)).any())
-            if is_open:
-                for have, more in zip(values, columns, strict=True):
-                    have += more
-                newest = max(newest, int(moment.max()))
-                state.update((*values, newest))
+            if state.exists or any(at is None or at + idle_seconds * 1000 > passed for at in moments):
+                newest = max(newest, *(at or 0 for at in moments))
+                state.update((f"{held},{more}" if held else more, newest))
                 state.setTimeoutTimestamp(max(newest + idle_seconds * 1000, passed + 1))
             else:
-                late = [{**dict(zip(names, e, strict=True)), "ts": at} for *e, at in zip(*columns, _values(pdf["_at"]), strict=True)]
-                yield pd.DataFrame({"turn_id": [k[0]] * len(late), "answer": None, "sources_json": None, "escalated": None, "error": None, "late": late})
+                yield pd.DataFrame({"turn_id": [k[0]] * len(found), "answer": None, "sources_json": None, "escalated": None, "error": None, "late": found})
             return
         state.remove()
-        events_ = sorted(zip(*values, strict=True), key=lambda e: (e[0] is None, e[0] or 0))
+        events_ = sorted(json.loads(f"[{held}]"), key=lambda e: ("seq" not in e, e.get("seq", 0)))
 
-        def chosen(kind: str, place: int):
-            found = [e[place] for e in events_ if e[1] == kind and e[place] is not None]
+        def chosen(kind: str, field: str):
+            found = [e[field] for e in events_ if e.get("type") == kind and field in e]
             return found[0 if keep == "first" else -1] if found else None
 
         yield pd.DataFrame({
-            "turn_id": [k[0]], "answer": ["".join(e[2] for e in events_ if e[1] == "delta" and e[2] is not None)],
-            "sources_json": [chosen("sources", 3)], "escalated": [any(e[1] == "escalation" for e in events_)], "error": [chosen("error", 4)],
-            "late": [None],
+            "turn_id": [k[0]], "answer": ["".join(e["text"] for e in events_ if e.get("type") == "delta" and "text" in e)],
+            "sources_json": [chosen("sources", "sources_json")], "escalated": [any(e.get("type") == "escalation" for e in events_)],
+            "error": [chosen("error", "message")], "late": [None],
         })
 
     types = dict(events.dtypes)
-    return rows.groupBy("turn_id").applyInPandasWithState(
+    made = rows.groupBy("turn_id").applyInPandasWithState(
         fold,
-        f"turn_id {types['turn_id']}, answer string, sources_json string, escalated boolean, error string, late {LATE}",
-        "seqs array<bigint>, types array<string>, texts array<string>, sources array<string>, messages array<string>, newest bigint",
+        f"turn_id {types['turn_id']}, answer string, sources_json string, escalated boolean, error string, late string",
+        "events string, newest bigint",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    e = F.from_json("late", HELD)
+    late = F.struct(*[e[c].alias(c) for c in ("seq", "type", "text", "sources_json", "message")], F.timestamp_micros(e["at"]).alias("ts"))
+    return made.withColumn("late", F.when(F.col("late").isNotNull(), late).cast(LATE))
 
 
 def split_late(folded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -273,3 +273,38 @@ def test_reload_and_promote(spark):
     assert len(stored) == 1  # what both names stand for
     full_reload(second, "t_shadow", where)
     assert spark.table("t_live").count() == 3
+
+
+def test_large_micro_batches_are_several_files(spark, tmp_path, monkeypatch):
+    """Three micro-batches and the last, whatever the number of files; the same turns as in one."""
+    import workload.streams as streams
+
+    rnd = random.Random(7)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), " ".join(rnd.choice(["ent", "sch", "a\u00e9", "b\"\n"]) for _ in range(rnd.randint(1, 20))))
+            for c in range(12) for t in range(1, 5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted(map(str, streams.turn_fold(spark, str(tmp_path)).collect()))
+    seen = []
+    drain = streams.drain
+    monkeypatch.setattr(streams, "scratch_path", lambda spark, label: f"{tmp_path}/{label}-{streams.ROWS_A_FILE}")
+    monkeypatch.setattr(streams, "drain", lambda s, label: seen.append(s) or drain(s, path=f"{tmp_path}/out-{streams.ROWS_A_FILE}"))
+    for most in (1 << 20, 20):
+        monkeypatch.setattr(streams, "ROWS_A_FILE", most)
+        assert sorted(map(str, streams.turn_fold_stream(spark, str(tmp_path)).collect())) == want
+        assert len([f for f in (tmp_path / f"out-{most}" / "state" / "sources" / "0").iterdir() if f.name.isdigit()]) == 4
+    files = [len(list((tmp_path / f"arriving-{most}").glob("*.parquet"))) for most in (1 << 20, 20)]
+    assert files[0] == 4 < files[1]
+
+
+def test_late_events_keep_every_field(spark, tmp_path):
+    """Held as text, an event comes out as it came: to the microsecond, nulls and quotes included."""
+    at = dt.datetime(2024, 1, 1, 0, 0, 5, 123457)
+    src = "array<struct<n:bigint,title:string,category:string,url:string>>"
+    kind = f"turn_id long, seq long, type string, text string, sources {src}, message string, ts timestamp"
+    spark.createDataFrame([(1, 0, "delta", "x", None, None, at + dt.timedelta(days=9))], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = [(2, 3, "delta", 'q"\\\n{é', None, None, at), (2, None, None, None, [(1, "T", None, "u")], "m", at), (3, 0, "done", "", None, "", at)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    _, late = split_late(drain(fold_turns_stream(source)))
+    got = sorted(map(tuple, late.select("turn_id", "seq", "type", "text", "sources_json", "message", "ts").collect()), key=str)
+    assert got == sorted([(2, 3, "delta", 'q"\\\n{é', None, None, at), (2, None, None, None, '[{"n":1,"title":"T","url":"u"}]', "m", at), (3, 0, "done", "", None, "", at)], key=str)

@@ -184,6 +184,9 @@ def turn_fold_first(spark, sf_dir):
     return _shown(fold_turns(turn_events(spark, sf_dir), keep="first"))
 
 
+ROWS_A_FILE = 1 << 20
+
+
 @query(_folded(2))
 def turn_fold_stream(spark, sf_dir):
     """Events in files out of order; a turn's error and its done arrive apart, and a last file moves the clock on."""
@@ -193,11 +196,13 @@ def turn_fold_stream(spark, sf_dir):
     empty = events.filter("type = 'sources'").withColumns({"type": F.lit("delta"), "sources": F.lit(None).cast(f"array<{SOURCE}>")})
     events = events.unionByName(done).unionByName(empty)
     path = scratch_path(spark, "arriving")
+    # a micro-batch is one file, or several even ones where a file would be large
+    files = max(1, min(spark.sparkContext.defaultParallelism, events.count() // (3 * ROWS_A_FILE)))
     for i in range(3):
-        events.filter(F.pmod("seq", F.lit(3)) == 2 - i).repartition(1).write.mode("append").parquet(path)
+        events.filter(F.pmod("seq", F.lit(3)) == 2 - i).repartition(files).write.mode("append").parquet(path)
     later = events.limit(1).withColumns({"turn_id": F.lit(-1).cast("bigint"), "ts": start + F.expr("INTERVAL 1 DAY")})
     later.repartition(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     folded = drain(fold_turns_stream(source), "turns").filter("turn_id >= 0")
     return _shown(folded.withColumn("sources", F.from_json("sources_json", f"array<{SOURCE}>")))
 
