@@ -1,9 +1,10 @@
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import citation_numbers, normalise, stem, strip, unquote, words
+from ragloom.functions.text import citation_numbers, cut_words, normalise, spaced, stem, stems_of, strip, unquote, words
 from ragloom.sources.articles import parse_articles, scan_articles, write_articles
 
 
@@ -108,3 +109,13 @@ def test_compressed_articles_are_still_read(spark, tmp_path):
     (tmp_path / "a.md.gz").write_bytes(gzip.compress("zipped é".encode()))
     for pattern in ("*.md.gz", "*"):
         assert [r["raw"] for r in scan_articles(spark, str(tmp_path), pattern).collect()] == ["zipped é"]
+
+
+def test_words_and_stems_of_a_task_are_those_of_spark(spark):
+    """What tasks take apart and stem as whole arrays is what the columns give."""
+    texts = ["", " ", "Row-locks, rows!", "ies eies aies bies es aes ees oes bes s us ss bs ß", "ÉTÉS İs ΟΔΟΣ 日本 x1s\u00a0ys", "\n--\n", "é", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = rows.select("i", words(F.col("t")).alias("w"), F.transform(words(F.col("t")), stem).alias("s"), spaced(F.col("t")).alias("one")).orderBy("i").collect()
+    cut = cut_words(pa.array([r["one"] for r in got], pa.string())).to_pylist()
+    assert [c or [] for c in cut] == [r["w"] or [] for r in got]
+    assert [stems_of(pa.array(r["w"], pa.string())).to_pylist() for r in got if r["w"]] == [r["s"] for r in got if r["w"]]
