@@ -119,3 +119,19 @@ def test_words_and_stems_of_a_task_are_those_of_spark(spark):
     cut = cut_words(pa.array([r["one"] for r in got], pa.string())).to_pylist()
     assert [c or [] for c in cut] == [r["w"] or [] for r in got]
     assert [stems_of(pa.array(r["w"], pa.string())).to_pylist() for r in got if r["w"]] == [r["s"] for r in got if r["w"]]
+
+
+def test_a_scan_reads_no_file_before_it_is_used(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    (tmp_path / "empty.md").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("scan", "")
+    try:
+        files = scan_articles(spark, str(tmp_path))
+        with pytest.raises(FileNotFoundError):
+            scan_articles(spark, str(tmp_path), "empty.*")
+        assert not sc.statusTracker().getJobIdsForGroup("scan")
+        assert [r["raw"] for r in files.collect()] == ["x"]
+        assert sc.statusTracker().getJobIdsForGroup("scan")
+    finally:
+        sc.setJobGroup("", "")
